@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import cutting, frequency, glyphs
+from lectern.llm import cutting, encodings, frequency, glyphs, markup, sentences
 from lectern.runtime import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_clean_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_pages(table(spark, d, "chunks"), ["book_id", "chunk_id"], "book_id", "text")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_clean_chunks(spark, d).where("pieces > 0").select("book_id", "chunk_id").distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return frequency.verdicts(table(spark, d, "postings")).where("verdict IS NOT NULL").select("term", "verdict")
 
@@ -31,6 +39,16 @@ def p4_titles(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.with_form(books.unionByName(entries), "title", "title_form")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    sample = table(spark, d, "sentence_sample").select("book_id", "chunk_id").distinct()
+    asked = table(spark, d, "chunks").select("book_id", "chunk_id", "text").join(sample, ["book_id", "chunk_id"], "left_semi")
+    return sentences.sentences(asked, ["book_id", "chunk_id"]).select("book_id", "chunk_id", "end_off").distinct()
+
+
+def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "chunks"), ["book_id", "chunk_id"])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where("piece_no = 1").select("book_id", "chunk_id")
 
@@ -39,6 +57,14 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return cutting.chunk_pieces(table(spark, d, "chunks"), table(spark, d, "import_profiles"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_restored(spark, d).select("book_id", "chunk_id", "field").distinct()
+
+
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.damaged(table(spark, d, "chunks"), ["book_id", "chunk_id"], ["text", "preview"])
+
+
 def _shipped(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
