@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import cutting, encodings, frequency, glyphs, markup, sentences
+from lectern.llm import cutting, encodings, frequency, glyphs, markup, pii, sentences
 from lectern.runtime import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,22 @@ def p7_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.damaged(table(spark, d, "chunks"), ["book_id", "chunk_id"], ["text", "preview"])
 
 
+#: The key of the pseudonyms; a real one comes from a secret store.
+PII_KEY = b"example key, replace"
+
+
+def _names(spark: SparkSession, d: str) -> pii.Lexicon:
+    return pii.learn(table(spark, d, "books"), "author", table(spark, d, "documents"), "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.items(table(spark, d, "documents"), ["doc_id"], "text", _names(spark, d))
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(table(spark, d, "documents"), ["doc_id"], "text", _names(spark, d), PII_KEY)
+
+
 def _shipped(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
