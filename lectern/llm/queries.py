@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import cutting, encodings, frequency, glyphs, markup, pii, sentences
+from lectern.llm import cutting, encodings, frequency, glyphs, markup, matching, pii, sentences
 from lectern.runtime import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def p2_term_counts(spark: SparkSession, d: str) -> DataFrame:
     return frequency.verdicts(table(spark, d, "postings"))
 
 
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    return matching.link(table(spark, d, "book_map"), ("entry_id", "weread_title", "weread_author"), table(spark, d, "books"), ("book_id", "title", "author"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_matches(spark, d).select("entry_id", "book_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.alike_pairs(table(spark, d, "book_map"), "entry_id", "weread_title", table(spark, d, "books"), "book_id", "title")
 
