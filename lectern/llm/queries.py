@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import cutting, encodings, frequency, glyphs, markup, matching, pii, sentences
-from lectern.runtime import ship, table
+from lectern.llm import cutting, encodings, frequency, glyphs, markup, matching, mixing, packing, pii, sentences, tokens
+from lectern.runtime import cut, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,23 @@ def p7_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.damaged(table(spark, d, "chunks"), ["book_id", "chunk_id"], ["text", "preview"])
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = cut(tokens.token_counts(table(spark, d, "documents"), ["doc_id"]), "sizes")
+    return packing.pack(sizes, "doc_id", "n_tokens", table(spark, d, "pack_capacities"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.summary(p8_containers(spark, d), table(spark, d, "pack_capacities"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 #: The key of the pseudonyms; a real one comes from a secret store.
 PII_KEY = b"example key, replace"
 
