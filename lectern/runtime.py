@@ -69,3 +69,18 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+
+
+def bounded_sample(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """At most ``n`` rows, chosen by a hash of the columns ``by``; for fitting models only.
+
+    A large input is thinned before the final ordering, so that a task sends
+    the driver its share of the sample and not ``n`` rows of its own.
+    """
+    from pyspark.sql import functions as F
+
+    whole = df.count()
+    keyed = df.withColumn("_h", F.xxhash64(*by))
+    if whole > 2 * n:
+        keyed = keyed.where(F.pmod("_h", F.lit(1 << 30)) < int((1 << 30) * 1.5 * n / whole))
+    return keyed.orderBy(F.pmod("_h", F.lit(1 << 30)), "_h").limit(n).drop("_h")
