@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import UNTITLED, WS, clean_text, count_words, is_chapter_title, let, normalize_title, preview, trim_ws
+from lectern.functions.text import CHAPTER_PATTERNS, UNTITLED, WS, clean_text, count_words, is_chapter_title, let, normalize_title, preview, trim_ws
 
 #: Limits of an import.
 MAX_CHARS, MIN_CHARS_FLOOR, MIN_CHARS_SHARE, MAX_CHARS_FLOOR, TINY_FLOOR = 4000, 300, 0.35, 500, 120
@@ -41,7 +41,7 @@ def sections(text: Column) -> Column:
         def of_starts(starts: Column) -> Column:
             def section(start: Column, k: Column) -> Column:
                 end = F.coalesce(F.try_element_at(starts, k + 2), n + 1)
-                body = clean_text(F.array_join(F.slice(lines, start + 1, F.greatest(end - start - 1, F.lit(0))), "\n"))
+                body = trim_ws(F.array_join(F.slice(lines, start + 1, F.greatest(end - start - 1, F.lit(0))), "\n"))  # the lines are clean already
                 title = F.when(start == 0, f"{UNTITLED} 1").otherwise(normalize_title(trim_ws(F.element_at(lines, F.greatest(start, F.lit(1))))))
                 return F.struct(title.alias("title"), body.alias("text"))
 
@@ -85,6 +85,22 @@ def clean(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip(_TRIM)
 
 
+_TITLE = re.compile("|".join(f"(?:{p})" for p in CHAPTER_PATTERNS).replace(r"\z", r"\Z").replace("(?i:Chapter)", "[Cc][Hh][Aa][Pp][Tt][Ee][Rr]"))
+
+
+def text_sections(text: str | None) -> list[tuple[str, str]]:
+    """The same sections as :func:`sections`, for use inside a batch."""
+    out: list[tuple[str, list[str]]] = [(f"{UNTITLED} 1", [])]
+    for line in clean(text or "").split("\n"):
+        bare = line.strip(_TRIM)
+        if 2 <= len(bare) <= 80 and not re.search("[。；;]", bare) and _TITLE.match(bare):
+            out.append((re.sub(r"^#{1,3}\s+", "", bare).strip(_TRIM) or UNTITLED, []))
+        else:
+            out[-1][1].append(line)
+    joined = ((title, "\n".join(lines).strip(_TRIM)) for title, lines in out)
+    return [(title, body) for title, body in joined if body]
+
+
 def _pack(parts: list[str], most: int, glue: str, oversized) -> list[str]:
     """Greedy packing in order; a part over the limit is handed to ``oversized``."""
     out: list[str] = []
@@ -182,14 +198,14 @@ def segment(books: DataFrame, *, max_chars: int = MAX_CHARS, min_chars: int | No
     Null and empty texts give no chunk.
     """
     most, least = limits(max_chars, min_chars)
-    rows = books.select("book_id", sections(F.col(text)).alias("s"))
+    rows = books.select("book_id", F.col(text).alias("s"))
     kind = dict(rows.dtypes)["book_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for book, found in zip(b["book_id"], b["s"]):
-                initial, parts = chunk_parts([(x["title"], x["text"]) for x in found], most, least)
+                initial, parts = chunk_parts(text_sections(found), most, least)
                 out += [(book, t, s, n, body, initial) for n, (t, s, body) in enumerate(parts)]
             yield pd.DataFrame(out, columns=["book_id", "title", "section_title", "ord", "text", "initial_chunks"])
 

@@ -140,7 +140,8 @@ x AS (SELECT doc_id, {_trim('p')} AS part, i FROM (SELECT doc_id, unnest(a) AS p
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, part FROM x WHERE part <> ''""",
         "hard_split": f"""WITH s AS (SELECT doc_id, {_clean('text')} AS t FROM documents), w AS (SELECT doc_id, t, unnest(range(0, length(t), 300)) AS k FROM s),
 x AS (SELECT doc_id, k, {_trim('substring(t, k + 1, 300)')} AS part FROM w) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n, part FROM x WHERE part <> ''""",
-        "segment_totals": f"SELECT CAST(doc_id AS VARCHAR) AS book_id, true AS dense, true AS bounded FROM documents WHERE {_clean('text')} <> ''",
+        "segment_totals": f"""WITH l AS (SELECT doc_id, unnest(string_split({_clean('text')}, chr(10))) AS line FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS book_id, true AS dense, true AS bounded FROM l GROUP BY doc_id HAVING bool_or({_trim('line')} <> '' AND NOT {_chapter(_trim('line'))})""",
         "chunk_links": f"WITH {_CHUNKS} SELECT book_id, chunk_id, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id FROM chunks_live WINDOW w AS (PARTITION BY book_id ORDER BY ord, chunk_id)",
         "chunk_stats": f"WITH {_CHUNKS}, s AS (SELECT book_id, coalesce(char_count, 0) AS n FROM chunks_live) SELECT book_id, count(*) AS chunk_count, CAST(sum(n) AS BIGINT) AS total_chars, CAST(floor(avg(n) + 0.5) AS BIGINT) AS average_chunk_chars, CAST(min(n) AS BIGINT) AS min_chunk_chars, CAST(max(n) AS BIGINT) AS max_chunk_chars FROM s GROUP BY book_id",
         "short_chunks": f"WITH {_CHUNKS} SELECT book_id, count(*) FILTER (coalesce(length(text), 0) < 300) AS short_chunks FROM chunks_live GROUP BY book_id",

@@ -15,7 +15,7 @@ from lectern.operators import link as L
 from lectern.operators import search as S
 from lectern.operators import segment as G
 from lectern.operators import state as P
-from lectern.runtime import ship, table
+from lectern.runtime import cut, ship, table
 from lectern.sources.html import html_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,7 +194,7 @@ def query_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 def _search(spark: SparkSession, d: str, query: str, **options) -> DataFrame:
     c, t = _counts(spark, d)
-    rows = S.keyword_search(S.one_query(spark, query), I.postings(I.pruned(t, c)), c, **options)
+    rows = S.keyword_search(S.one_query(spark, query), cut(I.postings(I.pruned(t, c)), "postings"), c, **options)
     return rows.select("book_id", "chunk_id", F.col("ord").cast("long").alias("ord"), "score", _joined("matched").alias("matched"), "preview")
 
 
@@ -208,7 +208,7 @@ def keyword_search_mixed(spark: SparkSession, d: str) -> DataFrame:
 
 def keyword_search_book(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d).where(F.col("book_id") == BOOK)
-    rows = S.keyword_search(S.one_query(spark, KEYWORDS), I.postings(I.pruned(I.term_counts(c), c)), c)
+    rows = S.keyword_search(S.one_query(spark, KEYWORDS), cut(I.postings(I.pruned(I.term_counts(c), c)), "postings"), c)
     return rows.select("book_id", "chunk_id", F.col("ord").cast("long").alias("ord"), "score", _joined("matched").alias("matched"), "preview")
 
 

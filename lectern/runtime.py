@@ -26,8 +26,7 @@ def ship(spark: SparkSession) -> None:
     able to import the package even where it isn't installed.
     """
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED or sc.master.startswith("local["):
-        _SHIPPED.add(sc.applicationId)
+    if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="pkg-")) / f"{root.name}.zip"
