@@ -8,6 +8,7 @@ in ``pre``; nothing is upper-cased and link targets are left out.
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -47,7 +48,7 @@ class _Text(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
-            self.parts.append(data if self.pre else " ".join(data.split()).join((" " * data[:1].isspace(), " " * data[-1:].isspace())) if data.strip() else " ")
+            self.parts.append(data if self.pre else re.sub(r"[ \t\n\f\r]+", " ", data))
 
 
 def to_text(html: str | None) -> str:
