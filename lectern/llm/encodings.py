@@ -105,11 +105,12 @@ def _plain(s: str) -> float:
     return sum(_usual(c) == 2 for c in wide) / len(wide) if wide else 1.0
 
 
-def _single_spans(text: str, sure: bool) -> list[tuple[int, int, str]]:
-    """Spans of UTF-8 read through a single-byte set. ``sure``: the text is known to be garbled elsewhere."""
+def _single_spans(text: str, used: set[str]) -> list[tuple[int, int, str]]:
+    """Spans of UTF-8 read through a single-byte set. ``used``: sets through which other parts of the text were misread."""
     best: list[tuple[int, int, str]] = []
+    by = ""
     for codec, back, auto in _single():
-        found, strong = [], False
+        found, strong, sure = [], False, codec in used
         for m in auto.finditer(text):
             raw = m.group()
             try:
@@ -122,7 +123,7 @@ def _single_spans(text: str, sure: bool) -> list[tuple[int, int, str]]:
             if 0 in use or any(c < "\xa0" and c > "\x7f" for c in made) and len(made) < 2:
                 if not (codec == "cp1252" and min(map(ord, made)) >= 0x80 and _again(made)):
                     continue
-            if codec in ("cp874", "koi8_r", "cp866", "cp1250", "iso8859_9", "cp850") and len(made) < (3 if codec == "cp874" else 2) and not (sure or _NEVER.search(raw)):
+            if codec in ("cp874", "koi8_r", "cp866", "cp1250", "iso8859_9", "cp850") and len(made) < (3 if codec == "cp874" else 2) and not (sure and codec != "cp874" or _NEVER.search(raw)):
                 if codec not in ("cp1250", "iso8859_9", "cp850") or raw[0].isalpha() and raw[1:2].isalpha():
                     continue
             if codec == "cp1251" and len(made) == 1 and made.isalpha() and not ("Ѐ" <= made <= "ӿ"):
@@ -135,7 +136,9 @@ def _single_spans(text: str, sure: bool) -> list[tuple[int, int, str]]:
         if strong or sure:
             kept = [x[:3] for x in found if x[3] or strong or sure]
             if sum(e - s for s, e, _ in kept) > sum(e - s for s, e, _ in best):
-                best = kept
+                best, by = kept, codec
+    if best:
+        used.add(by)
     return best
 
 
@@ -172,6 +175,8 @@ def _multi_spans(text: str, codec: str) -> list[tuple[int, int, str]]:
                 continue
             if all("\xa0" <= c < "ʰ" or "‐" <= c <= "›" for c in wide):
                 near = text[max(0, begin - 1) : begin] + text[end : end + 1]
+                if _HAN.search(near):
+                    continue  # part of a longer word of ideographs
                 outside = text[max(0, begin - 60) : begin] + text[end : end + 60]
                 if not sum(c.isascii() and c.isalpha() for c in outside) > 3 * len(_HAN.findall(outside)) + 3 * (not re.search("[A-Za-z]", near)):
                     continue
@@ -303,9 +308,9 @@ def restore(text: str) -> tuple[str, int, bool]:
     """``(text with every regainable span restored, number of spans, whether anything is lost for good)``."""
     if not _NON_ASCII.search(text):
         return text, 0, False
-    spans = 0
+    spans, used = 0, set()
     for _ in range(ROUNDS):
-        found = _single_spans(text, spans > 0)
+        found = _single_spans(text, used)
         if found and sum(b - a for a, b, _ in found) < 0.7 * len(_NON_ASCII.findall(text)):
             other = _western_spans(text)
             if sum(b - a for a, b, _ in other) > sum(b - a for a, b, _ in found):

@@ -125,7 +125,7 @@ def _expand(cp: np.ndarray, rows: np.ndarray, t: dict) -> tuple[np.ndarray, np.n
     at = np.repeat(np.arange(len(cp)), size)
     step = np.arange(ends[-1]) - ends[at]
     own = start[at]
-    out = np.where(own < 0, t["flat"][np.minimum(-1 - own + step, len(t["flat"]) - 1)] if len(t["flat"]) else 0, own)
+    out = np.where(own < 0, t["flat"][np.clip(-1 - own + step, 0, len(t["flat"]) - 1)], own)
     return out.astype(np.uint32), ends[rows]
 
 

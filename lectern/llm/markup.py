@@ -170,9 +170,9 @@ def _render(node: Node, drop: set[int], removed: list[int], depth: int = 0) -> s
             out.append("\n\n" + body.strip("\n") + "\n\n")
         elif k.tag == "li":
             count += 1
-            out.append("\n" + "  " * max(0, depth - 1) + (f"{count}. " if node.tag == "ol" else "\x04 ") + body.strip() + "\n")
+            out.append("\n" + "  " * max(0, depth - 1) + (f"{count}. " if node.tag == "ol" else "\x04 ") + body.strip())
         elif k.tag == "tr":
-            out.append("\n" + body.strip(" \t\n") + "\n")
+            out.append("\n" + body.strip(" \t\n"))
         elif k.tag in ("td", "th"):
             out.append(" ".join(body.split()) + "\t")
         elif re.fullmatch("h[1-6]", k.tag):
@@ -191,7 +191,7 @@ _BLOCK_RULES: list[tuple[re.Pattern, str | None]] = [
     (re.compile(r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]]*\])?(?:\{[^}]*\})?"), "\n\n"),
     # wiki structure
     (re.compile(r"^={2,6}[ \t]*([^=\n].*?)[ \t]*={2,6}[ \t]*$|^=[ \t]+([^=\n]+?)[ \t]+=[ \t]*$", re.M), r"\n\n## \1\2\n\n"),
-    (re.compile(r"^\{\|.*$|^\|\}[ \t]*$|^\|-+.*$", re.M), ""),
+    (re.compile(r"^\{\|.*$\n?|^\|\}[ \t]*$\n?|^\|-+[^|\n]*$\n?", re.M), ""),
     (re.compile(r"^\|\+[ \t]*|^![ \t]+(?=\S)", re.M), ""),
     (re.compile(r"^__[A-Z]{3,}__[ \t]*$|__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NOINDEX|INDEX)__", re.M), ""),
     (re.compile(r"\[\[(?:Category|Kategorie|Catégorie|Categoría|Categoria|Категория|分类|カテゴリ)\s*:[^\[\]]*\]\]\n?", re.I), ""),
@@ -293,7 +293,7 @@ def clean(text: str, drop: set[int] | frozenset[int] = frozenset()) -> tuple[str
     if "|" in body and re.search(r"(?m)^\|", body):
         body = re.sub(r"(?m)^\|(.*?)\|?[ \t]*$", lambda m: "\t".join(c.strip() for c in re.split(r"\|\|?", m[1])), body)
     body = body.replace("\x04", "-")
-    body = re.sub(r"[ \t]+\n", "\n", body)
+    body = re.sub(r"[ \t]+(?=\n|\Z)", "", body)
     body = re.sub(r"(?<=\S)[ \xa0]{2,}", " ", body)
     body = re.sub(r"\n{3,}", "\n\n", body).strip("\n")
 

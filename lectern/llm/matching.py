@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.glyphs import one_form
-from lectern.runtime import cut
+from lectern.runtime import bounded_sample, cut
 
 K1, B = 1.2, 0.5
 #: Share of a record's highest possible score below which no pair is considered.
@@ -332,7 +332,8 @@ def link(left: DataFrame, left_cols: tuple[str, str, str], right: DataFrame, rig
     ranked = pairs.withColumn("same", same).withColumn("rival", F.coalesce(F.max(F.when(~F.col("same") & (F.col("volume") == 1) & (F.col("author") > 0), F.col("score"))).over(per_l), F.lit(0.0)))
     ranked = ranked.withColumn("gap", (F.col("score") - F.col("rival")) / F.col("score")).withColumn("share", F.col("score") / F.col("self"))
     cols = ["gap", "title", "author"]
-    sure = ranked.where("volume = 1 AND author <> 0.5 AND ((same AND title = 1) OR (NOT same AND (title = 0 OR author = 0)))").select(*cols, F.col("same").cast("double").alias("y"), F.xxhash64("l", "r").alias("h")).orderBy("h").limit(FIT_PAIRS).drop("h").toPandas()
+    sure = ranked.where("volume = 1 AND author <> 0.5 AND ((same AND title = 1) OR (NOT same AND (title = 0 OR author = 0)))").select(*cols, F.col("same").cast("double").alias("y"), "l", "r")
+    sure = bounded_sample(sure, FIT_PAIRS, "l", "r").drop("l", "r").toPandas()
     if sure["y"].nunique() > 1:
         # half of the pairs once more without an author, for records that name none
         hidden = sure[::2][(sure["y"][::2] == 1) | (sure["title"][::2] == 0)].assign(author=0.5)
