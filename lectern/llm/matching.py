@@ -5,11 +5,18 @@ attributes scored by BM25; each left record asks it with exact top-k pruning;
 a pair stays if each is among the other's nearest; its confidence comes from
 the gap to the best different candidate through a fitted logistic curve.
 
-Pruning is exact: a pair below ``FLOOR`` of the asking record's highest
-possible score can't be a match, so terms are taken rarest first until the
-rest together can't reach that floor.  Only these essential terms generate
+Pruning is exact: a pair below ``FLOOR`` of what the asking record's title
+could score at most can't be a match, so terms are taken rarest first until
+the rest together can't reach that floor.  Only these essential terms generate
 candidates (no pair above the floor is lost), and a candidate is scored in
 full only if its essential part plus the most the rest can add reaches it.
+Words unknown to the index count in the highest possible score, so a record
+without a counterpart asks for next to nothing.
+
+The index holds words, and pairs of signs for scripts without spaces.  A word
+also meets, at ``SLIP`` of its weight, the index words one slip of the pen
+away: these are found once for each distinct word, by shared one-letter
+deletions.  Rarity enters squared, so common words carry little of a score.
 
 Both sides are first reduced to their distinct forms (folded title, volume,
 authors), so copies, re-deliveries and popular titles are matched once.
@@ -17,7 +24,7 @@ authors), so copies, re-deliveries and popular titles are matched once.
 
 from __future__ import annotations
 
-
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -33,8 +40,10 @@ from lectern.llm.glyphs import one_form
 from lectern.runtime import bounded_sample, cut
 
 K1, B = 1.2, 0.5
-#: Share of a record's highest possible score below which no pair is considered.
-FLOOR = 0.3
+#: Share of a title's highest possible score below which no pair is considered.
+FLOOR = 0.4
+#: Weight of a term that is met with a slip.
+SLIP = 0.6
 #: Candidates looked at for each record.
 TOP_K = 12
 #: Pairs on which the confidence curve is fitted, at most.
@@ -117,24 +126,15 @@ def author_forms(folded: str) -> list[tuple[str, ...]]:
     return sorted(set(out))
 
 
-def _less_one(word: str) -> set[str]:
-    return {word[:k] + word[k + 1 :] for k in range(len(word))}
-
-
 def terms(core: str, authors: list[tuple[str, ...]]) -> dict[str, float]:
-    """Weighted terms of a form: words, their one-letter deletions (against slips), pairs of dense-script signs."""
+    """Weighted terms of a form: words, and pairs of neighbouring signs of scripts without spaces."""
     out: dict[str, float] = {}
 
     def add(field: str, word: str) -> None:
-        if _DENSE.search(word):
-            runs = [word] if len(word) < 2 else [word[k : k + 2] for k in range(len(word) - 1)]
-            for r in runs:
-                out[f"{field}c{r}"] = out.get(f"{field}c{r}", 0) + 1.0
-        else:
-            out[f"{field}w{word}"] = out.get(f"{field}w{word}", 0) + 1.0
-            if len(word) > 4:
-                for v in _less_one(word):
-                    out[f"{field}d{v}"] = 0.15
+        dense = _DENSE.search(word)
+        for r in ([word] if len(word) < 2 else [word[k : k + 2] for k in range(len(word) - 1)]) if dense else [word]:
+            key = f"{field}{'c' if dense else 'w'}{r}"
+            out[key] = out.get(key, 0) + 1.0
 
     for w in _WORD.findall(core):
         add("t", w)
@@ -144,6 +144,11 @@ def terms(core: str, authors: list[tuple[str, ...]]) -> dict[str, float]:
     return out
 
 
+def skipped_pairs(core: str) -> list[str]:
+    """Pairs of signs with one between them, as terms: what a slip makes of neighbours."""
+    return sorted({f"tc{w[k]}{w[k + 2]}" for w in _WORD.findall(core) if _DENSE.search(w) for k in range(len(w) - 2)})
+
+
 def _distance(a: str, b: str, most: int) -> int:
     """Edit distance with transpositions, or ``most + 1`` once it is larger."""
     if abs(len(a) - len(b)) > most:
@@ -233,11 +238,11 @@ def author_likeness(a: list[tuple[str, ...]], b: list[tuple[str, ...]]) -> float
     return best
 
 
-_FORM = "form long, core string, volume int, authors array<array<string>>, term array<struct<t:string,w:double>>"
+_FORM = "form long, core string, volume int, authors array<array<string>>, term array<struct<t:string,w:double>>, skip array<string>"
 
 
 def forms(records: DataFrame, key: str, title: str, author: str) -> tuple[DataFrame, DataFrame]:
-    """``(membership: id, form)`` and ``(form, core, volume, authors, term)`` of one side.
+    """``(membership: id, form)`` and ``(form, core, volume, authors, term, skip)`` of one side.
 
     Records without any title are left out; a missing author is no author.
     """
@@ -254,39 +259,59 @@ def forms(records: DataFrame, key: str, title: str, author: str) -> tuple[DataFr
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(term=[[{"t": t, "w": w} for t, w in terms(c, [tuple(x) for x in a]).items()] for c, a in zip(b["core"], b["authors"])])
+            yield b.assign(term=[[{"t": t, "w": w} for t, w in terms(c, [tuple(x) for x in a]).items()] for c, a in zip(b["core"], b["authors"])], skip=[skipped_pairs(c) for c in b["core"]])
 
     distinct = folded.select("form", "core", "volume", "authors").dropDuplicates(["form"]).mapInPandas(weigh, _FORM)
     return folded.select("id", "form").distinct(), cut(distinct, "forms")
 
 
+def slips(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``(t, u)``: terms of ``asked(t)`` and different terms of ``known(t)`` that share a one-letter deletion; words of five letters or more."""
+
+    def shorter(df: DataFrame, name: str) -> DataFrame:
+        w = F.col("_w")
+        cut_ = F.concat(F.array(w), F.transform(F.sequence(F.lit(3), F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w)))))
+        return df.where("substring(t, 2, 1) = 'w' AND length(t) >= 7").select(F.col("t").alias("_w")).select(w.alias(name), F.explode(F.array_distinct(cut_)).alias("v"))
+
+    return shorter(asked, "t").join(shorter(known, "u"), "v").where("t <> u").select("t", "u").distinct()
+
+
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``(l, r, score, self)``: of each left form the ``TOP_K`` right forms by BM25, exactly.
+    """``(l, r, score, self)``: of each left form the ``TOP_K`` right forms by BM25 (ties with the last included), exactly.
 
-    ``self`` is the highest score the left form could reach.
+    ``self`` is the highest score the title of the left form could reach.
     """
-    post = right.select("form", F.size("term").alias("len"), F.explode("term").alias("x")).select("form", "len", F.xxhash64("x.t").alias("t"), F.col("x.w").alias("w"))
+    post = right.select("form", F.size("term").alias("len"), F.explode("term").alias("x")).select("form", "len", F.col("x.t").alias("t"), F.col("x.w").alias("w"))
     n, mean = right.agg(F.count(F.lit(1)), F.avg(F.size("term"))).first()
     if not n:
         return left.select(F.col("form").alias("l"), F.col("form").alias("r"), F.lit(0.0).alias("score"), F.lit(0.0).alias("self")).where("false")
     gain = F.col("w") * (K1 + 1) / (F.col("w") + K1 * (1 - B + B * F.col("len") / F.lit(float(mean))))
-    stats = post.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.max(gain).alias("gain")).withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))).withColumn("top", F.col("gain") * F.col("idf"))
-    stats = cut(stats.select("t", "df", "idf", "top"), "stats")
-    index = cut(post.join(stats.select("t", "idf"), "t").select("t", F.col("form").alias("r"), (gain * F.col("idf")).alias("s")), "index")
-    asked = left.select(F.col("form").alias("l"), F.explode("term").alias("x")).select("l", F.xxhash64("x.t").alias("t"), F.col("x.w").alias("q")).join(stats, "t")
-    # a repeated word asks once; weights of deletions are small on both sides
-    asked = asked.withColumn("most", F.col("top"))
-    tail = Window.partitionBy("l").orderBy(F.desc("df"), "t").rowsBetween(Window.unboundedPreceding, 0)
-    asked = asked.withColumn("self", F.sum("most").over(Window.partitionBy("l"))).withColumn("rest", F.sum("most").over(tail))
-    asked = cut(asked.select("l", "t", "self", "rest", "most", (F.col("rest") >= FLOOR * F.col("self")).alias("essential")), "asked")
+    rarity = F.pow(F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), 2)
+    stats = cut(post.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.max(gain).alias("gain")).select("t", "df", rarity.alias("rarity"), (F.col("gain") * rarity).alias("top")), "stats")
+    index = cut(post.join(stats.select("t", "rarity"), "t").select("t", F.col("form").alias("r"), (gain * F.col("rarity")).alias("s")), "index")
+
+    own = left.select(F.col("form").alias("l"), F.explode("term").alias("x")).select("l", F.col("x.t").alias("t"))
+    skip = left.select(F.col("form").alias("l"), F.explode("skip").alias("t"))
+    near = cut(slips(own.select("t").distinct(), stats.select("t")), "slips")
+    # which index terms each left term meets, and how well
+    met = own.select("l", "t", F.col("t").alias("u"), F.lit(1.0).alias("f")).unionByName(own.join(near, "t").select("l", "t", "u", F.lit(SLIP).alias("f")))
+    met = met.join(stats.select(F.col("t").alias("u"), "df", "top"), "u", "left")
+    unknown = math.log(1 + (n + 0.5) / 0.5) ** 2
+    best_of = met.groupBy("l", "t").agg(F.max("top").alias("most")).groupBy("l").agg(F.sum(F.when(F.col("t").startswith("t"), F.coalesce("most", F.lit(unknown))).otherwise(0.0)).alias("self"))
+    across = skip.select("l", F.col("t").alias("u"), F.lit(SLIP).alias("f")).join(stats.select(F.col("t").alias("u"), "df", "top"), "u")
+    asked = met.where("top IS NOT NULL").select("l", "u", "f", "df", "top").unionByName(across.select("l", "u", "f", "df", "top")).groupBy("l", "u").agg(F.max("f").alias("f"), F.first("df").alias("df"), F.first("top").alias("top"))
+    asked = asked.withColumn("most", F.col("f") * F.col("top")).join(best_of, "l")
+    tail = Window.partitionBy("l").orderBy(F.desc("df"), "u").rowsBetween(Window.unboundedPreceding, 0)
+    asked = cut(asked.withColumn("rest", F.sum("most").over(tail)).select("l", F.col("u").alias("t"), "f", "self", "most", (F.col("rest") >= FLOOR * F.col("self")).alias("essential")), "asked")
     bounds = asked.groupBy("l").agg(F.first("self").alias("self"), F.coalesce(F.sum(F.when(~F.col("essential"), F.col("most"))), F.lit(0.0)).alias("slack"))
-    part = asked.where("essential").select("l", "t").join(index, "t").groupBy("l", "r").agg(F.sum("s").alias("s"))
+    part = asked.where("essential").select("l", "t", "f").join(index, "t").groupBy("l", "r").agg(F.sum(F.col("f") * F.col("s")).alias("s"))
     open_ = cut(part.join(bounds, "l").where(F.col("s") + F.col("slack") >= FLOOR * F.col("self")), "open")
     # the rest of the score, for the candidates that can still reach the floor
-    lq = asked.where("NOT essential").groupBy("l").agg(F.collect_set("t").alias("lt"))
+    lq = asked.where("NOT essential").groupBy("l").agg(F.collect_list(F.struct("t", "f")).alias("lt"))
     rv = index.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("t", "s"))).alias("rv"))
-    full = open_.join(lq, "l", "left").join(rv, "r").withColumn("score", F.col("s") + F.coalesce(F.aggregate("lt", F.lit(0.0), lambda acc, t: acc + F.coalesce(F.try_element_at("rv", t), F.lit(0.0))), F.lit(0.0)))
-    best = Window.partitionBy("l").orderBy(F.desc("score"), "r")
+    more = F.aggregate("lt", F.lit(0.0), lambda acc, x: acc + x["f"] * F.coalesce(F.try_element_at("rv", x["t"]), F.lit(0.0)))
+    full = open_.join(lq, "l", "left").join(rv, "r").withColumn("score", F.col("s") + F.coalesce(more, F.lit(0.0)))
+    best = Window.partitionBy("l").orderBy(F.desc("score"))
     return full.where(F.col("score") >= FLOOR * F.col("self")).select("l", "r", "score", "self", F.rank().over(best).alias("k")).where(F.col("k") <= TOP_K).drop("k")
 
 
@@ -305,7 +330,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
-def link(left: DataFrame, left_cols: tuple[str, str, str], right: DataFrame, right_cols: tuple[str, str, str], *, least: float = 0.5, mutual: float = 0.6) -> DataFrame:
+def link(left: DataFrame, left_cols: tuple[str, str, str], right: DataFrame, right_cols: tuple[str, str, str], *, least: float = 0.5, mutual: float = 0.4) -> DataFrame:
     """``(left id, right id, score, confidence)`` of the matching records.
 
     A left record can match several right ones only where these are the same
@@ -344,6 +369,6 @@ def link(left: DataFrame, left_cols: tuple[str, str, str], right: DataFrame, rig
     logit = sum((F.col(c) * F.lit(float(v)) for c, v in zip(cols, w)), F.lit(float(w[-1])))
     kept = ranked.where("same").withColumn("confidence", 1 / (1 + F.exp(-logit)))
     # nearest of the left: an equal title beats a likely one; nearest of the right: within a share of its best
-    kept = kept.withColumn("t_best", F.max("title").over(per_l)).withColumn("a_best", F.max("author").over(per_l)).withColumn("r_best", F.max("share").over(per_r))
-    kept = kept.where((F.col("title") >= F.col("t_best") - 0.02) & (F.col("share") >= mutual * F.col("r_best")) & (F.col("confidence") >= least))
+    kept = kept.withColumn("t_best", F.max("title").over(per_l)).withColumn("a_best", F.max("author").over(per_l)).withColumn("r_best", F.max(F.least("share", F.lit(1.0))).over(per_r))
+    kept = kept.where((F.col("title") >= F.col("t_best") - 0.02) & (F.least("share", F.lit(1.0)) >= mutual * F.col("r_best")) & (F.col("confidence") >= least))
     return kept.join(l_ids.withColumnRenamed("id", left_cols[0]), kept["l"] == l_ids["form"]).drop("form").join(r_ids.withColumnRenamed("id", right_cols[0]), kept["r"] == r_ids["form"]).select(left_cols[0], right_cols[0], "score", "confidence").groupBy(left_cols[0], right_cols[0]).agg(F.max("score").alias("score"), F.max("confidence").alias("confidence"))
