@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import clean_text, inline, occurrences, search_preview
 from lectern.functions.tokens import query_tokens, token_weight
+from lectern.runtime import cut
 
 #: Limits and score steps of a search.
 LIMIT, MAX_PREVIEW, BOOST, EXACT_BASE, EXACT_STEP = 10, 220, 4, 100, 5
@@ -51,8 +52,9 @@ def keyword_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame, *
     """
     meta = chunks.select("book_id", "chunk_id", "ord")
     hits = indexed_hits(queries, postings).join(meta, ["book_id", "chunk_id"])
-    first = _ranked(hits, QUERY, max(5 * limit, 20))
-    # late materialisation: bodies only for the chunks still in the race
+    # late materialisation: the chunks still in the race are written down, so that Spark knows how few
+    # they are and can join their bodies without shuffling every text
+    first = cut(_ranked(hits, QUERY, max(5 * limit, 20)), "ranked")
     body = chunks.select("book_id", "chunk_id", F.col("text").alias("body"))
     read = first.join(body, ["book_id", "chunk_id"], "left")
     boosted = read.withColumn("score", F.col("score") + F.when(F.contains(clean_text(F.col("body")), F.col("query")) & (F.col("query") != ""), BOOST).otherwise(0))

@@ -141,17 +141,17 @@ def short_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- index
-def _counts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = _chunks(spark, d)
+def _counts(spark: SparkSession, d: str, *cols: str) -> tuple[DataFrame, DataFrame]:
+    c = _chunks(spark, d, *cols)
     return c, I.term_counts(c)
 
 
 def term_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _counts(spark, d)[1]
+    return _counts(spark, d, "text")[1]
 
 
 def postings_pruned(spark: SparkSession, d: str) -> DataFrame:
-    c, t = _counts(spark, d)
+    c, t = _counts(spark, d, "text")
     return I.pruned(t, c)
 
 
@@ -164,7 +164,7 @@ def chunk_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_back_fill(spark: SparkSession, d: str) -> DataFrame:
-    c, t = _counts(spark, d)
+    c, t = _counts(spark, d, "ord", "text")
     return I.back_fill(c.select(*KEY, "ord"), I.keywords(I.pruned(t, c))).select(*KEY, F.col("ord").cast("long").alias("ord"), F.size("keywords").cast("long").alias("n_keywords"), _joined("keywords").alias("keywords"))
 
 
@@ -193,7 +193,7 @@ def query_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, d: str, query: str, **options) -> DataFrame:
-    c, t = _counts(spark, d)
+    c, t = _counts(spark, d, "ord", "text")
     rows = S.keyword_search(S.one_query(spark, query), cut(I.postings(I.pruned(t, c)), "postings"), c, **options)
     return rows.select("book_id", "chunk_id", F.col("ord").cast("long").alias("ord"), "score", _joined("matched").alias("matched"), "preview")
 
@@ -207,24 +207,24 @@ def keyword_search_mixed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_search_book(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d).where(F.col("book_id") == BOOK)
+    c = _chunks(spark, d, "ord", "text").where(F.col("book_id") == BOOK)
     rows = S.keyword_search(S.one_query(spark, KEYWORDS), cut(I.postings(I.pruned(I.term_counts(c), c)), "postings"), c)
     return rows.select("book_id", "chunk_id", F.col("ord").cast("long").alias("ord"), "score", _joined("matched").alias("matched"), "preview")
 
 
 def keyword_fallback(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d)
+    c = _chunks(spark, d, "ord", "text")
     none = spark.createDataFrame([], "query_id int, book_id string")
     hits = S.fallback_hits(S.one_query(spark, MISSED), c, none)
     return hits.select("book_id", "chunk_id", F.col("ord").cast("long").alias("ord"), "score", _joined("matched").alias("matched"))
 
 
 def exact_search_all(spark: SparkSession, d: str) -> DataFrame:
-    return S.exact_search(S.one_query(spark, PHRASE), _chunks(spark, d)).select("book_id", "chunk_id", F.col("ord").cast("long").alias("ord"), "score", "preview")
+    return S.exact_search(S.one_query(spark, PHRASE), _chunks(spark, d, "ord", "text")).select("book_id", "chunk_id", F.col("ord").cast("long").alias("ord"), "score", "preview")
 
 
 def exact_search_book(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d).where(F.col("book_id") == BOOK)
+    c = _chunks(spark, d, "ord", "text").where(F.col("book_id") == BOOK)
     return S.exact_search(S.one_query(spark, PHRASE), c, one_book=True).select("book_id", "chunk_id", F.col("ord").cast("long").alias("ord"), "score", "preview")
 
 
@@ -235,7 +235,7 @@ def occurrence_count(spark: SparkSession, d: str) -> DataFrame:
 
 def highlight_context(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "documents").where("doc_kind = 'highlight' AND book_id IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "book_id")
-    return S.highlight_context(h, _chunks(spark, d)).select(F.col("query_id").alias("doc_id"), "book_id", "chunk_id", F.col("ord").cast("long").alias("ord"), "score", "preview")
+    return S.highlight_context(h, _chunks(spark, d, "ord", "text")).select(F.col("query_id").alias("doc_id"), "book_id", "chunk_id", F.col("ord").cast("long").alias("ord"), "score", "preview")
 
 
 # ---- progress, notes, books
