@@ -16,7 +16,8 @@ without a counterpart asks for next to nothing.
 The index holds words, and pairs of signs for scripts without spaces.  A word
 also meets, at ``SLIP`` of its weight, the index words one slip of the pen
 away: these are found once for each distinct word, by shared one-letter
-deletions.  Rarity enters squared, so common words carry little of a score.
+deletions.  Rarity enters
+with the power ``RARITY``, so common words carry little of a score.
 
 Both sides are first reduced to their distinct forms (folded title, volume,
 authors), so copies, re-deliveries and popular titles are matched once.
@@ -40,10 +41,14 @@ from lectern.llm.glyphs import one_form
 from lectern.runtime import bounded_sample, cut
 
 K1, B = 1.2, 0.5
+#: Power of a term's rarity in its weight.
+RARITY = 3
 #: Share of a title's highest possible score below which no pair is considered.
 FLOOR = 0.4
 #: Weight of a term that is met with a slip.
 SLIP = 0.6
+#: Share at which an unknown pair of signs counts in the highest possible score, as one slip spoils up to three.
+SPOILT = 0.4
 #: Candidates looked at for each record.
 TOP_K = 12
 #: Pairs on which the confidence curve is fitted, at most.
@@ -286,7 +291,7 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     if not n:
         return left.select(F.col("form").alias("l"), F.col("form").alias("r"), F.lit(0.0).alias("score"), F.lit(0.0).alias("self")).where("false")
     gain = F.col("w") * (K1 + 1) / (F.col("w") + K1 * (1 - B + B * F.col("len") / F.lit(float(mean))))
-    rarity = F.pow(F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), 2)
+    rarity = F.pow(F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), RARITY)
     stats = cut(post.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.max(gain).alias("gain")).select("t", "df", rarity.alias("rarity"), (F.col("gain") * rarity).alias("top")), "stats")
     index = cut(post.join(stats.select("t", "rarity"), "t").select("t", F.col("form").alias("r"), (gain * F.col("rarity")).alias("s")), "index")
 
@@ -296,8 +301,8 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     # which index terms each left term meets, and how well
     met = own.select("l", "t", F.col("t").alias("u"), F.lit(1.0).alias("f")).unionByName(own.join(near, "t").select("l", "t", "u", F.lit(SLIP).alias("f")))
     met = met.join(stats.select(F.col("t").alias("u"), "df", "top"), "u", "left")
-    unknown = math.log(1 + (n + 0.5) / 0.5) ** 2
-    best_of = met.groupBy("l", "t").agg(F.max("top").alias("most")).groupBy("l").agg(F.sum(F.when(F.col("t").startswith("t"), F.coalesce("most", F.lit(unknown))).otherwise(0.0)).alias("self"))
+    unknown = math.log(1 + (n + 0.5) / 0.5) ** RARITY
+    best_of = met.groupBy("l", "t").agg(F.max("top").alias("most")).groupBy("l").agg(F.sum(F.when(F.col("t").startswith("t"), F.coalesce("most", F.when(F.col("t").startswith("tc"), unknown * SPOILT).otherwise(unknown))).otherwise(0.0)).alias("self"))
     across = skip.select("l", F.col("t").alias("u"), F.lit(SLIP).alias("f")).join(stats.select(F.col("t").alias("u"), "df", "top"), "u")
     asked = met.where("top IS NOT NULL").select("l", "u", "f", "df", "top").unionByName(across.select("l", "u", "f", "df", "top")).groupBy("l", "u").agg(F.max("f").alias("f"), F.first("df").alias("df"), F.first("top").alias("top"))
     asked = asked.withColumn("most", F.col("f") * F.col("top")).join(best_of, "l")

@@ -80,13 +80,13 @@ def test_candidates_lose_nothing_above_the_floor(spark):
     rt = {r["form"]: {x["t"]: x["w"] for x in r["term"]} for r in right.collect()}
     n, mean = len(rt), sum(map(len, rt.values())) / len(rt)
     df = Counter(t for x in rt.values() for t in x)
-    rare = {t: np.log(1 + (n - c + 0.5) / (c + 0.5)) ** 2 for t, c in df.items()}
+    rare = {t: np.log(1 + (n - c + 0.5) / (c + 0.5)) ** matching.RARITY for t, c in df.items()}
     gain = {(f, t): w * (matching.K1 + 1) / (w + matching.K1 * (1 - matching.B + matching.B * len(x) / mean)) * rare[t] for f, x in rt.items() for t, w in x.items()}
     top = {}
     for (_, t), v in gain.items():
         top[t] = max(top.get(t, 0), v)
     less = lambda t: {t, *(t[:k] + t[k + 1 :] for k in range(2, len(t)))} if t[1] == "w" and len(t) >= 7 else set()
-    unknown = np.log(1 + (n + 0.5) / 0.5) ** 2
+    unknown = np.log(1 + (n + 0.5) / 0.5) ** matching.RARITY
     slips = 0
     for a, x in lt.items():
         met, own = {}, 0.0
