@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.runtime import cut
+
 #: Element names taken as markup.
 TAGS = set(
     "a abbr address article aside audio b bdi bdo big blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark math meta nav noscript object ol optgroup option p picture pre q ref references rp rt ruby s samp script section select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr tt u ul var video wbr nowiki gallery poem".split()
@@ -330,11 +332,11 @@ def clean_pages(pages: DataFrame, keys: list[str], host: str, text: str, **limit
 
     ``pieces`` is the number of markup pieces found, ``removed`` the number of
     template subtrees deleted.  Null texts give no row, texts without markup
-    come out unchanged with 0 pieces.  Page texts aren't shuffled: the table
-    of templates is joined to them, and Spark broadcasts it only if it is
-    under the session's size threshold.
+    come out unchanged with 0 pieces.  The table of templates is written first,
+    so Spark knows its size: under the session's threshold it is broadcast and
+    no page text is shuffled, else the join is by host, skewed hosts split.
     """
-    known = templates(pages, host, text, **limits)
+    known = cut(templates(pages, host, text, **limits), "templates")
     rows = pages.select(*keys, F.col(host).alias("host"), F.col(text).alias("_text")).where("_text IS NOT NULL").join(known, "host", "left").select(*keys, "_text", "drop")
     types = dict(rows.dtypes)
 
