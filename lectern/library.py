@@ -152,6 +152,22 @@ class Library:
 
         return cut(df, "import")
 
+    def adopt(self, folder: str) -> dict[str, int]:
+        """Takes over a file-backed library folder; returns the rows of each table."""
+        from lectern.sources.folder import read_folder
+
+        found = read_folder(self.spark, folder)
+        key = L.link_key(F.col("ext_id"), F.col("ext_title"), F.col("ext_author")).alias("key")
+        for name, df in found.items():
+            self.write(name, df.select(key, "*") if name in ("links", "pending") else df)
+        return {name: self.table(name).count() for name in found}
+
+    def find_book(self, book_id: str | None = None, source_path: str | None = None, title: str | None = None) -> DataFrame:
+        """The imported book that fits best: by id, else by source path, else by title, else the newest."""
+        b = self.table("books")
+        rank = F.when(F.col("book_id") == F.lit(book_id), 0).when(F.col("source_path") == F.lit(source_path), 1).when(F.col("title") == F.lit(title), 2).otherwise(3)
+        return b.orderBy(rank, F.desc_nulls_last("imported_at"), "book_id").limit(1)
+
     def build_index(self, book_id: str | None = None, *, every: bool = False, now: datetime | None = None, **options) -> DataFrame:
         """Builds the index of one book or all; returns ``book_id, term_count, posting_count``."""
         one = _scope(book_id, every)

@@ -119,3 +119,33 @@ def test_streaming(spark, tmp_path):
     q = progress_windows(spark.readStream.schema(df.schema).parquet(str(src))).writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r["updates"] for r in spark.table("days").collect()] == [2]
+
+
+def test_adopt_folder_and_command_line(spark, tmp_path, capsys):
+    import json
+
+    from lectern import cli
+    from lectern.sources.folder import warnings
+
+    d = tmp_path / "old"
+    (d / "books" / "fog" / "chunks").mkdir(parents=True)
+    (d / "books" / "bad").mkdir()
+    (d / "books" / "bad" / "manifest.json").write_text("{")
+    (d / "notes").mkdir()
+    chunk = {"id": "ch000", "title": "One", "sectionTitle": "One", "order": 0, "path": "chunks\\ch000.md", "charCount": 7, "keywords": ["fog", 1], "prevId": None, "nextId": None}
+    (d / "books" / "fog" / "manifest.json").write_text(json.dumps({"bookId": "fog", "title": "Fog", "importedAt": "2025-01-01T00:00:00.000Z", "chunkCount": 1, "chunkStats": {"averageChars": 7}, "index": {"status": "built"}, "chunks": [chunk]}))
+    (d / "books" / "fog" / "chunks" / "ch000.md").write_text("# One\n\nfog fog\n")
+    (d / "books" / "fog" / "search-index.json").write_text(json.dumps({"bookId": "fog", "terms": {"fog": [["ch000", 2], {"chunkId": "ch001", "count": 1}, ["ch002", 0], None]}}))
+    (d / "progress.json").write_text(json.dumps({"books": {"fog": {"lastChunkId": "ch000", "lastReadAt": "no time", "currentThemes": [" a ", ""]}}, "recentBooks": [{"localBookId": "fog"}, "x"]}))
+    (d / "book-map.json").write_text(json.dumps({"links": [{"wereadBookId": "w1", "wereadTitle": "Fog", "localBookId": "fog", "score": 0.9, "status": "linked", "matchedBy": ["normalizedTitle"]}], "pending": [{"wereadTitle": "Fo", "candidates": [{"localBookId": "fog", "score": 0.75, "matchedBy": []}]}]}))
+    (d / "notes" / "fog.md").write_text("# Fog\n\n## 当前理解\n\nx\n")
+    lib = Library(spark, str(tmp_path / "lib"))
+    assert lib.adopt(str(d)) == {"books": 1, "chunks": 1, "postings": 2, "progress": 1, "notes": 1, "links": 1, "pending": 1}
+    assert lib.get_chunk("fog", "ch000").first()["text"] == "fog fog" and lib.table("books").first()["imported_at"] == datetime(2025, 1, 1)
+    assert lib.table("progress").first()["recency_seq"] == 2 and lib.table("progress").first()["current_themes"] == ["a"]
+    assert lib.find_highlight("fog fog", ext_id="w1").values["chunk_id"] == "ch000" and lib.find_highlight("x", title="Fo").action == "pending"
+    assert warnings(spark, str(d)).count() == 1
+    assert lib.find_book(title="Fog").first()["book_id"] == "fog"
+    for args, part in ((["search", "fog", "--all"], "fog / Fog"), (["exact", "--book-id", "fog", "fog fog"], "score 105"), (["list"], "[built]"), (["index", "--all"], "1 terms"), (["link", "--pending"], "fog (0.75)"), (["link", "--title", "Fog"], "linked"), (["--json", "search", "fog", "--all"], '"score"')):
+        root = ["--root", str(tmp_path / "lib")]
+        assert part in cli.run(lib, cli.parser().parse_args([*root, *args])), args
