@@ -17,6 +17,9 @@ Shape of the plan
 4. Block partials are encoded by joining on the term, moved by identifier
    range, and added into dense arrays of ``RANGE`` slots.  A task holds one
    pair of arrays per range it owns, whatever the number of blocks.
+
+The dictionary grows with the data, so the joins with it merge and never
+broadcast it.
 """
 
 from __future__ import annotations
@@ -127,9 +130,9 @@ def term_counts(postings: DataFrame) -> tuple[DataFrame, int]:
     total = blocks.where("term IS NULL").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     partial = blocks.where("term IS NOT NULL")
     words = dictionary(partial)
-    encoded = partial.join(words, "term").select("id", "hits", "records")
+    encoded = partial.join(words.hint("merge"), "term").select("id", "hits", "records")
     summed = encoded.repartition(F.expr(f"id div {RANGE}")).mapInPandas(_sum_ranges, "id long, hits long, records long")
-    return summed.join(words, "id").select("term", "hits", "records"), total
+    return summed.join(words.hint("merge"), "id").select("term", "hits", "records"), total
 
 
 def verdicts(postings: DataFrame, *, min_hits: int = 3, max_share: float = 0.15) -> DataFrame:

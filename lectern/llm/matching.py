@@ -19,6 +19,9 @@ away: these are found once for each distinct word, by shared one-letter
 deletions.  Rarity enters
 with the power ``RARITY``, so common words carry little of a score.
 
+No table here is broadcast: each grows with the data, and the files of a
+written one are far smaller than the table in memory, so every join merges.
+
 Both sides are first reduced to their distinct forms (folded title, volume,
 authors), so copies, re-deliveries and popular titles are matched once.
 """
@@ -278,7 +281,7 @@ def slips(asked: DataFrame, known: DataFrame) -> DataFrame:
         cut_ = F.concat(F.array(w), F.transform(F.sequence(F.lit(3), F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w)))))
         return df.where("substring(t, 2, 1) = 'w' AND length(t) >= 7").select(F.col("t").alias("_w")).select(w.alias(name), F.explode(F.array_distinct(cut_)).alias("v"))
 
-    return shorter(asked, "t").join(shorter(known, "u"), "v").where("t <> u").select("t", "u").distinct()
+    return shorter(asked, "t").join(shorter(known, "u").hint("merge"), "v").where("t <> u").select("t", "u").distinct()
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -293,29 +296,29 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     gain = F.col("w") * (K1 + 1) / (F.col("w") + K1 * (1 - B + B * F.col("len") / F.lit(float(mean))))
     rarity = F.pow(F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), RARITY)
     stats = cut(post.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.max(gain).alias("gain")).select("t", "df", rarity.alias("rarity"), (F.col("gain") * rarity).alias("top")), "stats")
-    index = cut(post.join(stats.select("t", "rarity"), "t").select("t", F.col("form").alias("r"), (gain * F.col("rarity")).alias("s")), "index")
+    index = cut(post.join(stats.select("t", "rarity").hint("merge"), "t").select("t", F.col("form").alias("r"), (gain * F.col("rarity")).alias("s")), "index")
 
     own = left.select(F.col("form").alias("l"), F.explode("term").alias("x")).select("l", F.col("x.t").alias("t"))
     skip = left.select(F.col("form").alias("l"), F.explode("skip").alias("t"))
     near = cut(slips(own.select("t").distinct(), stats.select("t")), "slips")
     # which index terms each left term meets, and how well
-    met = own.select("l", "t", F.col("t").alias("u"), F.lit(1.0).alias("f")).unionByName(own.join(near, "t").select("l", "t", "u", F.lit(SLIP).alias("f")))
-    met = met.join(stats.select(F.col("t").alias("u"), "df", "top"), "u", "left")
+    met = own.select("l", "t", F.col("t").alias("u"), F.lit(1.0).alias("f")).unionByName(own.join(near.hint("merge"), "t").select("l", "t", "u", F.lit(SLIP).alias("f")))
+    met = met.join(stats.select(F.col("t").alias("u"), "df", "top").hint("merge"), "u", "left")
     unknown = math.log(1 + (n + 0.5) / 0.5) ** RARITY
     best_of = met.groupBy("l", "t").agg(F.max("top").alias("most")).groupBy("l").agg(F.sum(F.when(F.col("t").startswith("t"), F.coalesce("most", F.when(F.col("t").startswith("tc"), unknown * SPOILT).otherwise(unknown))).otherwise(0.0)).alias("self"))
-    across = skip.select("l", F.col("t").alias("u"), F.lit(SLIP).alias("f")).join(stats.select(F.col("t").alias("u"), "df", "top"), "u")
+    across = skip.select("l", F.col("t").alias("u"), F.lit(SLIP).alias("f")).join(stats.select(F.col("t").alias("u"), "df", "top").hint("merge"), "u")
     asked = met.where("top IS NOT NULL").select("l", "u", "f", "df", "top").unionByName(across.select("l", "u", "f", "df", "top")).groupBy("l", "u").agg(F.max("f").alias("f"), F.first("df").alias("df"), F.first("top").alias("top"))
-    asked = asked.withColumn("most", F.col("f") * F.col("top")).join(best_of, "l")
+    asked = asked.withColumn("most", F.col("f") * F.col("top")).join(best_of.hint("merge"), "l")
     tail = Window.partitionBy("l").orderBy(F.desc("df"), "u").rowsBetween(Window.unboundedPreceding, 0)
     asked = cut(asked.withColumn("rest", F.sum("most").over(tail)).select("l", F.col("u").alias("t"), "f", "self", "most", (F.col("rest") >= FLOOR * F.col("self")).alias("essential")), "asked")
     bounds = asked.groupBy("l").agg(F.first("self").alias("self"), F.coalesce(F.sum(F.when(~F.col("essential"), F.col("most"))), F.lit(0.0)).alias("slack"))
-    part = asked.where("essential").select("l", "t", "f").join(index, "t").groupBy("l", "r").agg(F.sum(F.col("f") * F.col("s")).alias("s"))
-    open_ = cut(part.join(bounds, "l").where(F.col("s") + F.col("slack") >= FLOOR * F.col("self")), "open")
+    part = asked.where("essential").select("l", "t", "f").join(index.hint("merge"), "t").groupBy("l", "r").agg(F.sum(F.col("f") * F.col("s")).alias("s"))
+    open_ = cut(part.join(bounds.hint("merge"), "l").where(F.col("s") + F.col("slack") >= FLOOR * F.col("self")), "open")
     # the rest of the score, for the candidates that can still reach the floor
     lq = asked.where("NOT essential").groupBy("l").agg(F.collect_list(F.struct("t", "f")).alias("lt"))
     rv = index.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("t", "s"))).alias("rv"))
     more = F.aggregate("lt", F.lit(0.0), lambda acc, x: acc + x["f"] * F.coalesce(F.try_element_at("rv", x["t"]), F.lit(0.0)))
-    full = open_.join(lq, "l", "left").join(rv, "r").withColumn("score", F.col("s") + F.coalesce(more, F.lit(0.0)))
+    full = open_.join(lq.hint("merge"), "l", "left").join(rv.hint("merge"), "r").withColumn("score", F.col("s") + F.coalesce(more, F.lit(0.0)))
     best = Window.partitionBy("l").orderBy(F.desc("score"))
     return full.where(F.col("score") >= FLOOR * F.col("self")).select("l", "r", "score", "self", F.rank().over(best).alias("k")).where(F.col("k") <= TOP_K).drop("k")
 
@@ -354,7 +357,7 @@ def link(left: DataFrame, left_cols: tuple[str, str, str], right: DataFrame, rig
             w = [author_likeness([tuple(n) for n in p], [tuple(n) for n in q]) for p, q in zip(x["la"], x["ra"])]
             yield x[["l", "r", "score", "self"]].assign(title=t, author=w, volume=(x["lv"] == x["rv"]).astype(float))
 
-    pairs = cut(found.join(a, "l").join(b, "r").mapInPandas(judge, "l long, r long, score double, self double, title double, author double, volume double"), "pairs")
+    pairs = cut(found.join(a.hint("merge"), "l").join(b.hint("merge"), "r").mapInPandas(judge, "l long, r long, score double, self double, title double, author double, volume double"), "pairs")
     # a title without its subtitle is enough only together with the author
     same = (F.col("title") > 0.7) & (F.col("author") > 0) & (F.col("volume") == 1) & ((F.col("title") != 0.8) | (F.col("author") > 0.5))
     per_l, per_r = Window.partitionBy("l"), Window.partitionBy("r")
@@ -376,4 +379,4 @@ def link(left: DataFrame, left_cols: tuple[str, str, str], right: DataFrame, rig
     # nearest of the left: an equal title beats a likely one; nearest of the right: within a share of its best
     kept = kept.withColumn("t_best", F.max("title").over(per_l)).withColumn("a_best", F.max("author").over(per_l)).withColumn("r_best", F.max(F.least("share", F.lit(1.0))).over(per_r))
     kept = kept.where((F.col("title") >= F.col("t_best") - 0.02) & (F.least("share", F.lit(1.0)) >= mutual * F.col("r_best")) & (F.col("confidence") >= least))
-    return kept.join(l_ids.withColumnRenamed("id", left_cols[0]), kept["l"] == l_ids["form"]).drop("form").join(r_ids.withColumnRenamed("id", right_cols[0]), kept["r"] == r_ids["form"]).select(left_cols[0], right_cols[0], "score", "confidence").groupBy(left_cols[0], right_cols[0]).agg(F.max("score").alias("score"), F.max("confidence").alias("confidence"))
+    return kept.join(l_ids.withColumnRenamed("id", left_cols[0]).hint("merge"), kept["l"] == l_ids["form"]).drop("form").join(r_ids.withColumnRenamed("id", right_cols[0]).hint("merge"), kept["r"] == r_ids["form"]).select(left_cols[0], right_cols[0], "score", "confidence").groupBy(left_cols[0], right_cols[0]).agg(F.max("score").alias("score"), F.max("confidence").alias("confidence"))
