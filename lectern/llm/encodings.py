@@ -44,6 +44,8 @@ _NEVER = re.compile("[�\x80-\x84\x86-\x9f-\U000f0000-\U0010ffff]")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _UTF8 = rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
 _UTF8_RUN = re.compile(b"(?:[\x00-\x7f]|" + _UTF8 + b")+")
+_UTF8_ROW = re.compile(b"(?:" + _UTF8 + b"){2}")
+_LATIN = re.compile("[A-Za-z]")
 _UTF8_ONE = re.compile(b"[\x00-\x7f]|" + _UTF8)
 _BOXES = re.compile("[─-╿▀-▟]")
 _HAN = re.compile("[㐀-鿿豈-﫿-]")
@@ -74,6 +76,17 @@ def _single() -> list[tuple[str, dict[str, int], re.Pattern]]:
     return out
 
 
+@lru_cache(1)
+def _possible() -> re.Pattern:
+    """A lead and a tail of some set, box-drawing sets aside: without such a pair there is no span to look for."""
+    pairs = []
+    for codec, back, _ in _single():
+        if codec not in ("cp866", "koi8_r"):
+            lead, tail = ("".join(re.escape(c) for c, b in back.items() if a <= b <= z) for a, z in ((0xC2, 0xF4), (0x80, 0xBF)))
+            pairs.append(f"[{lead}][{tail}]")
+    return re.compile("|".join(pairs))
+
+
 @lru_cache(65536)
 def _usual(ch: str) -> int:
     """2: in everyday use in some language; 1: written language; 0: neither."""
@@ -109,7 +122,12 @@ def _single_spans(text: str, used: set[str]) -> list[tuple[int, int, str]]:
     """Spans of UTF-8 read through a single-byte set. ``used``: sets through which other parts of the text were misread."""
     best: list[tuple[int, int, str]] = []
     by = ""
+    boxed = bool(_BOXES.search(text))
+    if not boxed and not _possible().search(text):
+        return best
     for codec, back, auto in _single():
+        if codec in ("cp866", "koi8_r") and not boxed:
+            continue
         found, strong, sure = [], False, codec in used
         for m in auto.finditer(text):
             raw = m.group()
@@ -150,6 +168,10 @@ def _again(made: str) -> bool:
 def _multi_spans(text: str, codec: str) -> list[tuple[int, int, str]]:
     """Spans of UTF-8 that were read as a multibyte set."""
     out = []
+    if codec == "gb18030" and len(_LATIN.findall(text)) < 3 * len(_HAN.findall(text)):
+        # mostly ideographs: only a row of well-formed sequences can mean anything
+        if not _UTF8_ROW.search(text.encode(codec, "replace")):
+            return out
     for m in re.finditer(r"[^\x00-\x7f]+", text):
         run = m.group()
         if not _HAN.search(run) and codec != "cp932":
@@ -190,6 +212,9 @@ _GB_PAIRS = re.compile(r"(?:[\xa1-\xf7][\xa1-\xfe]){2,}|(?:[\xa1\xa3][\xa1-\xfe]
 _SJIS_PAIRS = re.compile(r"(?:[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc]|[\xa6-\xdf]){3,}")
 
 
+_WEST = re.compile("[\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{3}|[‚ƒŠŽ„†‡\x80-\x9f][^\\s]|[¡£][\xa1-\xfe]")
+
+
 @lru_cache(1)
 def _western() -> tuple[dict[int, int], dict[int, int]]:
     latin = {ord(c): b for c, b in _byte_of("cp1252").items()}
@@ -198,7 +223,7 @@ def _western() -> tuple[dict[int, int], dict[int, int]]:
 
 def _western_spans(text: str) -> list[tuple[int, int, str]]:
     """East Asian or Cyrillic bytes that were read as Western text."""
-    if not re.search("[^\x00-\x7f]{3}|[‚ƒŠŽ„…†‡\x80-\x9f][^\\s]|[¡£][\xa1-\xfe]", text):
+    if not _WEST.search(text):
         return []
     raw = text.translate(_western()[0])
     out: list[tuple[int, int, str]] = []
