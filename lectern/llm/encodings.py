@@ -44,7 +44,7 @@ _NEVER = re.compile("[�\x80-\x84\x86-\x9f-\U000f0000-\U0010ffff]")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _UTF8 = rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
 _UTF8_RUN = re.compile(b"(?:[\x00-\x7f]|" + _UTF8 + b")+")
-_UTF8_ROW = re.compile(b"(?:" + _UTF8 + b"){2}")
+_UTF8_ROW = re.compile(b"(?:[\xe0-\xef][\x80-\xbf]{2}){2}|(?:[\xc2-\xdf][\x80-\xbf]){5}|\xf0[\x90-\xbf][\x80-\xbf]{2}")
 _LATIN = re.compile("[A-Za-z]")
 _UTF8_ONE = re.compile(b"[\x00-\x7f]|" + _UTF8)
 _BOXES = re.compile("[─-╿▀-▟]")
@@ -168,14 +168,14 @@ def _again(made: str) -> bool:
 def _multi_spans(text: str, codec: str) -> list[tuple[int, int, str]]:
     """Spans of UTF-8 that were read as a multibyte set."""
     out = []
-    if codec == "gb18030" and len(_LATIN.findall(text)) < 3 * len(_HAN.findall(text)):
-        # mostly ideographs: only a row of well-formed sequences can mean anything
-        if not _UTF8_ROW.search(text.encode(codec, "replace")):
-            return out
+    # among ideographs only a row of well-formed sequences can mean anything
+    strict = codec == "gb18030" and len(_LATIN.findall(text)) < 3 * len(_HAN.findall(text))
     for m in re.finditer(r"[^\x00-\x7f]+", text):
         run = m.group()
         if not _HAN.search(run) and codec != "cp932":
             continue
+        if strict and not _UTF8_ROW.search(run.encode(codec, "replace")):
+            continue
         at, raw = [0], bytearray()
         for ch in run:
             try:
