@@ -47,6 +47,7 @@ _UTF8_RUN = re.compile(b"(?:[\x00-\x7f]|" + _UTF8 + b")+")
 _UTF8_ROW = re.compile(b"(?:[\xe0-\xef][\x80-\xbf]{2}){2}|(?:[\xc2-\xdf][\x80-\xbf]){5}|\xf0[\x90-\xbf][\x80-\xbf]{2}")
 _LATIN = re.compile("[A-Za-z]")
 _UTF8_ONE = re.compile(b"[\x00-\x7f]|" + _UTF8)
+_KANA = re.compile("[ぁ-ヿ]")
 _BOXES = re.compile("[─-╿▀-▟]")
 _HAN = re.compile("[㐀-鿿豈-﫿-]")
 
@@ -197,8 +198,8 @@ def _multi_spans(text: str, codec: str) -> list[tuple[int, int, str]]:
                 continue
             if all("\xa0" <= c < "ʰ" or "‐" <= c <= "›" for c in wide):
                 near = text[max(0, begin - 1) : begin] + text[end : end + 1]
-                if _HAN.search(near):
-                    continue  # part of a longer word of ideographs
+                if _HAN.search(near) or _KANA.search(near):
+                    continue  # part of a longer word of ideographs or kana
                 outside = text[max(0, begin - 60) : begin] + text[end : end + 60]
                 if not sum(c.isascii() and c.isalpha() for c in outside) > 3 * len(_HAN.findall(outside)) + 3 * (not re.search("[A-Za-z]", near)):
                     continue

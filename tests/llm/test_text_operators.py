@@ -149,7 +149,7 @@ def test_twice_partly_and_lost():
     assert encodings.restore("x � y") == ("x � y", 0, True)
 
 
-@pytest.mark.parametrize("text", [*TEXTS.values(), "“AMANHÃ VOLTAMOS!”, gritou", "IRMÃ!”, gritou", "x ≠ y, 3 × 4 ± 1", "СССР» и ООН…", "眉毛", "Dr. Ullathar弄丢了", ""])
+@pytest.mark.parametrize("text", [*TEXTS.values(), "“AMANHÃ VOLTAMOS!”, gritou", "IRMÃ!”, gritou", "x ≠ y, 3 × 4 ± 1", "СССР» и ООН…", "眉毛", "Dr. Ullathar弄丢了", "<li>日が暮れると</li><li class=a>x</li>", ""])
 def test_clean_texts_stay(text):
     assert encodings.restore(text) == (text, 0, False)
 
