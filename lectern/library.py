@@ -126,26 +126,26 @@ class Library:
             raise ValueError("title, author and book_id are for one file")
         when = F.lit(now or datetime.now(UTC).replace(tzinfo=None))
         name = F.coalesce(F.lit(title), F.when(F.col("title") != "", F.col("title")))
-        made = F.lit(check_book_id(book_id)) if book_id else book_id_of(name)
-        base = found.select(F.col("path").alias("source_path"), F.col("kind").alias("source_type"), name.alias("title"), F.coalesce(F.lit(author), "author").alias("author"), made.alias("book_id"), "original", F.size("sections").alias("section_count"))
+        own_id = F.lit(check_book_id(book_id)) if book_id else book_id_of(name)
+        base = found.select(F.col("path").alias("source_path"), F.col("kind").alias("source_type"), name.alias("title"), F.coalesce(F.lit(author), "author").alias("author"), own_id.alias("book_id"), "original", F.size("sections").alias("section_count"))
         base = base.withColumn("book_id", F.when(F.col("book_id") != "", F.col("book_id")).otherwise(F.concat(F.lit("book-"), F.substring(F.sha2("source_path", 256), 1, 12))))
         base = I.live(base, ["book_id"], "source_path")
         parts = G.segment(base, max_chars=most, min_chars=least, text="original")
         chunks = self._checkpointed(parts)
         size = chunks.groupBy("book_id").agg(F.first("initial_chunks").alias("initial_chunk_count"))
-        books = base.join(G.stats(chunks).drop("total_chars"), "book_id").join(size, "book_id").select(
+        made = base.join(G.stats(chunks).drop("total_chars"), "book_id").join(size, "book_id").select(
             "book_id", "title", "author", "source_type", "source_path", F.sha2("original", 256).alias("source_hash"), when.alias("imported_at"), F.lit(most).alias("max_chars"), F.lit(least).alias("min_chars"), "section_count",
             F.length("original").cast("bigint").alias("total_chars"), "initial_chunk_count", "chunk_count", "average_chunk_chars", "min_chunk_chars", "max_chunk_chars", F.lit("not_built").alias("index_status"), F.lit(None).cast("timestamp_ntz").alias("index_updated_at"),
         )
+        books = self._checkpointed(made)
+        ids = books.select("book_id")
         self._replace("chunks", chunks.drop("initial_chunks"))
         self._replace("books", books)
-        ids = self.table("books").where(F.col("source_path").isin([r[0] for r in found.select("path").limit(10_000).collect()]))
         for name_ in ("postings", "chunk_index"):
-            self.write(name_, self.table(name_).join(ids.select("book_id"), "book_id", "left_anti"))
+            self.write(name_, self.table(name_).join(ids, "book_id", "left_anti"))
         if build_index:
-            for r in ids.select("book_id").collect():
-                self.build_index(r[0], now=now)
-        return self.table("books").join(ids.select("book_id"), "book_id", "left_semi")
+            self._build(self.table("chunks").join(ids, "book_id", "left_semi"), now)
+        return self.table("books").join(ids, "book_id", "left_semi")
 
     def _checkpointed(self, df: DataFrame) -> DataFrame:
         from lectern.runtime import cut
@@ -174,6 +174,10 @@ class Library:
         chunks = self.table("chunks") if one is None else self.table("chunks").where(F.col("book_id") == one)
         if one is not None and chunks.isEmpty():
             raise ValueError(f"no book {one}")
+        return self._build(chunks, now, **options)
+
+    def _build(self, chunks: DataFrame, now: datetime | None = None, **options) -> DataFrame:
+        """Index of the books these chunks belong to, in one plan."""
         built = I.build(chunks, **options)
         self._replace("postings", built["postings"])
         self._replace("chunk_index", built["chunk_index"])

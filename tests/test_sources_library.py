@@ -102,6 +102,30 @@ def test_many_kinds_and_guards(spark, tmp_path):
     assert lib.table("chunks").where(F.col("text").contains("nav")).count() == 0
 
 
+def test_import_follows_all_ids_not_a_limited_list(spark, tmp_path, monkeypatch):
+    d = tmp_path / "in"
+    d.mkdir()
+    for k in range(3):
+        (d / f"b{k}.txt").write_text(f"lamp{k} lamp{k}", encoding="utf-8")
+    lib = Library(spark, str(tmp_path / "lib"))
+    frame = type(spark.range(1))
+    whole = frame.limit
+    monkeypatch.setattr(frame, "limit", lambda df, n: whole(df, min(n, 1)))  # a small stand-in for 10,000
+    assert lib.import_books(str(d), build_index=True).where("index_status = 'built'").count() == 3
+    assert lib.table("postings").select("book_id").distinct().count() == lib.table("chunk_index").count() == 3
+    assert lib.import_books(str(d)).where("index_status = 'not_built'").count() == 3
+    assert lib.table("postings").count() == 0 and lib.table("chunk_index").count() == 0
+
+
+def test_import_touches_no_other_book_of_the_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(SAMPLE, encoding="utf-8")
+    lib = Library(spark, str(tmp_path / "lib"))
+    lib.import_books(str(tmp_path / "in"), book_id="a", max_chars=1000, build_index=True)
+    assert [r["book_id"] for r in lib.import_books(str(tmp_path / "in"), book_id="b", max_chars=1000).collect()] == ["b"]
+    assert {r["book_id"] for r in lib.table("postings").collect()} == {"a"}
+
+
 def test_streaming(spark, tmp_path):
     from lectern.streaming.ingest import ingest_folder, progress_windows
 
