@@ -25,10 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.runtime import bounded_sample
+from lectern.runtime import bounded_sample, cut
 
-#: Rows of people and documents on which the name model is fitted, at most.
+#: Names and documents on which the character model is fitted, at most.
 FIT_PEOPLE, FIT_DOCUMENTS = 20_000, 1_000
+#: A word belongs to running text if it stands in one text of so many, at least.
+RUNNING_IN = 1_000
 
 # ---------------------------------------------------------------- formats
 _WIDE = {0xFF10 + k: 0x30 + k for k in range(10)} | {ord(a): ord(b) for a, b in zip("（）－＋＠．　", "()-+@. ")}
@@ -147,27 +149,39 @@ class Lexicon:
         return (w in self.given) | (w in self.family) << 1 | self.like(word) << 2 | (w not in self.common) << 3
 
 
-def fit_lexicon(people: list[str], texts: list[str], families: list[str]) -> Lexicon:
-    """Lexicon of a bounded list of full names and a bounded list of texts."""
-    words: set[str] = set()
-    signs: Counter[str] = Counter()
-    for t in texts:
-        words.update(w for w in _RUNNING.findall(t) if w[0] < "԰")
-        words.update(w.lower() for w in _NOUN.findall(t))
-        signs.update(re.findall(_HAN, t))
-    first, heads, lex = {}, {}, Lexicon()
-    latin: Counter[str] = Counter()
-    for name in people:
-        parts = _TOKEN.findall(name)
-        if len(parts) == 2 and parts[0][0].isupper() and "," not in name:
-            a, b = (p.lower() for p in parts)
-            first.setdefault(a, set()).add(b)
-            latin.update((a, b))
-        elif parts and re.match(_HAN, parts[0]) and 2 <= len(parts[0]) <= 5:
-            p = parts[0]
-            for k in (1, 2):
-                if len(p) > k:
-                    heads.setdefault(p[:k], set()).add(p[k:])
+def name_parts(name: str) -> list[tuple[str, str, str]]:
+    """``(kind, head, tail)``: the halves of a two-part name, or the ways to part a Chinese or Japanese one."""
+    parts = _TOKEN.findall(name)
+    if len(parts) == 2 and parts[0][0].isupper() and "," not in name:
+        return [("two", parts[0].lower(), parts[1].lower())]
+    if parts and re.match(_HAN, parts[0]) and 2 <= len(parts[0]) <= 5:
+        return [("han", parts[0][:k], parts[0][k:]) for k in (1, 2) if len(parts[0]) > k]
+    return []
+
+
+def text_words(text: str) -> set[str]:
+    """Words of running text in one text."""
+    return {w for w in _RUNNING.findall(text) if w[0] < "԰"} | {w.lower() for w in _NOUN.findall(text)}
+
+
+def fit_lexicon(people: list[str], texts: list[str], families: list[str], heads: dict[str, dict[str, set[str]]] | None = None, words: set[str] | None = None, signs: Counter[str] | None = None) -> Lexicon:
+    """Lexicon of a list of full names and a list of texts.
+
+    ``heads`` (tails by kind and head), ``words`` and ``signs`` are counted from
+    them unless given; both lists then serve the character model only.
+    """
+    split = [x for name in people for x in name_parts(name)]
+    if heads is None:
+        heads = {}
+        for kind, a, b in split:
+            heads.setdefault(kind, {}).setdefault(a, set()).add(b)
+    plain = {w for t in texts for w in text_words(t)}
+    if words is None:
+        words = plain
+    if signs is None:
+        signs = Counter(c for t in texts for c in re.findall(_HAN, t))
+    first, heads, lex = heads.get("two", {}), heads.get("han", {}), Lexicon()
+    latin = {w for kind, a, b in split if kind == "two" for w in (a, b)}
     lex.given = {a for a, bs in first.items() if len(bs) >= 3}
     lex.family = {f.lower() for f in families if f.lower() not in lex.given} | {b for a in lex.given for b in first[a] if b not in lex.given}
     two = {h for h, rest in heads.items() if len(h) == 2 and len(rest) >= 3}
@@ -184,7 +198,7 @@ def fit_lexicon(people: list[str], texts: list[str], families: list[str]) -> Lex
     yes, no = Counter(), Counter()
     for w in latin:
         yes.update(f"^{w}$"[k : k + 3] for k in range(len(w)))
-    for w in words:
+    for w in plain:
         no.update(f"^{w}$"[k : k + 3] for k in range(len(w)))
     ty, tn = sum(yes.values()) + 1, sum(no.values()) + 1
     lex.odds = {g: math.log((yes[g] + 0.5) / ty) - math.log((no[g] + 0.5) / tn) for g in yes | no}
@@ -372,15 +386,40 @@ def replaced(text: str, items: list[tuple[str, int, int]], key: bytes) -> str:
 
 # ---------------------------------------------------------------- Spark
 def learn(people: DataFrame, name: str, documents: DataFrame, text: str) -> Lexicon:
-    """The name lexicon, from a bounded sample of people and of documents.
+    """The name lexicon, counted over all people and all documents.
 
-    Family names that go with a form of address are counted over all
-    documents; those seen three times or more are kept.
+    Heads with three tails or more, words that stand in one text of
+    ``RUNNING_IN``, ideographs, and family names that stand three times or more
+    with a form of address are kept.  Only the names and the (whole) texts of the
+    character model are a bounded sample.
     """
-    names = [r[0] for r in bounded_sample(people.select(F.trim(name).alias("n")).where("length(n) BETWEEN 2 AND 60").distinct(), FIT_PEOPLE, "n").collect()]
-    sample = [r[0] for r in bounded_sample(documents.select(F.substring(F.col(text), 1, 4000).alias("t")).where("t IS NOT NULL"), FIT_DOCUMENTS, "t").collect()]
-    counted = documents.where(F.col(text).rlike(r"\. [A-ZÀ-Þ]")).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_TITLE_PATTERN), F.lit(1))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").orderBy(F.desc("n"), "w").limit(FIT_PEOPLE)
-    return fit_lexicon(names, sample, [r["w"] for r in counted.collect()])
+    names = people.select(F.trim(name).alias("n")).where("length(n) BETWEEN 2 AND 60").distinct()
+    sample = [r[0] for r in bounded_sample(names, FIT_PEOPLE, "n").collect()]
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([x for n in b["n"] for x in name_parts(n)], columns=["kind", "head", "tail"])
+
+    heads: dict[str, dict[str, set[str]]] = {}
+    for r in names.mapInPandas(part, "kind string, head string, tail string").groupBy("kind", "head").agg(F.collect_set("tail").alias("tails")).where("size(tails) >= 3").collect():
+        heads.setdefault(r["kind"], {})[r["head"]] = set(r["tails"])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen, signs = Counter(), Counter()
+            for t in b["t"]:
+                seen.update(text_words(t))
+                signs.update(_EAST.findall(t))
+            rows = [("text", "", len(b)), *(("word", w, n) for w, n in seen.items()), *(("sign", c, n) for c, n in signs.items())]
+            yield pd.DataFrame(rows, columns=["kind", "w", "n"])
+
+    texts = documents.select(F.col(text).alias("t")).where("t IS NOT NULL")
+    some = [r[0] for r in bounded_sample(texts, FIT_DOCUMENTS, "t").collect()]
+    counts = cut(texts.mapInPandas(count, "kind string, w string, n long").groupBy("kind", "w").agg(F.sum("n").alias("n")), "words")
+    whole = sum(r["n"] for r in counts.where("kind = 'text'").collect())
+    kept = counts.where((F.col("kind") == "sign") | (F.col("kind") == "word") & (F.col("n") * RUNNING_IN >= F.lit(whole))).collect()
+    counted = documents.where(F.col(text).rlike(r"\. [A-ZÀ-Þ]")).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_TITLE_PATTERN), F.lit(1))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    return fit_lexicon(sample, some, [r["w"] for r in counted.collect()], heads, {r["w"] for r in kept if r["kind"] == "word"}, Counter({r["w"]: r["n"] for r in kept if r["kind"] == "sign"}))
 
 
 def _surname_re(lex: Lexicon) -> re.Pattern:

@@ -277,3 +277,12 @@ def test_masked_rows(spark):
     rows = pii.items(docs, ["doc_id"], "text", lex).where(F.col("doc_id") == 1).collect()
     assert [(r["pii_kind"], r["begin_off"], r["end_off"]) for r in rows] == [("phone", 5, 17), ("name", 23, 40)]
     assert pii.items(docs.where("false"), ["doc_id"], "text", lex).count() == 0
+
+
+def test_lexicon_covers_all_rows_and_whole_texts(spark, monkeypatch):
+    people = spark.createDataFrame([(p,) for p in PEOPLE], "author string")
+    docs = spark.createDataFrame([(k, "the lamp " * 500 + f"harbour Dr. Brimsey {'岸' * 12}") for k in range(40)], "doc_id bigint, text string")
+    monkeypatch.setattr(pii, "FIT_PEOPLE", 2)
+    lex = pii.learn(people, "author", docs, "text")
+    assert lex.given >= {"ilbert", "thyra", "calder", "isaveth", "фенвин"} and {"gregruvoar", "brimsey"} <= lex.family and {"澹台", "砂渡", "佴"} <= lex.surname
+    assert "harbour" in lex.common and "岸" in lex.usual
