@@ -79,8 +79,8 @@ _ADDRESS = re.compile(
     rf"|(?:{_NAME_HAN}{{2,3}}省)?(?:{_NAME_HAN}{{2,3}}[市县])(?:{_HAN}{{1,3}}[区县])?{_HAN}{{1,4}}?(?:路|街|巷|大道|胡同)(?:\d+弄)?\d+号(?:楼)?(?:\d+(?:单元|栋|幢|座))?(?:\d+室)?"
     rf"|〒? ?\d{{3}}-\d{{4}} ?(?:{_HAN}{{1,3}}[都道府県])?{_HAN}{{1,4}}[市区町村郡][{_HAN[1:-1]}ヶヵ]{{0,8}}?\d+(?:-\d+){{0,2}}(?:号)?"
 )
-#: What every address holds; all forms begin with a digit, so that the search runs from digit to digit.
-_STREET = re.compile(r"[0-9〒](?:(?<=〒)|\d{4} [A-ZÀ-Þ]|\d{3}-\d{3} |[A-Z]{2}(?![A-Za-z])|(?<=[A-Z]{2} \d)\d{4}|(?<=д\. \d)|(?<=д\.\d)|号)")
+#: What every address holds, by form; all begin with a digit or the postal sign, so that the search runs from one to the next.
+_STREET = re.compile(rf"[\d〒](?:(?<=〒)|\d{{4}} [A-ZÀ-Þ]|\d{{3}}-\d{{3}} |\d{{2}}-\d{{4}} ?{_HAN}|[A-Z]{{2}}|\d{{4}}(?<=[\w'’,-] \d{{5}})|(?<=д\. \d)|(?<=д\.\d)|号)")
 _DIGITS = re.compile(r"[0-9]+")
 _AT = re.compile(r"@|[\(\[{<] ?(?:at|AT) ?[\)\]}>]| (?:at|AT) (?=[A-Za-z0-9-]+ (?:dot|DOT) )")
 

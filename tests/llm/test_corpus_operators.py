@@ -286,3 +286,15 @@ def test_lexicon_covers_all_rows_and_whole_texts(spark, monkeypatch):
     lex = pii.learn(people, "author", docs, "text")
     assert lex.given >= {"ilbert", "thyra", "calder", "isaveth", "фенвин"} and {"gregruvoar", "brimsey"} <= lex.family and {"澹台", "砂渡", "佴"} <= lex.surname
     assert "harbour" in lex.common and "岸" in lex.usual
+
+
+ALONE = [
+    "9 Chalk Lane, Grabraor 12345", "9 Chalk Lane, Grabraor, 12345", "9 Chalk Lane, Grabraor, ZZ 00588", "9 Chalk Lane, Grabraor QX8 1ZZ", "P.O. Box 98, Moleoreick 00025", "Am Turm 70, 00429 Grolazeane", "153, rue du Phare, 00305 Kusebrien", "Calle del Farol 39, 00724 Telabreell", "Rua do Farol, 282, 0021-916 Momineane", "ул. Мельничная, д. 42", "ул. Мельничная, д.42", "岩丙市镜子路213号",
+    "000-9555苔原市灯町2-73-6", "000-9555 苔原市灯町2-73-6", "〒000-9555 苔原市灯町2-73-6",
+]
+
+
+@pytest.mark.parametrize("item", ALONE)
+def test_every_form_of_address_is_found_alone(item):
+    assert pii._ADDRESS.fullmatch(item) and pii._STREET.search(item)
+    assert [(k, a, b) for k, a, b in pii.find_items(item, LEX, {}) if k == "address"] == [("address", 0, len(item))]
