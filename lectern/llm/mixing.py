@@ -94,7 +94,7 @@ def mixture(documents: DataFrame, targets: DataFrame, *, total_tokens: float | N
     spark = documents.sparkSession
     if not goal:
         return spark.createDataFrame([], "doc_id long, source string, copies int, n_tokens long"), spark.createDataFrame([], "source string, target_share double, max_repeats int, tokens long, actual_share double")
-    labelled_rows = documents.where("source IS NOT NULL AND text IS NOT NULL").select("doc_id", "source", F.substring("text", 1, 4000).alias("text"))
+    labelled_rows = documents.where("source IS NOT NULL AND text IS NOT NULL").select("doc_id", "source", "text")
     sample = bounded_sample(labelled_rows, FIT_ROWS, "doc_id").collect()
     model = fit_classifier([r["text"] for r in sample], [r["source"] for r in sample], path)
     read = cut(_texts(documents, model, domains, path), "sizes")

@@ -298,3 +298,14 @@ ALONE = [
 def test_every_form_of_address_is_found_alone(item):
     assert pii._ADDRESS.fullmatch(item) and pii._STREET.search(item)
     assert [(k, a, b) for k, a, b in pii.find_items(item, LEX, {}) if k == "address"] == [("address", 0, len(item))]
+
+
+def test_classifier_is_fitted_on_whole_texts(spark, monkeypatch):
+    rows = [(k, "same " * 900 + ("river boat tide " if k % 2 else "lamp shelf ink ") * 40, "ab"[k % 2]) for k in range(20)]
+    docs = spark.createDataFrame([(k, f"{t}{k}", s) for k, t, s in rows], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    fitted = []
+    fit = mixing.fit_classifier
+    monkeypatch.setattr(mixing, "fit_classifier", lambda texts, *rest: fitted.extend(texts) or fit(texts, *rest))
+    mixing.mixture(docs, targets)
+    assert sorted(fitted) == sorted(r["text"] for r in docs.collect())
