@@ -1,135 +1,178 @@
 """Problem 8: items of varying length into containers of fixed capacity, with little room wasted.
 
-Method: swap-based local search.  Items start in a best-fit decreasing
-packing; then, taking the emptiest container first, items are moved out of it
-or exchanged one for one or two for one with items of fuller containers, each
-step increasing the sum of squared fills, until containers empty.
-
-Items are spread over shards by a hash of their id, so a shard has about
-``SHARD`` items however many there are; each shard and capacity is one
-independent task.  An item is split only if it exceeds the capacity: into full
+Method: swap-based local search.  Items are first laid into containers as they
+come (large ones first, each into the fullest container that takes it).  Then
+the emptiest container is drained: its items are moved to underfull containers,
+exchanged one for one for a smaller item, or exchanged for two items that are
+smaller together.  Every step takes from the emptier and gives to the fuller
+one, so the sum of squared fills grows; containers empty and vanish until no
+step is left or the volume allows no fewer.
+
+Items are spread over shards by a hash, so a shard has about ``SHARD`` items
+however many there are, and each shard and capacity is one independent task.
+What the shards leave in underfull containers is then packed once more, many
+shards together.  An item is split only if it exceeds the capacity: into full
 containers, and a rest that is packed with the others.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.runtime import cut
+
 #: Items of a shard, about.
 SHARD = 5_000
 
 
-def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Best-fit decreasing: each item into the container it fills best. Items of size 0 take no room."""
+def first_layout(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Items over half a container first, each into the fullest container that takes it, else in the order they come; items of size 0 take no room."""
     bins: list[list[int]] = []
-    room: list[tuple[int, int]] = []  # (room left, container), sorted
-    for i in np.argsort(-sizes, kind="stable").tolist():
+    at: dict[int, list[int]] = {}  # containers by the room they have left
+    have = 0  # bit r is set where a container has room r
+    for i in np.argsort(sizes * 2 <= capacity, kind="stable").tolist():
         s = int(sizes[i])
-        k = bisect_left(room, (s, -1))
-        if k < len(room):
-            left, b = room.pop(k)
+        fits = have >> s
+        if fits:
+            left = s + (fits & -fits).bit_length() - 1
+            b = at[left].pop()
+            if not at[left]:
+                have &= ~(1 << left)
             bins[b].append(i)
         else:
             left, b = capacity, len(bins)
             bins.append([i])
-        insort(room, (left - s, b))
+        at.setdefault(left - s, []).append(b)
+        have |= 1 << (left - s)
     return bins
 
 
-def improve(sizes: np.ndarray, bins: list[list[int]], capacity: int, rounds: int = 400) -> list[list[int]]:
-    """Local search on the underfull containers; the number of containers never grows."""
-    fill = np.array([int(sizes[b].sum()) for b in bins], np.int64)
-    least = -(-int(sizes.sum()) // capacity)
-    under = np.flatnonzero(fill < capacity)
-    if len(bins) <= least or len(under) < 2:
-        return [b for b in bins if b]
-    live = {int(b): list(bins[b]) for b in under}
-    count = len(bins)
-    tried: set[int] = set()
-    for _ in range(rounds):
-        open_ = [b for b in live if b not in tried]
-        if count <= least or not open_:
-            break
-        src = min(open_, key=lambda b: (fill[b], b))
-        others = [b for b in live if b != src]
-        if not others:
-            break
-        # items of the other underfull containers, as flat arrays
-        item = np.array([i for b in others for i in live[b]], np.int64)
-        home = np.array([b for b in others for _ in live[b]], np.int64)
-        size = sizes[item]
+class _Search:
+    """Containers under local search. Items are numbered by size, so that sizes are one sorted array."""
+
+    def __init__(self, sizes: np.ndarray, bins: list[list[int]], capacity: int) -> None:
+        self.order = np.argsort(sizes, kind="stable")
+        self.size = sizes[self.order].astype(np.int64)
+        place = np.empty(len(sizes), np.int64)
+        place[self.order] = np.arange(len(sizes))
+        self.bins = [[int(place[i]) for i in b] for b in bins]
+        self.home = np.empty(len(sizes), np.int64)
+        for b, own in enumerate(self.bins):
+            self.home[own] = b
+        self.room = np.array([capacity - int(self.size[own].sum()) for own in self.bins], np.int64)
+        self.free = self.room[self.home]  # room beside each item
+        self.capacity, self.pairs = capacity, None
+        self.open = np.flatnonzero(self.room > 0)
+
+    def shift(self, out: list[int], src: int, back: list[int], dst: int) -> None:
+        """``out`` from ``src`` to ``dst``, ``back`` the other way."""
+        for items, a, b in ((out, src, dst), (back, dst, src)):
+            for i in items:
+                self.bins[a].remove(i)
+                self.bins[b].append(i)
+                self.home[i] = b
+        gain = int(self.size[out].sum() - self.size[back].sum()) if back else int(self.size[out].sum())
+        self.room[src] += gain
+        self.room[dst] -= gain
+        self.free[self.bins[src]], self.free[self.bins[dst]] = self.room[src], self.room[dst]
+        self.pairs = None
+
+    def two(self, s: int, src: int) -> tuple[int, int, int] | None:
+        """The two items of one container, smaller together than ``s``, whose place ``s`` can take; the pair with the least sum."""
+        if self.pairs is None:
+            live = np.flatnonzero(self.free > 0)
+            by = live[np.argsort(self.home[live], kind="stable")]  # by container, then by size
+            self.pairs = by, self.home[by], self.size[by], self.free[by], self.home[by] * (2 * self.capacity + 1) + self.size[by]
+        by, home, size, free, key = self.pairs
+        k = np.searchsorted(key, key - size + np.maximum(s - free - size, 0))
+        k += k == np.arange(len(by))  # not with itself
+        other = np.minimum(k, len(by) - 1)
+        total = size + size[other]
+        ok = (k < len(by)) & (home[other] == home) & (home != src) & (total < s) & (total >= s - free)
+        hit = np.flatnonzero(ok)
+        if not len(hit):
+            return None
+        j = int(hit[np.argmin(total[hit])])
+        return int(home[j]), int(by[j]), int(by[other[j]])
+
+    def step(self, src: int) -> bool:
+        """One move or exchange out of ``src`` that makes a fuller container fuller."""
+        own = sorted(self.bins[src], reverse=True)
+        dst = self.open[(self.room[self.open] > 0) & (self.room[self.open] < self.capacity) & (self.open != src)]
+        room, here = self.room[dst], int(self.room[src])
+        most = int(room.max(initial=0))
+        if most <= 0:
+            return False
+        for i in own:
+            s = int(self.size[i])
+            fits = np.flatnonzero((room >= s) & (room < here + s)) if s <= most else ()
+            if len(fits):
+                self.shift([i], src, [], int(dst[fits[np.argmin(room[fits])]]))
+                return True
+        for i in own:
+            s = int(self.size[i])
+            a, b = np.searchsorted(self.size, [s - most, s])
+            z = self.size[a:b]
+            ok = np.flatnonzero((z + self.free[a:b] >= s) & (self.home[a:b] != src) & (self.free[a:b] < self.room[src] + s - z))
+            if len(ok):
+                j = int(a + ok[0])  # sizes are sorted: the first is the smallest
+                self.shift([i], src, [j], int(self.home[j]))
+                return True
+        for i in own:
+            pair = self.two(int(self.size[i]), src)
+            if pair and self.room[pair[0]] < self.room[src] + self.size[i] - self.size[pair[1]] - self.size[pair[2]]:
+                self.shift([i], src, list(pair[1:]), pair[0])
+                return True
+        return False
+
+
+def improve(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Local search until no container can be drained further; the number of containers never grows."""
+    bins = [b for b in bins if b]
+    if len(bins) < 2:
+        return bins
+    some = np.flatnonzero(sizes)  # the others take no room anywhere
+    place = np.cumsum(sizes > 0) - 1
+    x = _Search(sizes[some], [[int(place[i]) for i in b if sizes[i]] for b in bins], capacity)
+    count, least = sum(map(bool, x.bins)), max(1, -(-int(sizes.sum()) // capacity))
+    moved = True
+    while moved and count > least:
         moved = False
-        for i in sorted(live[src], key=lambda x: -sizes[x]):
-            s = int(sizes[i])
-            room = capacity - fill[others]
-            fits = np.flatnonzero(room >= s)
-            if len(fits):  # move
-                b = others[int(fits[np.argmin(room[fits])])]
-                live[src].remove(i)
-                live[b].append(i)
-                fill[src] -= s
-                fill[b] += s
-                moved = True
-                break
-            gain = s - size
-            ok = np.flatnonzero((gain > 0) & (gain <= capacity - fill[home]) & (fill[home] >= fill[src] - s))
-            if len(ok):  # one for one: the fuller container gets the larger item
-                k = int(ok[np.argmax(gain[ok])])
-                b, j = int(home[k]), int(item[k])
-                live[b].remove(j)
-                live[b].append(i)
-                live[src].remove(i)
-                live[src].append(j)
-                fill[b] += s - sizes[j]
-                fill[src] -= s - sizes[j]
-                moved = True
-                break
-            best = None  # two for one
-            for b in others:
-                left = capacity - int(fill[b])
-                own = live[b]
-                if left <= 0 or len(own) < 2 or len(own) > 40:
-                    continue
-                z = sizes[own]
-                two = z[:, None] + z[None, :]
-                np.fill_diagonal(two, 0)
-                good = (two < s) & (two >= s - left) & (two > 0)
-                if good.any():
-                    pick = int(np.argmin(np.where(good, two, capacity * 3)))
-                    g = s - int(two.flat[pick])
-                    if best is None or g > best[0]:
-                        best = (g, b, own[pick // len(own)], own[pick % len(own)])
-            if best:
-                g, b, j, k = best
-                for x in (j, k):
-                    live[b].remove(x)
-                    live[src].append(x)
-                live[src].remove(i)
-                live[b].append(i)
-                fill[b] += g
-                fill[src] -= g
+        x.open = np.flatnonzero(x.room > 0)  # a full container stays full in a pass
+        for src in x.open[np.argsort(-x.room[x.open], kind="stable")].tolist():
+            if count <= least or not x.bins[src] or x.room[src] <= 0:
+                continue
+            while x.bins[src] and x.step(src):
                 moved = True
-                break
-        if not moved:
-            tried.add(src)
-        elif not live[src]:
-            del live[src]
-            count -= 1
-            tried.clear()
-        for b in [b for b in live if fill[b] >= capacity]:
-            bins[b] = live.pop(b)
-    keep = [b for k, b in enumerate(bins) if fill[k] >= capacity]
-    return [b for b in [*keep, *live.values()] if b]
+            count -= not x.bins[src]
+    out = [some[x.order[b]].tolist() for b in x.bins if b] or [[]]
+    out[0] += np.flatnonzero(sizes == 0).tolist()
+    return out
 
 
 def pack_sizes(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Containers (lists of positions) for items none of which exceeds the capacity."""
-    return improve(sizes, best_fit(sizes, capacity), capacity) if len(sizes) else []
+    return improve(sizes, first_layout(sizes, capacity), capacity) if len(sizes) else []
+
+
+def _packed(rows: DataFrame, by: list[str], key: str, kind: str, first: int) -> DataFrame:
+    """Every group of ``rows`` (``capacity_id, cap, shard, k, piece, at, s``) packed for itself; container ids begin at ``first`` shards."""
+    out = f"capacity_id int, cap int, shard int, bin_id long, `{key}` {kind}, piece_no int, begin_token long, n_tokens long, fill long"
+
+    def run(_: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["u", "k", "piece"], kind="stable")
+        sizes, cap = b["s"].to_numpy(np.int64), int(b["cap"].iloc[0])
+        bins = pack_sizes(sizes, cap)
+        where, fill = np.empty(len(b), np.int64), np.empty(len(b), np.int64)
+        for n, own in enumerate(bins):
+            where[own], fill[own] = n, sizes[own].sum()
+        no = b["shard"].to_numpy(np.int64)
+        return pd.DataFrame({"capacity_id": b["capacity_id"], "cap": b["cap"], "shard": b["shard"], "bin_id": where + (int(no.min()) + first << 32), key: b["k"], "piece_no": b["piece"], "begin_token": b["at"], "n_tokens": sizes, "fill": fill})
+
+    return rows.groupBy(*by).applyInPandas(run, out)
 
 
 def pack(items: DataFrame, key: str, size: str, capacities: DataFrame, *, shard: int = SHARD) -> DataFrame:
@@ -143,32 +186,27 @@ def pack(items: DataFrame, key: str, size: str, capacities: DataFrame, *, shard:
     shards = max(1, -(-rows.count() // shard))
     kind = dict(rows.dtypes)["k"]
     caps = sorted({(r["capacity_id"], r["max_tokens"]) for r in capacities.select("capacity_id", "max_tokens").where("capacity_id IS NOT NULL AND max_tokens >= 1").collect()})
-    out = f"capacity_id int, bin_id long, `{key}` {kind}, piece_no int, begin_token long, n_tokens long"
+    out = ["capacity_id", "bin_id", key, "piece_no", "begin_token", "n_tokens"]
     if not caps:
-        return items.sparkSession.createDataFrame([], out)
+        return items.sparkSession.createDataFrame([], f"capacity_id int, bin_id long, `{key}` {kind}, piece_no int, begin_token long, n_tokens long")
     each = F.explode(F.array(*(F.struct(F.lit(int(i)).alias("capacity_id"), F.lit(int(c)).alias("cap")) for i, c in caps))).alias("c")
-    spread = rows.select("k", "s", F.pmod(F.xxhash64("k", "s"), F.lit(shards)).cast("int").alias("shard"), each).select("k", "s", "shard", "c.*")
-
-    def run(group: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        shard_no, cap = int(b["shard"].iloc[0]), int(b["cap"].iloc[0])
-        b = b.sort_values(["s", "k"], kind="stable")
-        keys, sizes = b["k"].to_numpy(), b["s"].to_numpy(np.int64)
-        full = np.where(sizes > cap, sizes // cap, 0)
-        full -= (full > 0) & (sizes % cap == 0)  # the last full piece is its rest
-        rest = sizes - full * cap
-        bins = pack_sizes(rest, cap)
-        at = np.repeat(np.arange(len(sizes)), full)
-        no = np.arange(len(at)) - np.repeat(np.cumsum(full) - full, full)
-        where = np.empty(len(sizes), np.int64)
-        for n, items_ in enumerate(bins):
-            where[items_] = n
-        ids = np.concatenate([len(bins) + np.arange(len(at)), where]) + (shard_no << 32)
-        return pd.DataFrame({
-            "capacity_id": int(b["capacity_id"].iloc[0]), "bin_id": ids, key: np.concatenate([keys[at], keys]),
-            "piece_no": np.concatenate([no, full]).astype(np.int32), "begin_token": np.concatenate([no * cap, full * cap]), "n_tokens": np.concatenate([np.full(len(at), cap), rest]),
-        })
-
-    return spread.groupBy("capacity_id", "shard").applyInPandas(run, out)
+    u = F.xxhash64("k", "s")
+    spread = rows.select("k", "s", u.alias("u"), F.pmod(u, F.lit(shards)).cast("int").alias("shard"), each).select("k", "s", "u", "shard", "c.*")
+    # what exceeds a container: full pieces, each a container of its own, and a rest to be packed
+    full = F.when(F.col("s") > F.col("cap"), F.ceil(F.col("s") / F.col("cap")).cast("int") - 1).otherwise(0)
+    spread = spread.withColumn("piece", full).withColumn("at", F.col("piece") * F.col("cap").cast("long"))
+    whole = spread.where("piece > 0").select("capacity_id", "k", "u", F.explode(F.sequence(F.lit(0), F.col("piece") - 1)).alias("n"), "cap")
+    whole = whole.select("capacity_id", F.bitwise_not(F.monotonically_increasing_id()).alias("bin_id"), F.col("k").alias(key), F.col("n").alias("piece_no"), (F.col("n") * F.col("cap").cast("long")).alias("begin_token"), F.col("cap").cast("long").alias("n_tokens"))
+    rest = spread.select("capacity_id", "cap", "shard", "k", "u", "piece", "at", (F.col("s") - F.col("at")).alias("s"))
+    first = cut(_packed(rest, ["capacity_id", "cap", "shard"], key, kind, 0), "packed")
+    # containers a shard left underfull, of many shards together: about ``shard`` items a task again
+    left = first.where("fill < cap")
+    done = first.where("fill >= cap")
+    if shards > 1:
+        groups = max(1, -(-left.count() // (shard * len(caps))))
+        again = left.select("capacity_id", "cap", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int").alias("shard"), F.col(key).alias("k"), F.xxhash64(key, "n_tokens").alias("u"), F.col("piece_no").alias("piece"), F.col("begin_token").alias("at"), F.col("n_tokens").alias("s"))
+        left = _packed(again, ["capacity_id", "cap", "shard"], key, kind, shards)
+    return done.select(out).unionByName(left.select(out)).unionByName(whole.select(out))
 
 
 def summary(packed: DataFrame, capacities: DataFrame) -> DataFrame:

@@ -126,7 +126,41 @@ def test_packing_holds_every_item_once(sizes):
     bins = packing.pack_sizes(z, 100)
     assert sorted(i for b in bins for i in b) == list(range(len(z)))
     assert all(z[b].sum() <= 100 for b in bins)
-    assert len(bins) <= len([b for b in packing.best_fit(z, 100) if b])
+    assert len(bins) <= max(1, len([b for b in packing.first_layout(z, 100) if b])) if len(z) else not bins
+
+
+def fewest(sizes, capacity):
+    """Least number of containers, by trying every layout."""
+    best = [len(sizes)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(rooms)
+            return
+        for n in range(len(rooms)):
+            if rooms[n] >= sizes[k] and rooms[n] not in rooms[:n]:
+                place(k + 1, [*rooms[:n], rooms[n] - sizes[k], *rooms[n + 1 :]])
+        place(k + 1, [*rooms, capacity - sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_local_search_saves_containers_and_comes_near_the_optimum():
+    rnd, saved, over = random.Random(4), 0, 0
+    for _ in range(150):
+        z = np.array([rnd.randint(3, 12) for _ in range(11)])
+        first, found = packing.first_layout(z, 20), packing.pack_sizes(z, 20)
+        saved += len(first) - len(found)
+        over += len(found) - fewest(z.tolist(), 20)
+    assert saved >= 10 and over <= 8
+    z = np.array([rnd.randint(1, 110) for _ in range(4000)])  # far more than forty items in a container of the larger size
+    for cap in (256, 5000):
+        first, found = packing.first_layout(z, cap), packing.pack_sizes(z, cap)
+        assert len(found) < len(first) or len(first) == -(-int(z.sum()) // cap)
+        assert len(found) <= 1.004 * z.sum() / cap + 1 and sorted(i for b in found for i in b) == list(range(len(z)))
 
 
 def test_local_search_empties_a_container():
