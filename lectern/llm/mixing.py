@@ -1,10 +1,15 @@
 """Problem 9: mixing sources to target shares of all tokens.
 
 Method: soft-membership mixing.  A classifier fitted on labelled rows predicts
-the domain posteriors of rows whose source is unknown; projected-gradient
-least squares, with distributed gradient sums, fits nonnegative rates of use
-whose expected token totals by domain match the targets; rates are rounded to
-whole copies by thresholds on a hash, exact to about one text per source.
+the domain posteriors of rows whose source is unknown; a text of known source
+belongs to that source alone.  Projected-gradient least squares, with
+distributed gradient sums, fits a nonnegative rate of use for each text, so
+that the expected token totals by domain match the targets.
+
+Each text then gets its own whole copies: the floor of its rate, and one more
+with the probability of the fraction (a hash of the text decides).  A factor on
+these probabilities, one for each domain and close to 1, is set from
+histograms so that the copies hold the expected tokens of the fit.
 
 Equal texts are one text: they share one number of copies.  Texts of one known
 source all follow the same path under the gradient, so they enter it as one
@@ -25,9 +30,8 @@ from lectern.runtime import bounded_sample, cut
 
 #: Labelled rows on which the classifier is fitted, at most; features it hashes token ids to.
 FIT_ROWS, FEATURES = 6_000, 4_096
-STEPS = 40
-#: Texts beyond a threshold that are looked at one by one.
-NEXT = 64
+#: Gradient steps before the total is lowered, and the miss (share of the total) at which they end.
+STEPS, NEAR = 40, 1e-4
 
 
 def fit_classifier(texts: list[str], labels: list[str], path: str = VOCABULARY) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -72,139 +76,182 @@ def _texts(documents: DataFrame, model: tuple, domains: list[str], path: str) ->
     return rows.mapInPandas(run, "doc_id long, source string, key string, n_tokens long, p array<double>")
 
 
-def _rate(p: np.ndarray, cap: np.ndarray, path: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps so far: each step moves along the gradient and is projected onto [0, cap]."""
-    r = np.minimum(1.0, cap)
+def _most(p: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    """Whole copies a text may be used for: the repeats its memberships allow."""
+    return np.floor(p @ repeats + 1e-6)
+
+
+def _rate(p: np.ndarray, most: np.ndarray, path: list[np.ndarray]) -> np.ndarray:
+    """Rates after the steps so far: each step moves along the gradient and is projected onto [0, most]."""
+    r = np.minimum(1.0, most)
     for step in path:
-        r = np.clip(r + p @ step, 0.0, cap)
+        r = np.clip(r + p @ step, 0.0, most)
     return r
 
 
+def fit_rates(sums, have: np.ndarray, share: np.ndarray, repeats: np.ndarray, total: float | None) -> tuple[list[np.ndarray], float, np.ndarray]:
+    """``(steps, total, expected tokens by domain)`` of the projected gradient.
+
+    ``sums(steps)`` gives the expected tokens of the soft texts at the rates of
+    these steps, what a unit step would move, and their tokens at the most
+    copies.  The total defaults to the most at which each domain that has
+    tokens could hold its share; where memberships overlap so that the
+    targets can't be met together, it is lowered until they can.
+    """
+    one = np.eye(len(have))
+    e, a, most = sums([])
+    most = most + have * repeats
+    present = most > 0
+    if not present.any():
+        return [], 0.0, np.zeros(len(have))
+    whole = total or float((most[present] / share[present]).min())
+    steps: list[np.ndarray] = []
+    while True:
+        for _ in range(STEPS):
+            expected = e + have * _rate(one, repeats, steps)
+            miss = np.where(present, share * whole - expected, 0.0)
+            if np.abs(miss).max() <= NEAR * whole:
+                return steps, whole, expected
+            steps.append(np.where(a + have > 0, miss / np.maximum(a + have, 1e-9), 0.0))
+            e, a, _ = sums(steps)
+        if total or np.abs(miss)[present].max() <= 0.01 * (share * whole)[present].min():
+            return steps, whole, e + have * _rate(one, repeats, steps)
+        whole *= 0.97
+
+
 def mixture(documents: DataFrame, targets: DataFrame, *, total_tokens: float | None = None, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, source, copies, n_tokens)`` of the texts used, and ``(source, target_share, max_repeats, tokens, actual_share)``.
+    """``(doc_id, source, copies, n_tokens)`` of the texts used, and ``(source, target_share, max_repeats, expected_tokens, tokens, actual_share)``.
 
-    ``total_tokens`` defaults to the most at which every source that has
-    texts can hold its share within its repeats.  A source without texts
-    reaches share 0, and the others divide the rest in proportion.  Texts of
-    sources without a target are never used.
+    A text of unknown source is named by its likeliest domain; in the shares it
+    counts for each domain by its membership.  ``expected_tokens`` are those of
+    the fit, ``tokens`` those reached.  Null, empty and unidentified texts are
+    not used.  A source without texts reaches share 0, and the others divide
+    the rest in proportion.  Texts of sources without a target are never used.
+    ``total_tokens`` as in :func:`fit_rates`.
     """
     goal = sorted((r["source"], float(r["target_share"]), int(r["max_repeats"])) for r in targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").collect())
     domains = [g[0] for g in goal]
     share, repeats = np.array([g[1] for g in goal]), np.array([g[2] for g in goal], float)
     spark = documents.sparkSession
     if not goal:
-        return spark.createDataFrame([], "doc_id long, source string, copies int, n_tokens long"), spark.createDataFrame([], "source string, target_share double, max_repeats int, tokens long, actual_share double")
+        return spark.createDataFrame([], "doc_id long, source string, copies int, n_tokens long"), spark.createDataFrame([], "source string, target_share double, max_repeats int, expected_tokens double, tokens double, actual_share double")
     labelled_rows = documents.where("source IS NOT NULL AND text IS NOT NULL").select("doc_id", "source", "text")
     sample = bounded_sample(labelled_rows, FIT_ROWS, "doc_id").collect()
     model = fit_classifier([r["text"] for r in sample], [r["source"] for r in sample], path)
     read = cut(_texts(documents, model, domains, path), "sizes")
     # one row per text: its smallest id, and the source of its smallest id that has one
     texts = read.groupBy("key").agg(F.min(F.struct("doc_id", "n_tokens")).alias("first"), F.min(F.when(F.col("source").isNotNull(), F.struct("doc_id", "source"))).alias("known"), F.first("p", ignorenulls=True).alias("p"))
-    texts = cut(texts.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.n_tokens").alias("n_tokens"), F.col("known.source").alias("source"), F.when(F.col("known").isNull(), F.col("p")).alias("p")).where("source IS NOT NULL OR p IS NOT NULL"), "texts")
-
-    labelled = {r["source"]: float(r["t"]) for r in texts.where("source IS NOT NULL").groupBy("source").agg(F.sum("n_tokens").alias("t")).collect() if r["source"] in domains}
+    texts = cut(texts.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.n_tokens").alias("n_tokens"), F.col("known.source").alias("source"), F.when(F.col("known").isNull(), F.slice("p", 1, len(domains))).alias("p")).where("source IS NOT NULL OR p IS NOT NULL"), "texts")
+    labelled = {r["source"]: float(r["t"]) for r in texts.where(F.col("source").isin(domains)).groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     have = np.array([labelled.get(d, 0.0) for d in domains])
     soft = texts.where("source IS NULL").select("n_tokens", "p")
     k = len(domains)
 
-    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens by domain at the present rates, and the tokens a unit step would move."""
-
+    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            e, a = np.zeros(k), np.zeros(k)
+            e, a, top = np.zeros(k), np.zeros(k), np.zeros(k)
             for b in batches:
                 if len(b):
-                    p, t = np.stack(b["p"].to_numpy())[:, :k], b["n_tokens"].to_numpy(float)
-                    r = _rate(p, p @ repeats, steps)
-                    e += (r * t) @ p
+                    p, t = np.stack(b["p"].to_numpy()), b["n_tokens"].to_numpy(float)
+                    most = _most(p, repeats)
+                    e += (_rate(p, most, steps) * t) @ p
                     a += t @ (p * p)
-            yield pd.DataFrame({"d": range(k), "e": e, "a": a})
+                    top += (most * t) @ p
+            yield pd.DataFrame({"d": range(k), "e": e, "a": a, "top": top})
 
-        got = soft.mapInPandas(run, "d int, e double, a double").groupBy("d").agg(F.sum("e").alias("e"), F.sum("a").alias("a")).collect()
-        e, a = np.zeros(k), np.zeros(k)
-        for x in got:
-            e[x["d"]], a[x["d"]] = x["e"], x["a"]
-        one = np.eye(k)
-        return e + have * _rate(one, repeats, steps), a + have
+        out = np.zeros((3, k))
+        for x in soft.mapInPandas(run, "d int, e double, a double, top double").groupBy("d").agg(F.sum("e").alias("e"), F.sum("a").alias("a"), F.sum("top").alias("top")).collect():
+            out[:, x["d"]] = x["e"], x["a"], x["top"]
+        return out[0], out[1], out[2]
 
-    most = have * repeats
-    present = most > 0
-    total = total_tokens or (float((most[present] / share[present]).min()) if present.any() else 0.0)
-    steps: list[np.ndarray] = []
-    for _ in range(STEPS):
-        e, a = sums(steps)
-        miss = np.where(present, share * total - e, 0.0)
-        if np.abs(miss).max() <= 1e-4 * max(total, 1.0):
-            break
-        steps.append(np.where(a > 0, miss / np.maximum(a, 1e-9), 0.0))
-
-    # whole copies: the floor of the rate, and one more for texts whose hash is under the source's threshold
+    steps, _, expected = fit_rates(sums, have, share, repeats, total_tokens)
+
+    # every text's own rate: whole copies, and the fraction that is drawn
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = np.vstack([np.eye(k), np.zeros(k)])
+        place = {d: n for n, d in enumerate(domains)}
         for b in batches:
-            p = np.zeros((len(b), k))
-            for n, (s, q) in enumerate(zip(b["source"], b["p"])):
-                if isinstance(s, str):
-                    if s in domains:
-                        p[n, domains.index(s)] = 1.0
-                elif q is not None:
-                    p[n] = np.asarray(q)[:k]
-            r = _rate(p, np.where(p.max(1) == 1.0, p @ repeats, np.floor(p @ repeats)), steps)
-            r[p.sum(1) < 0.5] = 0.0
-            most = np.where(p.max(1) == 1.0, p @ repeats, np.floor(p @ repeats))
+            p = one[[place.get(s, k) for s in b["source"]]]
+            for n, q in enumerate(b["p"]):
+                if q is not None:
+                    p[n] = q
+            r = _rate(p, _most(p, repeats), steps)
             base = np.floor(r + 1e-9)
-            yield pd.DataFrame({"key": b["key"], "doc_id": b["doc_id"], "n_tokens": b["n_tokens"], "domain": [domains[x] for x in p.argmax(1)], "base": base.astype(int), "room": base < most, "u": [int(x[:8], 16) for x in b["key"]]}).loc[r > 0]
-
-    rated = cut(texts.mapInPandas(apply, "key string, doc_id long, n_tokens long, domain string, base int, room boolean, u long"), "rated")
-    based = {r["domain"]: float(r["t"]) for r in rated.groupBy("domain").agg(F.sum(F.col("base") * F.col("n_tokens")).alias("t")).collect()}
-    limit, extra = _thresholds(rated.where("room"), {d: float(s * total) - based.get(d, 0.0) for d, s in zip(domains, share)})
-    copies = F.col("base") + F.when(F.col("room") & ((F.col("u") < F.coalesce(F.element_at(limit, F.col("domain")), F.lit(0))) | F.col("key").isin(extra)), 1).otherwise(0)
-    used = rated.select("doc_id", F.col("domain").alias("source"), copies.cast("int").alias("copies"), "n_tokens").where("copies > 0")
-    got = used.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
-    asked = spark.createDataFrame([(d, float(s), int(m)) for d, s, m in goal], "source string, target_share double, max_repeats int")
-    shares = asked.join(got, "source", "left").withColumn("whole", F.sum("tokens").over(Window.partitionBy(F.lit(1)))).select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"))
-    return used, shares
-
-
-def _thresholds(rated: DataFrame, want: dict[str, float]):
-    """For each domain, the hash value below which texts get one more copy, so that these copies hold the tokens still wanted.
-
-    Two histograms of 2,048 buckets each (the second inside the bucket the
-    first ends in); a domain sends at most that many numbers to the driver.
-    What is left below one bucket is filled with some of the next ``NEXT``
-    texts, the largest that fit.
+            frac = np.maximum(r - base, 0.0)
+            u = np.array([int(x[:13], 16) for x in b["key"]]) / float(1 << 52)
+            with np.errstate(divide="ignore"):
+                v = np.where(frac > 1e-9, u / frac, np.inf)
+            yield pd.DataFrame({"key": b["key"], "doc_id": b["doc_id"], "n_tokens": b["n_tokens"], "domain": [domains[x] for x in p.argmax(1)], "p": b["p"], "base": base.astype(int), "frac": frac, "v": v}).loc[r > 1e-9]
+
+    rated = cut(texts.mapInPandas(apply, "key string, doc_id long, n_tokens long, domain string, p array<double>, base int, frac double, v double"), "rated")
+    used = draw(rated)
+    used = cut(used.where("copies > 0"), "used")
+    member = F.explode(F.arrays_zip(F.array(*map(F.lit, domains)).alias("d"), F.col("p").alias("p"))).alias("m")
+    tokens = F.col("copies") * F.col("n_tokens")
+    known = used.where("p IS NULL").groupBy(F.col("domain").alias("source")).agg(F.sum(tokens.cast("double")).alias("t"))
+    partly = used.where("p IS NOT NULL").select(tokens.alias("t"), member).groupBy(F.col("m.d").alias("source")).agg(F.sum(F.col("t") * F.col("m.p")).alias("t"))
+    got = known.unionByName(partly).groupBy("source").agg(F.sum("t").alias("tokens"))
+    asked = spark.createDataFrame([(d, float(s), int(m), float(x)) for (d, s, m), x in zip(goal, expected)], "source string, target_share double, max_repeats int, expected_tokens double")
+    whole = got.agg(F.sum("tokens").alias("whole"))  # one row
+    shares = asked.join(got, "source", "left").join(F.broadcast(whole), how="cross").select("source", "target_share", "max_repeats", "expected_tokens", F.coalesce("tokens", F.lit(0.0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"))
+    return used.select("doc_id", F.col("domain").alias("source"), "copies", "n_tokens"), shares
+
+
+#: Buckets of a histogram of one domain; two are taken, the second within one bucket of the first.
+BUCKETS = 2_048
+
+
+def draw(rated: DataFrame) -> DataFrame:
+    """``rated`` with ``copies``: ``base``, and one more where ``v`` is below the limit of the domain.
+
+    ``v`` is a uniform number over the text's fraction, so a limit of 1 draws
+    each text with the probability of its fraction.  The limit of a domain is
+    set where the extra copies hold the tokens the fractions stand for: two
+    histograms find the bucket (``BUCKETS`` numbers a domain reach the driver),
+    and the texts of the last bucket are taken in order, as many as fit.  What
+    is then still missing goes to the largest text that fits, until none does or less
+    than ``NEAR`` of the domain is missing.
     """
-    width = 1 << 21
-    rows = rated.groupBy("domain", F.floor(F.col("u") / width).alias("b")).agg(F.sum("n_tokens").alias("t")).collect()
-    at: dict[str, tuple[int, float]] = {}
-    for d in {r["domain"] for r in rows}:
-        own = sorted((r["b"], r["t"]) for r in rows if r["domain"] == d)
-        left = want.get(d, 0.0)
-        for b, t in own:
-            if left < t:
-                break
-            left -= t
-        else:
-            b = (1 << 32) // width
-        at[d] = (int(b), left)
-    start = F.create_map(*(F.lit(x) for d, (b, _) in at.items() for x in (d, b * width))) if at else F.create_map().cast("map<string,int>")
-    if not at:
-        return start, []
-    inner = rated.withColumn("off", F.col("u") - F.element_at(start, F.col("domain"))).where(f"off >= 0 AND off < {width}").groupBy("domain", F.floor(F.col("off") / 1024).alias("b")).agg(F.sum("n_tokens").alias("t")).collect()
-    limit = {}
-    for d, (b, left) in at.items():
-        end = b * width
-        for s, t in sorted((r["b"], r["t"]) for r in inner if r["domain"] == d):
-            if left < t:
-                break
-            left -= t
-            end = b * width + (int(s) + 1) * 1024
-        limit[d], at[d] = end, (b, left)
-    ends = F.create_map(*(F.lit(x) for d, v in limit.items() for x in (d, v)))
-    near = rated.where(F.col("u") >= F.element_at(ends, F.col("domain"))).withColumn("n", F.row_number().over(Window.partitionBy("domain").orderBy("u", "key"))).where(F.col("n") <= NEXT).select("domain", "key", "n_tokens").collect()
-    extra = []
-    for d, (_, left) in at.items():
-        for t, key in sorted(((r["n_tokens"], r["key"]) for r in near if r["domain"] == d), reverse=True):
-            if 0 < t <= left:
+    some = rated.where(f"frac > 1e-9 AND v < {BUCKETS}")
+    want = {r["domain"]: (float(r["w"] or 0), float(r["t"])) for r in rated.groupBy("domain").agg(F.sum(F.col("frac") * F.col("n_tokens")).alias("w"), F.sum((F.col("base") + F.col("frac")) * F.col("n_tokens")).alias("t")).collect()}
+    at = {d: [0.0, w] for d, (w, _) in want.items()}  # limit so far, tokens still wanted
+    width = 2.0
+    for level in range(2):
+        starts = F.create_map(*(F.lit(x) for d, (v, _) in at.items() for x in (d, v))) if at else F.create_map().cast("map<string,double>")
+        step = width / BUCKETS
+        off = F.floor((F.col("v") - F.element_at(starts, F.col("domain"))) / step)
+        for d, own in _by_domain(some.withColumn("b", off).where(f"b >= 0 AND b < {BUCKETS}").groupBy("domain", "b").agg(F.sum("n_tokens").alias("t")).collect()).items():
+            start, left = at[d]
+            end = BUCKETS
+            for b, t in sorted(own):
+                if left < t:
+                    end = b
+                    break
                 left -= t
-                extra.append(key)
-    return ends, extra
+            at[d] = [start + end * step, left]
+        width = step
+    limit = F.create_map(*(F.lit(x) for d, (v, _) in at.items() for x in (d, v))) if at else F.create_map().cast("map<string,double>")
+    left = F.create_map(*(F.lit(x) for d, (_, n) in at.items() for x in (d, n))) if at else F.create_map().cast("map<string,double>")
+    edge = F.element_at(limit, F.col("domain"))
+    last = some.where((F.col("v") >= edge) & (F.col("v") < edge + width)).withColumn("sum", F.sum("n_tokens").over(Window.partitionBy("domain").orderBy("v", "key").rowsBetween(Window.unboundedPreceding, 0)))
+    extra = {(r["domain"], r["key"]): r["n_tokens"] for r in last.where(F.col("sum") <= F.element_at(left, F.col("domain"))).select("domain", "key", "n_tokens").collect()}
+    for d, key in extra:
+        at[d][1] -= extra[d, key]
+    open_ = {d for d in at if at[d][1] > NEAR * want[d][1]}
+    while open_:
+        room = F.create_map(*(F.lit(x) for d in sorted(open_) for x in (d, at[d][1])))
+        fits = some.where((F.col("v") >= edge) & (F.col("n_tokens") > 0) & (F.col("n_tokens") <= F.try_element_at(room, F.col("domain"))) & ~F.col("key").isin([k for _, k in extra]))
+        best = {r["domain"]: r["m"] for r in fits.groupBy("domain").agg(F.max(F.struct("n_tokens", "key")).alias("m")).collect()}
+        for d, m in best.items():
+            extra[d, m["key"]] = m["n_tokens"]
+            at[d][1] -= m["n_tokens"]
+        open_ = {d for d in best if at[d][1] > NEAR * want[d][1]}
+    more = (F.col("frac") > 1e-9) & ((F.col("v") < edge) | F.col("key").isin([k for _, k in extra]))
+    return rated.withColumn("copies", (F.col("base") + F.when(more, 1).otherwise(0)).cast("int"))
+
+
+def _by_domain(rows: list) -> dict[str, list[tuple[int, float]]]:
+    out: dict[str, list[tuple[int, float]]] = {}
+    for r in rows:
+        out.setdefault(r["domain"], []).append((r["b"], float(r["t"])))
+    return out

@@ -235,6 +235,37 @@ def test_mixture(spark):
     assert none[0].count() == 0 and {r["actual_share"] for r in none[1].collect()} == {0.0}
 
 
+def test_half_of_the_sources_unknown(spark):
+    rnd = random.Random(9)
+    vocab = {"a": "river boat tide harbour ferry oar".split(), "b": "lamp shelf ink paper desk quill".split(), "c": "stone hill road bridge gate wall".split()}
+    rows = [(n, " ".join(rnd.choice(vocab[s]) for _ in range(rnd.randint(10, 80))) + f" {n}", s if n % 2 else None) for n, s in enumerate(rnd.choices("abc", [5, 3, 2], k=1200))]
+    rows += [(5000 + n, " ".join(rnd.choice(vocab["a"] + vocab["b"]) for _ in range(40)) + f" {n}", None) for n in range(150)]  # memberships in between
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.4, 2), ("b", 0.35, 2), ("c", 0.25, 3)], "source string, target_share double, max_repeats int")
+    used, shares = mixing.mixture(docs, targets)
+    got = {r["source"]: r for r in shares.collect()}
+    whole = sum(r["expected_tokens"] for r in got.values())
+    for s, want in (("a", 0.4), ("b", 0.35), ("c", 0.25)):
+        assert got[s]["expected_tokens"] / whole == pytest.approx(want, rel=0.01)
+        assert got[s]["actual_share"] == pytest.approx(want, rel=0.01) and got[s]["tokens"] == pytest.approx(got[s]["expected_tokens"], rel=0.01)
+    copies = {r["doc_id"]: r["copies"] for r in used.collect()}
+    assert all(n <= 3 for n in copies.values()) and len({copies.get(5000 + n, 0) for n in range(150)}) > 1  # each text has a rate and a draw of its own
+
+
+def test_draw_meets_the_fractions(spark):
+    rnd = random.Random(2)
+    rows = [(f"{n:05d}", n, rnd.randint(1, 40), "ab"[n % 2], None, n % 3, f, rnd.random() / f) for n, f in enumerate(rnd.choice([0.1, 0.5, 0.9]) for _ in range(3000))]
+    df = spark.createDataFrame(rows, "key string, doc_id bigint, n_tokens bigint, domain string, p array<double>, base int, frac double, v double")
+    got = mixing.draw(df).collect()
+    assert all(r["copies"] - r["base"] in (0, 1) for r in got)
+    for d in "ab":
+        own = [r for r in got if r["domain"] == d]
+        assert sum((r["copies"] - r["base"]) * r["n_tokens"] for r in own) == pytest.approx(sum(r["frac"] * r["n_tokens"] for r in own), rel=1e-3)
+        for f in (0.1, 0.5, 0.9):
+            part = [r["copies"] - r["base"] for r in own if r["frac"] == f]
+            assert sum(part) / len(part) == pytest.approx(f, abs=0.07)
+
+
 def test_classifier_on_held_out_rows():
     rnd = random.Random(2)
     vocab = {"a": "river boat tide harbour ferry", "b": "lamp shelf ink paper desk"}
