@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_clean_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return markup.clean_pages(table(spark, d, "chunks"), ["book_id", "chunk_id"], "book_id", "text")
+    return markup.clean_pages(table(spark, d, "chunks"), ["book_id", "chunk_id"], "book_id", "text", latest="loaded_at")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -176,6 +176,10 @@ def test_damaged_rows(spark):
         ("a\n> quote\n\nb", "a\nquote\n\nb"),
         ("<!-- x -->a<br>b", "a\nb"),
         ("&#8217;x", "’x"),
+        ("x</p> y", "x y"),
+        ("*a* snake_case __init__ here", "a snake_case __init__ here"),
+        ("*a* C:\\temp{a} file", "a C:\\temp{a} file"),
+        ("# [[A]] b\n# [[C]] d", "- A b\n- C d"),
     ],
 )
 def test_markup(text, out):
@@ -195,4 +199,23 @@ def test_templates(spark):
     assert got["h", "3"]["clean_text"] == "text 3 of its own here" and got["h", "3"]["removed"] == 1
     assert got["i", "1"]["clean_text"] == "Home page and more" and got["i", "1"]["removed"] == 0
     assert len(got) == 11 and got[None, "11"]["pieces"] > 0
-    assert markup.clean_pages(df.where("false"), ["chunk_id"], "book_id", "text").count() == 0
+    # wiki templates are elements of the same tree, and Markdown pages are pages
+    wiki = spark.createDataFrame([("w", str(k), f"{{{{navbox of the whole site}}}}\n\n**page** {k}") for k in range(6)], KEYS + ", text string")
+    assert {r["removed"] for r in markup.clean_pages(wiki, ["book_id", "chunk_id"], "book_id", "text").collect()} == {1}
+
+
+def test_a_page_delivered_again_is_one_page(spark):
+    own = "<div><p>the only paragraph of this page</p></div>"
+    rows = [("h", "1", own, n) for n in range(10)] + [("h", str(k), f"<p>page {k} of the site</p>", 1) for k in range(2, 7)]
+    df = spark.createDataFrame(rows, KEYS + ", text string, loaded_at int")
+    each = markup.clean_pages(df, ["book_id", "chunk_id"], "book_id", "text").collect()
+    assert len(each) == 15 and all(r["clean_text"] and not r["removed"] for r in each)
+    once = markup.clean_pages(df, ["book_id", "chunk_id"], "book_id", "text", latest="loaded_at").collect()
+    assert sorted((r["chunk_id"], r["clean_text"]) for r in once)[0] == ("1", "the only paragraph of this page") and len(once) == 6
+    assert markup.clean_pages(df.where("false"), ["chunk_id"], "book_id", "text", latest="loaded_at").count() == 0
+
+
+def test_deep_and_long_pages():
+    deep = "<div>abcdefgh" * 10_000
+    assert markup.clean(deep)[1] == 10_000 and len(markup.subtree_hashes(deep)) == 10_000
+    assert markup.clean("<li>x" * 10_000 + "</ul>" * 10_000)[0].count("- x") == 10_000
