@@ -418,7 +418,7 @@ def clean(text: str, drop: set[int] | frozenset[int] = frozenset()) -> tuple[str
     return re.sub(r"\n{3,}", "\n\n", body).strip("\n").replace("\x04", " "), found, removed
 
 
-def templates(pages: DataFrame, host: str, keys: list[str], text: str, *, least_pages: int = 5, share: float = 0.2) -> DataFrame:
+def templates(pages: DataFrame, host: str, keys: list[str], text: str, *, least_pages: int = 5, share: float = 0.02) -> DataFrame:
     """``(host, drop)``: hashes of the subtrees on at least ``share`` of a host's pages with markup, and on ``least_pages`` of them.
 
     A page is one ``keys``, however often it was delivered: deliveries are told
