@@ -204,12 +204,14 @@ def _signed(x: int) -> int:
 
 
 def subtree_hashes(text: str, least: int = 8) -> list[int]:
-    """Distinct hashes of the element subtrees that could be part of a template; a page without markup has none."""
+    """Distinct hashes of the element subtrees that could be part of a template, after a 0 for the page; a page without markup has none."""
     if not _SIGNS.search(text):
         return []
     page = Page(text)
+    if len(page.nodes) == 1:
+        return []
     page.seals()
-    return sorted({_signed(n.seal) for n in page.nodes[1:] if n.tag in PARTS and n.size >= least and not n.fixed})
+    return [0, *sorted({_signed(n.seal) for n in page.nodes[1:] if n.tag in PARTS and n.size >= least and not n.fixed})]
 
 
 def _rendered(page: Page, drop: set[int]) -> tuple[str, int]:
@@ -432,8 +434,8 @@ def templates(pages: DataFrame, host: str, keys: list[str], text: str, *, least_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [subtree_hashes(t) for t in b["text"]]
-            n = [len(x) + 1 for x in found]  # 0 stands for the page itself
-            yield pd.DataFrame({"host": np.repeat(b["host"].to_numpy(), n), "page": np.repeat(b["page"].to_numpy(), n), "hash": np.array([h for x in found for h in (0, *x)], np.int64)})
+            n = [len(x) for x in found]
+            yield pd.DataFrame({"host": np.repeat(b["host"].to_numpy(), n), "page": np.repeat(b["page"].to_numpy(), n), "hash": np.array([h for x in found for h in x], np.int64)})
 
     kind = some.select("host").schema.simpleString()[7:-1].replace(":", " ")
     seen = some.where(F.col("text").rlike(SIGNS)).mapInPandas(run, f"{kind}, page long, hash long")
