@@ -129,7 +129,7 @@ class Library:
         own_id = F.lit(check_book_id(book_id)) if book_id else book_id_of(name)
         base = found.select(F.col("path").alias("source_path"), F.col("kind").alias("source_type"), name.alias("title"), F.coalesce(F.lit(author), "author").alias("author"), own_id.alias("book_id"), "original", F.size("sections").alias("section_count"))
         base = base.withColumn("book_id", F.when(F.col("book_id") != "", F.col("book_id")).otherwise(F.concat(F.lit("book-"), F.substring(F.sha2("source_path", 256), 1, 12))))
-        base = I.live(base, ["book_id"], "source_path")
+        base = I.latest(base, ["book_id"], "source_path")
         parts = G.segment(base, max_chars=most, min_chars=least, text="original")
         chunks = self._checkpointed(parts)
         size = chunks.groupBy("book_id").agg(F.first("initial_chunks").alias("initial_chunk_count"))

@@ -2,32 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import clean_text, preview
+from lectern.functions.text import clean_text, let, preview
 from lectern.functions.tokens import index_terms
+from lectern.runtime import cut
 
 #: Defaults of an index build.
 DEFAULTS = {"min_term_length": 2, "min_total_count": 2, "max_preview": 160, "max_term_chunks": 50, "max_chunk_ratio": 0.6, "ngram_sizes": (2,)}
 KEY = ["book_id", "chunk_id"]
 
 
-def live(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """The latest delivery of each key by ``order`` (then by the whole row); nulls are oldest.
-
-    An aggregate rather than a window: it combines before the shuffle, and no
-    partition is sorted.
-    """
+def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The same for narrow rows: one aggregate over whole rows, combined before its shuffle; ties go to the greater row."""
     rest = [c for c in df.columns if c not in keys]
     ranked = F.struct(*(F.col(c) for c in order), *(F.col(c) for c in rest if c not in order))
     return df.groupBy(*keys).agg(F.max(ranked).alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
+def live(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The latest delivery of each key by ``order``; nulls are oldest, ties go to the row that is last in the files.
+
+    No text is shuffled: keys, order and place of each row (file and row
+    number) are aggregated, and the few rows that a later delivery replaced are
+    taken out by an anti-join on their place, whose table is small and
+    broadcast while it stays under the session's threshold.  A DataFrame that isn't a scan
+    of files has no places; there :func:`latest` is used.
+    """
+    try:
+        placed = df.select("*", F.struct("_metadata.row_index", F.xxhash64("_metadata.file_path").alias("file")).alias("_at"))
+    except AnalysisException:
+        return latest(df, keys, *order)
+    row = F.struct(*(F.col(c) for c in order), "_at")
+    narrow = placed.select(*keys, row.alias("_r"))
+    again = narrow.groupBy(*keys).agg(F.max("_r").alias("_best"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), "_best")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)]
+    old = cut(narrow.join(cut(again, "again"), reduce(and_, same)).where("_r._at <> _best._at").select("_r._at.*"), "old")
+    return placed.join(old.select(F.struct("row_index", "file").alias("_at")), "_at", "left_anti").select(*df.columns)
+
+
+def counted_terms(text: Column, *, min_length: int = 2, sizes: tuple[int, ...] = (2,)) -> Column:
+    """``array<struct<term, count>>`` of one text. Counted inside the row: sorted, then by where a new term begins."""
+
+    def of_sorted(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.element_at(t, i) != F.element_at(t, F.greatest(i - 1, F.lit(1)))))
+        return let(starts, lambda b: F.transform(b, lambda i, k: F.struct(F.element_at(t, i).alias("term"), (F.coalesce(F.try_element_at(b, k + 2), F.size(t) + 1) - i).cast("long").alias("count"))))
+
+    none = F.array().cast("array<struct<term:string,count:bigint>>")
+    return let(F.array_sort(index_terms(text, min_length=min_length, sizes=sizes)), lambda t: F.when(F.size(t) > 0, of_sorted(t)).otherwise(none))
+
+
 def term_counts(chunks: DataFrame, *, min_length: int = 2, sizes: tuple[int, ...] = (2,)) -> DataFrame:
-    """``book_id, chunk_id, term, count``; chunks without text have no term."""
-    every = chunks.where("text IS NOT NULL").select(*KEY, F.explode(index_terms(clean_text(F.col("text")), min_length=min_length, sizes=sizes)).alias("term"))
-    return every.groupBy(*KEY, "term").agg(F.count(F.lit(1)).alias("count"))
+    """``book_id, chunk_id, term, count``; chunks without text have no term. Nothing is shuffled: a chunk's terms are counted in its row."""
+    each = chunks.where("text IS NOT NULL").select(*KEY, F.explode(counted_terms(clean_text(F.col("text")), min_length=min_length, sizes=sizes)).alias("t"))
+    return each.select(*KEY, "t.term", "t.count")
 
 
 def pruned(counts: DataFrame, chunks: DataFrame, *, min_total: int = 2, max_ratio: float = 0.6) -> DataFrame:
@@ -74,8 +107,8 @@ def build(chunks: DataFrame, **options) -> dict[str, DataFrame]:
         raise ValueError("ngram_sizes may hold 2 and 3")
     if o["max_preview"] < 40:
         raise ValueError("max_preview must be 40 or more")
-    counts = term_counts(chunks, min_length=o["min_term_length"], sizes=tuple(o["ngram_sizes"]))
-    kept = pruned(counts, chunks, min_total=o["min_total_count"], max_ratio=o["max_chunk_ratio"])
+    counts = cut(term_counts(chunks, min_length=o["min_term_length"], sizes=tuple(o["ngram_sizes"])), "counts")
+    kept = cut(pruned(counts, chunks, min_total=o["min_total_count"], max_ratio=o["max_chunk_ratio"]), "kept")
     rows = postings(kept, most=o["max_term_chunks"])
     return {
         "postings": rows,

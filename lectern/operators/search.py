@@ -1,12 +1,19 @@
 """Keyword search with two-stage ranking and fallback, exact search, highlights.
 
 Queries are a DataFrame ``(query_id, query)``, so one plan answers one query
-or many; every window is by query and book, never by query alone.
+or many.  Windows are by query and book; the one by query alone, which picks
+the best over all books, sees at most ``limit`` rows of a book, and each task
+hands on its own best ``limit`` only.  Query sets are asked in blocks of a
+bounded size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import clean_text, inline, occurrences, search_preview
@@ -66,36 +73,56 @@ def keyword_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame, *
 
 
 def fallback_hits(queries: DataFrame, chunks: DataFrame, found: DataFrame, books: DataFrame | None = None) -> DataFrame:
-    """Scan of the books that ``found`` has no hit in: 4 for the whole query plus the weight of each token a text holds."""
-    q = queries.select("query_id", "query", query_tokens(F.col("query")).alias("tokens")).where(F.size("tokens") > 0)
-    scope = chunks if books is None else chunks.join(books, "book_id", "left_semi")
-    pairs = scope.select("book_id").distinct().join(F.broadcast(q) if _few(q) else q, F.lit(True)).join(found, QUERY, "left_anti")
-    scan = scope.select("book_id", "chunk_id", "ord", clean_text(F.col("text")).alias("body")).join(pairs, "book_id")
-    have = F.filter("tokens", lambda t: F.contains(F.col("body"), t))
-    whole = F.contains(F.col("body"), F.col("query"))
-    score = F.when(whole, BOOST).otherwise(0) + F.aggregate(have, F.lit(0), lambda acc, t: acc + token_weight(t))
-    hit = scan.where(whole | (F.size(have) > 0))
-    return hit.select("query_id", "query", "book_id", "chunk_id", "ord", score.cast("long").alias("score"), F.when(F.size(have) > 0, have).otherwise(F.array("query")).alias("matched"), "body")
-
+    """Scan of the books that ``found(query_id, book_id)`` has no hit in: 4 for the whole query plus the weight of each token a text holds.
 
-def _few(queries: DataFrame, most: int = 10_000) -> bool:
-    """A stated query set is asked against all books; it is broadcast only up to a checked size."""
-    return queries.limit(most + 1).count() <= most
+    Each chunk learns which queries its book already answered (one row per
+    book) and is asked the others of a block; no pairs of books and queries are made.
+    """
+    scope = chunks if books is None else chunks.join(books, "book_id", "left_semi")
+    hit = found.groupBy("book_id").agg(F.collect_set("query_id").alias("answered"))
+    scan = scope.select("book_id", "chunk_id", "ord", clean_text(F.col("text")).alias("body")).join(hit, "book_id", "left")
+    out = []
+    for block in _blocks(queries.select("query_id", "query", query_tokens(F.col("query")).alias("tokens")).where(F.size("tokens") > 0)):
+        asked = F.array(*(F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit(r["query"]).alias("query"), F.array(*map(F.lit, r["tokens"])).alias("tokens")) for r in block))
+        weights = F.create_map(*(x for t in sorted({t for r in block for t in r["tokens"]}) for x in (F.lit(t), token_weight(F.lit(t)))))
+        open_ = F.filter(asked, lambda q: F.contains(F.col("body"), q["query"]) | F.exists(q["tokens"], lambda t: F.contains(F.col("body"), t)))
+        q = scan.select("*", F.explode(F.filter(open_, lambda x: ~F.coalesce(F.array_contains(F.col("answered"), x["query_id"]), F.lit(False)))).alias("q"))
+        have = F.filter(F.col("q.tokens"), lambda t: F.contains(F.col("body"), t))
+        rows = q.select("book_id", "chunk_id", "ord", "body", "q.query_id", "q.query", have.alias("have"))
+        score = F.when(F.contains(F.col("body"), F.col("query")), BOOST).otherwise(0) + F.aggregate("have", F.lit(0), lambda acc, t: acc + F.element_at(weights, t))
+        out.append(rows.select("query_id", "query", "book_id", "chunk_id", "ord", score.cast("long").alias("score"), F.when(F.size("have") > 0, F.col("have")).otherwise(F.array("query")).alias("matched"), "body"))
+    if not out:
+        return scan.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit("").alias("query"), "book_id", "chunk_id", "ord", F.lit(0).cast("long").alias("score"), F.array(F.lit("")).alias("matched"), "body").where("false")
+    return reduce(DataFrame.unionByName, out)
+
+
+#: Queries of a block, at most; a block is part of the plan.
+BLOCK = 200
+
+
+def _blocks(queries: DataFrame) -> Iterator[list[Row]]:
+    """A stated query set in blocks of a bounded size."""
+    rows = queries.toLocalIterator()
+    while block := list(islice(rows, BLOCK)):
+        yield block
 
 
 def exact_hits(queries: DataFrame, chunks: DataFrame, *, by_book: bool = False) -> DataFrame:
     """Chunks whose text holds the query, white space aside: score 100 plus 5 for each occurrence.
 
     With ``by_book`` the queries carry a ``book_id`` and are asked of that
-    book only (an equi-join); else the query set is broadcast after a check of
-    its size.
+    book only (an equi-join); else every chunk is asked the queries of one
+    block after the other.
     """
     c = chunks.where("text IS NOT NULL").select("book_id", "chunk_id", "ord", inline(F.col("text")).alias("body"))
     q = queries.withColumn("_q", inline(F.col("query"))).where("_q <> ''")
     if by_book:
         pairs = c.join(q, "book_id").where(F.contains("body", "_q"))
     else:
-        pairs = c.join(F.broadcast(q) if _few(q) else q, F.contains(c["body"], q["_q"]))
+        kind = queries.schema["query_id"].dataType
+        blocks = [F.array(*(F.struct(F.lit(r["query_id"]).cast(kind).alias("query_id"), F.lit(r["query"]).alias("query"), F.lit(r["_q"]).alias("_q")) for r in block)) for block in _blocks(q)]
+        asked = [c.select("*", F.explode(F.filter(b, lambda x: F.contains(F.col("body"), x["_q"]))).alias("q")).select("book_id", "chunk_id", "ord", "body", "q.*") for b in blocks]
+        pairs = reduce(DataFrame.unionByName, asked) if asked else c.join(q, F.lit(False)).select("book_id", "chunk_id", "ord", "body", "query_id", "query", "_q")
     return pairs.select("query_id", "query", "book_id", "chunk_id", "ord", (EXACT_BASE + EXACT_STEP * occurrences(F.col("body"), F.col("_q"))).cast("long").alias("score"), F.array("query").alias("matched"), "body")
 
 

@@ -189,7 +189,7 @@ def chunk_parts(found: list[tuple[str, str]], most: int, least: int) -> tuple[in
     return len(first), merge_tiny(first, most, least)
 
 
-_CHUNK = "title string, section_title string, ord int, text string, initial_chunks int"
+_CHUNK = "title string, section_title string, ord int, text string, initial_chunks int, last int"
 
 
 def segment(books: DataFrame, *, max_chars: int = MAX_CHARS, min_chars: int | None = None, text: str = "text") -> DataFrame:
@@ -206,8 +206,8 @@ def segment(books: DataFrame, *, max_chars: int = MAX_CHARS, min_chars: int | No
             out = []
             for book, found in zip(b["book_id"], b["s"]):
                 initial, parts = chunk_parts(text_sections(found), most, least)
-                out += [(book, t, s, n, body, initial) for n, (t, s, body) in enumerate(parts)]
-            yield pd.DataFrame(out, columns=["book_id", "title", "section_title", "ord", "text", "initial_chunks"])
+                out += [(book, t, s, n, body, initial, len(parts) - 1) for n, (t, s, body) in enumerate(parts)]
+            yield pd.DataFrame(out, columns=["book_id", "title", "section_title", "ord", "text", "initial_chunks", "last"])
 
     return chunk_columns(rows.mapInPandas(run, f"book_id {kind}, {_CHUNK}"))
 
@@ -217,15 +217,13 @@ def chunk_id(ord_: Column) -> Column:
 
 
 def chunk_columns(parts: DataFrame) -> DataFrame:
-    """The derived columns of chunks. Ordinals are dense, so the neighbours' ids follow without a window over texts."""
-    last = parts.groupBy("book_id").agg(F.max("ord").alias("_last"))
-    c = parts.join(last, "book_id")
+    """The derived columns of chunks. Ordinals are dense and the last one is known, so the neighbours' ids follow row by row."""
     body = F.col("text")
-    return c.select(
+    return parts.select(
         "book_id", chunk_id(F.col("ord")).alias("chunk_id"), "title", "section_title", "ord", F.concat(F.lit("chunks/"), chunk_id(F.col("ord")), F.lit(".md")).alias("chunk_path"), "text",
         F.length(body).alias("char_count"), count_words(body).alias("word_count"), preview(body).alias("preview"), F.sha2(body, 256).alias("chunk_hash"),
         F.array().cast("array<string>").alias("keywords"), F.lit(None).cast("string").alias("summary"),
-        F.when(F.col("ord") > 0, chunk_id(F.col("ord") - 1)).alias("prev_id"), F.when(F.col("ord") < F.col("_last"), chunk_id(F.col("ord") + 1)).alias("next_id"), "initial_chunks",
+        F.when(F.col("ord") > 0, chunk_id(F.col("ord") - 1)).alias("prev_id"), F.when(F.col("ord") < F.col("last"), chunk_id(F.col("ord") + 1)).alias("next_id"), "initial_chunks",
     )
 
 

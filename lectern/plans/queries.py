@@ -33,7 +33,7 @@ def _chunks(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 
 
 def _books(spark: SparkSession, d: str) -> DataFrame:
-    return I.live(table(spark, d, "books"), ["book_id"], "imported_at")
+    return I.latest(table(spark, d, "books"), ["book_id"], "imported_at")
 
 
 def _joined(c):
@@ -143,11 +143,11 @@ def short_chunks(spark: SparkSession, d: str) -> DataFrame:
 # ---- index
 def _counts(spark: SparkSession, d: str, *cols: str) -> tuple[DataFrame, DataFrame]:
     c = _chunks(spark, d, *cols)
-    return c, I.term_counts(c)
+    return c, cut(I.term_counts(c), "counts")
 
 
 def term_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _counts(spark, d, "text")[1]
+    return I.term_counts(_chunks(spark, d, "text"))
 
 
 def postings_pruned(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +181,7 @@ def index_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def postings_valid(spark: SparkSession, d: str) -> DataFrame:
     """Delivered postings as a search reads them: the last revision of each entry, valid ones only."""
-    p = I.live(table(spark, d, "postings").where("term IS NOT NULL AND chunk_id IS NOT NULL"), ["book_id", "term", "chunk_id"], "indexed_at")
+    p = I.latest(table(spark, d, "postings").where("term IS NOT NULL AND chunk_id IS NOT NULL"), ["book_id", "term", "chunk_id"], "indexed_at")
     return p.where("hit_count > 0").select("book_id", "term", "chunk_id", F.col("hit_count").cast("long").alias("count"))
 
 

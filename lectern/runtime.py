@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -41,12 +42,15 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (single-machine tests) a temporary folder
-    is made, and recorded in the session so that later calls agree.
+    Only a local session (tests) may leave it out; it gets a temporary folder,
+    recorded so that later calls agree.  On a cluster a missing setting is an
+    error, because executors don't see each other's disks.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="shared-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", made)
@@ -57,17 +61,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Used where a result feeds several later stages: it is computed once, its
-    lineage ends here, and it outlives the executor that made it.
+    lineage ends here, and it outlives the executor that made it.  The table
+    is deleted when the application ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_sample(df: DataFrame, n: int, *by: str) -> DataFrame:
@@ -78,8 +80,8 @@ def bounded_sample(df: DataFrame, n: int, *by: str) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
+    keyed = df.withColumn("_h", F.pmod(F.xxhash64(*by), F.lit(1 << 30)))
     whole = df.count()
-    keyed = df.withColumn("_h", F.xxhash64(*by))
     if whole > 2 * n:
-        keyed = keyed.where(F.pmod("_h", F.lit(1 << 30)) < int((1 << 30) * 1.5 * n / whole))
-    return keyed.orderBy(F.pmod("_h", F.lit(1 << 30)), "_h").limit(n).drop("_h")
+        keyed = keyed.where(F.col("_h") < int((1 << 30) * 1.5 * n / whole))
+    return keyed.orderBy("_h", *by).limit(n).drop("_h")

@@ -62,3 +62,25 @@ def test_highlight(spark):
 def test_live_keeps_the_last_delivery(spark):
     df = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("k", 2, "c"), ("l", None, "d"), (None, 1, "e")], "k string, at int, v string")
     assert {(r["k"], r["v"]) for r in I.live(df, ["k"], "at").collect()} == {("k", "c"), ("l", "d"), (None, "e")}
+
+
+def test_latest_delivery_of_files(spark, tmp_path):
+    rows = [("b", "1", 1, "old"), ("b", "1", 3, "new"), ("b", "1", 2, "mid"), ("b", "2", None, "x"), ("b", "2", 5, "y"), (None, "3", 1, "p"), (None, "3", 2, "q"), ("b", "4", 7, "same"), ("b", "4", 7, "same"), ("b", "5", None, None)]
+    df = spark.createDataFrame(rows, "book_id string, chunk_id string, at int, text string")
+    want = {("b", "1", "new"), ("b", "2", "y"), (None, "3", "q"), ("b", "4", "same"), ("b", "5", None)}
+    df.repartition(3).write.parquet(f"{tmp_path}/t")
+    for source in (df, spark.read.parquet(f"{tmp_path}/t")):
+        got = I.live(source, ["book_id", "chunk_id"], "at").collect()
+        assert len(got) == 5 and {(r["book_id"], r["chunk_id"], r["text"]) for r in got} == want
+    plan = I.live(spark.read.parquet(f"{tmp_path}/t"), ["book_id", "chunk_id"], "at")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan or "Broadcast" in plan  # no text is shuffled
+
+
+def test_more_queries_than_a_block(spark):
+    chunks = spark.createDataFrame([("b", "1", 0, "alpha 7 beta"), ("b", "2", 1, "beta 399 gamma"), ("c", "1", 0, None)], "book_id string, chunk_id string, ord int, text string")
+    queries = spark.createDataFrame([(n, f"{n} " + ("beta" if n == 7 else "gamma")) for n in range(450)], "query_id int, query string")
+    assert {(r["query_id"], r["chunk_id"]) for r in S.exact_hits(queries, chunks).collect()} == {(7, "1"), (9, "2"), (99, "2"), (399, "2")}
+    none = spark.createDataFrame([(3, "b")], "query_id int, book_id string")
+    got = S.fallback_hits(queries, chunks, none)
+    assert {r["query_id"] for r in got.collect()} == set(range(450)) - {3}
+    assert S.fallback_hits(queries.where("false"), chunks, none).count() == 0 and S.exact_hits(queries.where("false"), chunks).count() == 0
