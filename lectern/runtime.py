@@ -72,16 +72,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_sample(df: DataFrame, n: int, *by: str) -> DataFrame:
+def bounded_sample(df: DataFrame, n: int, *by: str, whole: int | None = None) -> DataFrame:
     """At most ``n`` rows, chosen by a hash of the columns ``by``; for fitting models only.
 
     A large input is thinned before the final ordering, so that a task sends
-    the driver its share of the sample and not ``n`` rows of its own.
+    the driver its share of the sample and not ``n`` rows of its own.  ``whole``
+    is the number of rows, where it is known already.
     """
     from pyspark.sql import functions as F
 
     keyed = df.withColumn("_h", F.pmod(F.xxhash64(*by), F.lit(1 << 30)))
-    whole = df.count()
+    whole = df.count() if whole is None else whole
     if whole > 2 * n:
         keyed = keyed.where(F.col("_h") < int((1 << 30) * 1.5 * n / whole))
     return keyed.orderBy("_h", *by).limit(n).drop("_h")
