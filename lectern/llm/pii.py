@@ -3,12 +3,20 @@
 Method: every item becomes a typed placeholder; numbers (and the dates inside
 identity numbers) are permuted by a keyed Feistel network within their own
 format, so equal values stay linked across documents without being shown.
-E-mails, addresses and names, which have no numeric format, carry a keyed tag.
+Different spellings of one value are linked as well: a phone number is permuted
+as its national digits, whatever its separators, country code or trunk digit; a
+valid check digit is taken off before and computed anew after.  E-mails,
+addresses and names, which have no numeric format, carry a keyed tag of their
+plain form.  One operator, :func:`protected`, finds the items, validates the
+numbers and makes the placeholders; the list of items is one of its results.
 
 Finding: e-mails (plain and disguised), postal addresses, phone numbers and
 identity numbers by their formats; personal names by a lexicon learned from a
 table of people (given names, family names, surnames of Chinese and Japanese)
-and a character model of name-like words fitted on it.
+and a character model of name-like words fitted on it.  Digits in groups of
+three or four, which figures and orders share, count as an identity number only
+with a leading zero, a word for such a number before them or, if they aren't
+grouped like a figure, a right check digit.
 """
 
 from __future__ import annotations
@@ -16,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 from hashlib import blake2b
@@ -102,26 +110,36 @@ def _numbers(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
 
 
 def _emails(text: str) -> Iterator[re.Match]:
-    """Matches of the e-mail pattern around each sign or word for at."""
+    """Matches of the e-mail pattern around each sign or word for at, begun where the local part begins."""
     at = 0
     for m in _AT.finditer(text):
-        if m.start() >= at:
-            for hit in _EMAIL.finditer(text, max(at, m.start() - 100), m.end() + 120):
-                if hit.start() < m.start() < hit.end():
-                    yield hit
-                    at = hit.end()
-                    break
+        if m.start() < at:
+            continue
+        k = m.start() - (m.start() > at and text[m.start() - 1] == " ")
+        end = k
+        while k > at and text[k - 1] in _LOCAL:
+            k -= 1
+        while k < end and not text[k].isalnum():
+            k += 1
+        hit = _EMAIL.match(text, k) if k < end else None
+        if hit and hit.end() > m.end():
+            yield hit
+            at = hit.end()
+
+
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
 # ---------------------------------------------------------------- names
 _CAP = re.compile(r"(?<![\w@.'’-])[A-ZÀ-ÖØ-ÞА-ЯЁ](?:[\w]+(?:['’-][A-ZÀ-ÖØ-ÞА-ЯЁ]?\w+)*)(?![\w@])")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-#: Forms of address, after which a single family name stands.
-TITLES = "Mr Mrs Ms Dr Prof Sr Sra Dra Srta Herr Frau Inspector M Mme Mlle डॉ"
 _RUNNING = re.compile(r"(?<![\w'’-])[^\W\d_A-ZÀ-ÞА-ЯЁ]{2,}(?![\w'’-])")
 #: German nouns stand after an article or an inflected word.
 _NOUN = re.compile(r"(?<![\w'’-])(?:der|die|das|den|dem|des|ein|eine|einen|einem|einer|am|im|zum|zur|[a-zäöü]+(?:en|es|er|te|ge|he|ne|re)) ([A-ZÄÖÜ][a-zäöüß]+)(?![\w'’-])")
-_TITLE_PATTERN = r"(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Dra|M|Mme)\. ([A-ZÀ-Þ][\p{L}'’-]+)"
+#: Forms of address, after which a family name stands.
+_TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Dra|M|Mme)\. ([A-ZÀ-Þ](?:[^\W\d_]|['’-])+)")
+#: Scripts without capitals whose names are two words: Devanagari (words between spaces) and Thai (words run on).
+_PLAIN_NAME = re.compile(r"[\u0900-\u0963]+|[\u0e00-\u0e4e]+")
 
 
 #: Function words that may follow a name without a space.
@@ -154,6 +172,8 @@ def name_parts(name: str) -> list[tuple[str, str, str]]:
     parts = _TOKEN.findall(name)
     if len(parts) == 2 and parts[0][0].isupper() and "," not in name:
         return [("two", parts[0].lower(), parts[1].lower())]
+    if len(words := name.split()) == 2 and all(map(_PLAIN_NAME.fullmatch, words)):
+        return [("two", words[0], words[1])]
     if parts and re.match(_HAN, parts[0]) and 2 <= len(parts[0]) <= 5:
         return [("han", parts[0][:k], parts[0][k:]) for k in (1, 2) if len(parts[0]) > k]
     return []
@@ -243,6 +263,7 @@ def _names(text: str, lex: Lexicon, cache: dict[str, int], taken: list[tuple[int
             end = d + m.end()
         found.append((a, end))
         skip = d
+    found += [(a, b) for a, b in _plain_names(text, lex) if not any(a < y and x < b for x, y in taken)]
     if lex.surname and _EAST.search(text):
         kana = bool(_KANA.search(text))
         at = 0
@@ -272,6 +293,23 @@ def _names(text: str, lex: Lexicon, cache: dict[str, int], taken: list[tuple[int
     return found
 
 
+def _plain_names(text: str, lex: Lexicon) -> Iterator[tuple[int, int]]:
+    """Given and family name side by side in Devanagari or Thai; in Thai other words may run on before and after."""
+    words = list(_PLAIN_NAME.finditer(text))
+    for m, n in zip(words, words[1:]):
+        if text[m.end() : n.start()] not in (" ", "\xa0"):
+            continue
+        a, b = m.group(), n.group()
+        if a[0] < "\u0e00":
+            if a in lex.given and b in lex.family:
+                yield m.start(), n.end()
+            continue
+        head = next((k for k in range(len(a)) if a[k:] in lex.given), None)
+        tail = next((k for k in range(len(b), 0, -1) if b[:k] in lex.family), None)
+        if head is not None and tail:
+            yield m.start() + head, n.start() + tail
+
+
 _EAST, _KANA = re.compile(r"[㐀-鿿]"), re.compile(r"[ぁ-ヺ]")
 
 
@@ -293,7 +331,7 @@ def find_items(text: str, lex: Lexicon, cache: dict[str, int]) -> list[tuple[str
     if _STREET.search(plain):
         take("address", _ADDRESS.finditer(plain))
     take("phone", (m for m in _numbers(_PHONE, plain) if m.group()[0] == "+" and sum(c.isdigit() for c in m.group()) <= 18))
-    take("id_number", (m for m in _numbers(_ID, plain) if not _called(plain, m)))
+    take("id_number", (m for m in _numbers(_ID, plain) if _valid_id(plain, m) and not _called(plain, m)))
     take("phone", (m for m in _numbers(_PHONE, plain) if 7 <= sum(c.isdigit() for c in m.group()) <= 18))
     out += [("name", a, b) for a, b in _names(text, lex, cache, taken)]
     return sorted(out, key=lambda x: x[1])
@@ -308,6 +346,20 @@ def _called(text: str, m: re.Match) -> bool:
     return bool(re.fullmatch(r"\d{3} \d{3} \d{3}", m.group())) and bool(_CALLS.search(text[max(0, m.start() - 16) : m.start()]))
 
 
+#: Words before an identity, tax or passport number.
+_CUES = re.compile(r"(?i)(?:\bid\b|identity|passport|card number|tax|licen[cs]e|social security|ausweis|steuer|formular|reçu|identité|passeport|fiscal|documento|recibo|dni|nif|nie|cpf|паспорт|квитанц|снилс|инн|证件|身份证|护照|税号|身分証|控え|旅券|番号|पहचान|आधार|पासपोर्ट|บัตร|ประจำตัว|หนังสือเดินทาง)[^\n.!?。！？]{0,40}$")
+
+
+def _valid_id(text: str, m: re.Match) -> bool:
+    """Whether a match has what its format asks for: a date inside eighteen places; more than bare groups of digits."""
+    flat = re.sub(r"[ .\-]", "", m.group())
+    if len(flat) == 18 and flat[:17].isdigit():
+        return _day(flat[6:14]) is not None
+    if re.fullmatch(r"\d{3} \d{3} \d{3}|\d{4} \d{4} \d{4}|\d{2} \d{2} \d{6}", m.group()):
+        return flat[0] == "0" or len(flat) == 12 and checked(flat) is not None or bool(_CUES.search(text[max(0, m.start() - 60) : m.start()]))
+    return True
+
+
 # ---------------------------------------------------------------- pseudonyms
 def _round(key: bytes, r: int, n: int, value: int, mod: int) -> int:
     return int.from_bytes(blake2b(f"{r}|{n}|{value}".encode(), key=key, digest_size=16).digest(), "big") % mod
@@ -342,13 +394,18 @@ def unfeistel(key: bytes, digits: str, rounds: int = 10) -> str:
 _DAY0, _DAYS = date(1900, 1, 1), 54_000
 
 
-def permute_date(key: bytes, ymd: str) -> str:
-    """A valid date ``YYYYMMDD`` permuted among the days from 1900 to 2047 (by cycle walking)."""
+def _day(ymd: str) -> int | None:
     try:
         n = (date(int(ymd[:4]), int(ymd[4:6]), int(ymd[6:])) - _DAY0).days
     except ValueError:
-        return feistel(key, ymd)
-    if not 0 <= n < _DAYS:
+        return None
+    return n if 0 <= n < _DAYS else None
+
+
+def permute_date(key: bytes, ymd: str) -> str:
+    """A valid date ``YYYYMMDD`` permuted among the days from 1900 to 2047 (by cycle walking)."""
+    n = _day(ymd)
+    if n is None:
         return feistel(key, ymd)
     while True:
         n = int(feistel(key, str(n).zfill(5)))
@@ -356,32 +413,113 @@ def permute_date(key: bytes, ymd: str) -> str:
             return (_DAY0 + timedelta(days=n)).strftime("%Y%m%d")
 
 
+def _weighted(body: str, weights: Iterable[int]) -> int:
+    return sum(int(c) * w for c, w in zip(body, weights))
+
+
 def _check18(body: str) -> str:
-    return "10X98765432"[sum(int(c) * w for c, w in zip(body, (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2))) % 11]
+    return "10X98765432"[_weighted(body, (pow(2, 17 - k, 11) for k in range(17))) % 11]
+
 
+def _mod11(body: str, weights: range) -> str:
+    r = 11 - _weighted(body, weights) % 11
+    return "0" if r > 9 else str(r)
 
-def pseudonym(key: bytes, value: str) -> str:
+
+def _luhn(body: str) -> str:
+    return str(-sum(sum(divmod(int(c) * (2 - k % 2), 10)) for k, c in enumerate(reversed(body))) % 10)
+
+
+#: Check signs by form of the number: (pattern of the bare number, places of the check at its end, check of what stands before it).
+CHECKS = (
+    (re.compile(r"\d{17}[\dX]"), 1, _check18),
+    (re.compile(r"\d{15}"), 2, lambda b: f"{97 - int(b) % 97:02d}"),
+    (re.compile(r"\d{12}"), 1, lambda b: _mod11(b, [*range(6, 1, -1), *range(7, 1, -1)])),
+    (re.compile(r"\d{11}"), 2, lambda b: (a := _mod11(b, range(10, 1, -1))) + _mod11(b + a, range(11, 1, -1))),
+    (re.compile(r"\d{11}"), 2, lambda b: f"{_weighted(b, range(9, 0, -1)) % 101 % 100:02d}"),
+    (re.compile(r"\d{9}"), 1, _luhn),
+    (re.compile(r"\d{9}"), 1, lambda b: _mod11(b, range(9, 1, -1))),
+    (re.compile(r"\d{8}[A-Z]|[XYZ]\d{7}[A-Z]"), 1, lambda b: "TRWAGMYFPDXBNJZSQVHLCKE"[int(b.replace("X", "0").replace("Y", "1").replace("Z", "2")) % 23]),
+)
+
+
+def checked(flat: str) -> tuple[int, Callable[[str], str]] | None:
+    """``(places, check)`` of the first scheme by which the check signs of a bare number are right."""
+    for form, n, check in CHECKS:
+        if form.fullmatch(flat) and check(flat[:-n]) == flat[-n:]:
+            return n, check
+    return None
+
+
+def _id_pseudonym(key: bytes, flat: str) -> str:
+    """A bare identity number, letters in place, digits permuted; a right check stays right."""
+    scheme = checked(flat)
+    body = flat[: -scheme[0]] if scheme else flat
+    if len(flat) == 18 and body[:17].isdigit():
+        made = feistel(key, body[:6]) + permute_date(key, body[6:14]) + feistel(key, body[14:17]) + ("" if scheme else feistel(key, body[17:]) if body[17:].isdigit() else body[17:])
+    else:
+        digits = iter(feistel(key, re.sub(r"\D", "", body)))
+        made = "".join(next(digits) if c.isdigit() else c for c in body)
+    return made + scheme[1](made) if scheme else made
+
+
+#: Country codes of two digits; 1 and 7 have one digit, all others three.
+_TWO = {"20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", *map(str, range(43, 50)), *map(str, range(51, 59)), *map(str, range(60, 67)), "81", "82", "84", "86", *map(str, range(90, 96)), "98"}
+_EXTENSION = re.compile(r"(?i)(?:ext\.?|extension|x|доб\.|poste|App\.|Durchwahl|ramal|转|内线) ?\d{1,6}$")
+
+
+def phone_parts(flat: str) -> tuple[str, str, str]:
+    """``(digits before, national digits, extension)`` of a phone number: country code and trunk digit come before."""
+    ext = _EXTENSION.search(flat)
+    main = flat[: ext.start()] if ext else flat
+    digits, lead = re.sub(r"\D", "", main), ""
+    if main.lstrip()[:1] == "+":
+        lead = digits[: 1 if digits[0] in "17" else 2 if digits[:2] in _TWO else 3]
+        if digits[len(lead) : len(lead) + 1] == "0" and "(0)" in main:
+            lead += "0"
+    elif digits[:1] == "0" or len(digits) == 11 and digits[0] in "81" and not main.startswith("1"):
+        lead = digits[0]
+    return lead, digits[len(lead) :], re.sub(r"\D", "", ext.group()) if ext else ""
+
+
+def pseudonym(key: bytes, value: str, kind: str = "phone") -> str:
     """The value with its digits permuted; separators, letters and length stay."""
     flat = value.translate(_WIDE)
-    digits = re.sub(r"\D", "", flat)
-    if re.fullmatch(r"\d{17}[\dXx]", flat):
-        body = feistel(key, flat[:6]) + permute_date(key, flat[6:14]) + feistel(key, flat[14:17])
-        return body + (_check18(body) if flat[17].upper() == _check18(flat[:17]) else feistel(key, flat[17]) if flat[17].isdigit() else flat[17])
-    keep = re.match(r"\+\d{1,3}(?=[ .(-])", flat)
-    code = re.sub(r"\D", "", keep.group()) if keep else ""
-    made = iter(code + feistel(key, digits[len(code) :]))
-    return "".join(next(made) if c.isdigit() else c for c in flat)
-
-
-def replaced(text: str, items: list[tuple[str, int, int]], key: bytes) -> str:
-    """The text with each item as ``[KIND value]``: a pseudonym in format for numbers, a keyed tag for the rest."""
+    if kind == "phone":
+        lead, national, ext = phone_parts(flat)
+        made = lead + feistel(key, national) + (feistel(key, ext) if ext else "")
+        signs = iter(made)
+        return "".join(next(signs) if c.isdigit() else c for c in flat)
+    bare = re.sub(r"[^0-9A-Za-z]", "", flat).upper()
+    signs = iter(_id_pseudonym(key, bare))
+    return "".join(next(signs) if c.isascii() and c.isalnum() else c for c in flat)
+
+
+def plain_form(kind: str, value: str) -> str:
+    """One form for the spellings of an e-mail, address or name."""
+    v = " ".join(value.translate(_WIDE).casefold().split())
+    if kind == "email":
+        v = re.sub(r" ?[\(\[{<] ?at ?[\)\]}>] ?| at | ?@ ?", "@", v)
+        return re.sub(r" ?[\(\[] ?dot ?[\)\]] ?| dot ", ".", v)
+    if kind == "name" and not _EAST.search(v):
+        return " ".join(sorted(v.replace(",", " ").split()))
+    return v
+
+
+def placeholder(kind: str, value: str, key: bytes) -> str:
+    """``[KIND value]``: a pseudonym in format for numbers, a keyed tag of 16 bytes for the rest."""
+    tag = pseudonym(key, value, kind) if kind in ("phone", "id_number") else blake2b(f"{kind} {plain_form(kind, value)}".encode(), key=key, digest_size=16).hexdigest()
+    return f"[{'ID' if kind == 'id_number' else kind.upper()} {tag}]"
+
+
+def protect(text: str, lex: Lexicon, cache: dict[str, int], key: bytes) -> tuple[str, list[tuple[str, int, int, str]]]:
+    """``(text with placeholders, items with their placeholders)``."""
+    items = [(kind, a, b, placeholder(kind, text[a:b], key)) for kind, a, b in find_items(text, lex, cache)]
     parts, at = [], 0
-    for kind, a, b in items:
-        v = text[a:b]
-        tag = pseudonym(key, v) if kind in ("phone", "id_number") else blake2b(" ".join(v.translate(_WIDE).casefold().split()).encode(), key=key, digest_size=4).hexdigest()
-        parts += [text[at:a], f"[{'ID' if kind == 'id_number' else kind.upper()} {tag}]"]
+    for _, a, b, made in items:
+        parts += [text[at:a], made]
         at = b
-    return "".join([*parts, text[at:]])
+    return "".join([*parts, text[at:]]), items
 
 
 # ---------------------------------------------------------------- Spark
@@ -393,7 +531,7 @@ def learn(people: DataFrame, name: str, documents: DataFrame, text: str) -> Lexi
     with a form of address are kept.  Only the names and the (whole) texts of the
     character model are a bounded sample.
     """
-    names = people.select(F.trim(name).alias("n")).where("length(n) BETWEEN 2 AND 60").distinct()
+    names = people.select(F.trim(name).alias("n")).where("length(n) >= 2").distinct()
     sample = [r[0] for r in bounded_sample(names, FIT_PEOPLE, "n").collect()]
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -406,20 +544,21 @@ def learn(people: DataFrame, name: str, documents: DataFrame, text: str) -> Lexi
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen, signs = Counter(), Counter()
+            seen, signs, titled = Counter(), Counter(), Counter()
             for t in b["t"]:
                 seen.update(text_words(t))
                 signs.update(_EAST.findall(t))
-            rows = [("text", "", len(b)), *(("word", w, n) for w, n in seen.items()), *(("sign", c, n) for c, n in signs.items())]
+                titled.update(_TITLED.findall(t))
+            rows = [("text", "", len(b)), *((kind, w, n) for kind, c in (("word", seen), ("sign", signs), ("family", titled)) for w, n in c.items())]
             yield pd.DataFrame(rows, columns=["kind", "w", "n"])
 
     texts = documents.select(F.col(text).alias("t")).where("t IS NOT NULL")
-    some = [r[0] for r in bounded_sample(texts, FIT_DOCUMENTS, "t").collect()]
     counts = cut(texts.mapInPandas(count, "kind string, w string, n long").groupBy("kind", "w").agg(F.sum("n").alias("n")), "words")
     whole = sum(r["n"] for r in counts.where("kind = 'text'").collect())
-    kept = counts.where((F.col("kind") == "sign") | (F.col("kind") == "word") & (F.col("n") * RUNNING_IN >= F.lit(whole))).collect()
-    counted = documents.where(F.col(text).rlike(r"\. [A-ZÀ-Þ]")).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_TITLE_PATTERN), F.lit(1))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    return fit_lexicon(sample, some, [r["w"] for r in counted.collect()], heads, {r["w"] for r in kept if r["kind"] == "word"}, Counter({r["w"]: r["n"] for r in kept if r["kind"] == "sign"}))
+    kept = counts.where((F.col("kind") == "sign") | (F.col("kind") == "word") & (F.col("n") * RUNNING_IN >= F.lit(whole)) | (F.col("kind") == "family") & (F.col("n") >= 3)).collect()
+    some = [r[0] for r in bounded_sample(texts, FIT_DOCUMENTS, "t", whole=whole).collect()]
+    of = lambda kind: {r["w"]: r["n"] for r in kept if r["kind"] == kind}
+    return fit_lexicon(sample, some, sorted(of("family")), heads, set(of("word")), Counter(of("sign")))
 
 
 def _surname_re(lex: Lexicon) -> re.Pattern:
@@ -429,31 +568,31 @@ def _surname_re(lex: Lexicon) -> re.Pattern:
 Lexicon.surname_re = property(lambda self: self.__dict__.setdefault("_re", _surname_re(self)))  # type: ignore[attr-defined]
 
 
-def items(documents: DataFrame, keys: list[str], text: str, lex: Lexicon) -> DataFrame:
-    """``keys, pii_kind, begin_off, end_off``: one row per item. Null texts have none; nothing is shuffled."""
-    rows = documents.select(*keys, F.col(text).alias("_text")).where("_text IS NOT NULL")
+def protected(documents: DataFrame, keys: list[str], text: str, lex: Lexicon, key: bytes) -> DataFrame:
+    """``keys, masked_text, items``: every text with typed placeholders, and its items ``(pii_kind, begin_off, end_off, placeholder)`` in order.
+
+    A null text stays null and has no items; nothing is shuffled.
+    """
+    rows = documents.select(*keys, F.col(text).alias("_text"))
     types = dict(rows.dtypes)
+    names = ("pii_kind", "begin_off", "end_off", "placeholder")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
         for b in batches:
-            out = [(*key, *x) for *key, t in b[[*keys, "_text"]].itertuples(index=False, name=None) for x in find_items(t, lex, cache)]
+            done = [protect(t, lex, cache, key) if isinstance(t, str) else (None, []) for t in b["_text"]]
             if len(cache) > 500_000:
                 cache.clear()
-            yield pd.DataFrame(out, columns=[*keys, "pii_kind", "begin_off", "end_off"])
+            yield b[keys].assign(masked_text=[d[0] for d in done], items=[[dict(zip(names, x)) for x in d[1]] for d in done])
 
-    return rows.mapInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "pii_kind string, begin_off int, end_off int"]))
+    return rows.mapInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "masked_text string, items array<struct<pii_kind:string,begin_off:int,end_off:int,placeholder:string>>"]))
 
 
-def masked(documents: DataFrame, keys: list[str], text: str, lex: Lexicon, key: bytes) -> DataFrame:
-    """``keys, masked_text, items``: every text with typed placeholders, and how many it has."""
-    rows = documents.select(*keys, F.col(text).alias("_text"))
-    types = dict(rows.dtypes)
+def items(documents: DataFrame, keys: list[str], text: str, lex: Lexicon, key: bytes) -> DataFrame:
+    """``keys, pii_kind, begin_off, end_off, placeholder``: one row per item of :func:`protected`."""
+    return protected(documents, keys, text, lex, key).select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.explode("items").alias("_i")).select(*(F.col(f"_k{n}").alias(k) for n, k in enumerate(keys)), "_i.*")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {}
-        for b in batches:
-            found = [find_items(t, lex, cache) if isinstance(t, str) else [] for t in b["_text"]]
-            yield b[keys].assign(masked_text=[replaced(t, x, key) if isinstance(t, str) else None for t, x in zip(b["_text"], found)], items=[len(x) for x in found])
 
-    return rows.mapInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "masked_text string, items int"]))
+def masked(documents: DataFrame, keys: list[str], text: str, lex: Lexicon, key: bytes) -> DataFrame:
+    """``keys, masked_text, items``: every text of :func:`protected`, and how many items it has."""
+    return protected(documents, keys, text, lex, key).select(*keys, "masked_text", F.size("items").alias("items"))

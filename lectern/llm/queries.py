@@ -99,7 +99,7 @@ def _names(spark: SparkSession, d: str) -> pii.Lexicon:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.items(table(spark, d, "documents"), ["doc_id"], "text", _names(spark, d))
+    return pii.items(table(spark, d, "documents"), ["doc_id"], "text", _names(spark, d), PII_KEY).drop("placeholder")
 
 
 def p10_masked(spark: SparkSession, d: str) -> DataFrame:

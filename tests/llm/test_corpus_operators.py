@@ -327,10 +327,59 @@ def test_pseudonyms_keep_their_format():
     p = pii.pseudonym(b"k", "+49 30 23125727")
     assert p.startswith("+49 ") and len(p) == 15 and p != "+49 30 23125727"
     body = "11010519491231002"
-    own = pii.pseudonym(b"k", body + pii._check18(body))
+    own = pii.pseudonym(b"k", body + pii._check18(body), "id_number")
     assert len(own) == 18 and own[17] == pii._check18(own[:17]) and datetime.strptime(own[6:14], "%Y%m%d")
 
 
+SAME = [("+1 555 123 4567", "+15551234567"), ("+1 555 123 4567", "(555) 123-4567"), ("+44 7700 900872", "07700 900872"), ("+44 (0)7700 900872", "+447700900872"), ("+7 000 555 59 31", "8 000 555 59 31")]
+
+
+@pytest.mark.parametrize("a,b", SAME)
+def test_spellings_of_one_number_are_linked(a, b):
+    def national(x):
+        return pii.phone_parts(pii.pseudonym(b"k", x))[1]
+
+    assert national(a) == national(b) != pii.phone_parts(a)[1]
+    assert pii.pseudonym(b"k", a).startswith(a[: a.find(" ")] if a[0] == "+" else "")
+
+
+VALID = ["529.982.247-25", "52998224725", "112-233-445 95", "12345678-Z", "X-1234567-L", "255 08 14 168 025 38".replace(" ", ""), "11010519491231002X", "123 456 782", "501 964 843"]
+
+
+@pytest.mark.parametrize("value", VALID)
+def test_check_digits_stay_right(value):
+    bare = lambda v: "".join(c for c in v if c.isalnum())
+    made = pii.pseudonym(b"k", value, "id_number")
+    assert pii.checked(bare(value)) and pii.checked(bare(made)) and made != value and len(made) == len(value)
+    assert [c.isdigit() for c in made[:-1]] == [c.isdigit() for c in value[:-1]]
+    assert bare(made) == bare(pii.pseudonym(b"k", bare(value), "id_number"))
+
+
+def test_figures_are_no_identity_numbers():
+    for text in ("It cost 100 200 300 in all", "lot 1234 5678 9012 was sold", "row 20 24 123456 of the list", "the invoice 123 456 789"):
+        assert pii.find_items(text, LEX, {}) == []
+    for text in ("My passport 20 24 123456 is here", "Documento: 100 200 300", "code 1234 5678 9018 here", "000 197 816"):
+        assert [k for k, _, _ in pii.find_items(text, LEX, {})] == ["id_number"], text
+    assert pii.find_items("990101199913105607 is no date", LEX, {}) == []
+
+
+def test_tags_and_long_items():
+    tag = lambda kind, v: pii.placeholder(kind, v, b"k")
+    assert tag("email", "Fen (at) mail.ferry.example") == tag("email", "fen@mail.ferry.example") == tag("email", "fen at mail dot ferry dot example")
+    assert tag("name", "Zozuhuen, Thyra") == tag("name", "THYRA ZOZUHUEN") != tag("name", "Thyra Other") and len(tag("name", "a b")) == 39
+    long = "x" * 400 + "@" + "y" * 300 + ".example"
+    assert pii.find_items(f"to {long} now", LEX, {}) == [("email", 3, 3 + len(long))]
+
+
+def test_names_in_scripts_without_capitals():
+    people = [f"{g} {f}" for g in ("आरव", "मीरा", "เทียนชัย", "มาลีวัน") for f in (("शर्मा", "वर्मा", "सिन्हा") if g[0] < "\u0e00" else ("ใจดีงาม", "รักเรียน", "ทองสุข"))]
+    lex = pii.fit_lexicon(people, ["नदी के पास"], [])
+    for text, name in (("कल मीरा वर्मा आई", "मीरा वर्मा"), ("เมื่อวานมาลีวัน ทองสุขมาที่นี่", "มาลีวัน ทองสุข")):
+        a = text.index(name)
+        assert pii.find_items(text, lex, {}) == [("name", a, a + len(name))]
+    assert pii.find_items("मीरा नदी के पास", lex, {}) == []
+
+
 def test_masked_rows(spark):
     docs = spark.createDataFrame([(1, "Call 303-555-0118 now. Ilbert Gregruvoar", "z"), (2, "Or 303-555-0118, Ilbert Gregruvoar", "z"), (3, None, "z"), (4, "", "z")], "doc_id bigint, text string, items string")
     people = spark.createDataFrame([(p,) for p in PEOPLE] + [(None,)], "author string")
@@ -339,9 +388,9 @@ def test_masked_rows(spark):
     first = got[1]["masked_text"].split()
     assert got[1]["masked_text"].startswith("Call [PHONE ") and first[2] in got[2]["masked_text"] and got[1]["items"] == got[2]["items"] == 2
     assert got[3]["masked_text"] is None and got[4]["masked_text"] == "" and got[3]["items"] == 0
-    rows = pii.items(docs, ["doc_id"], "text", lex).where(F.col("doc_id") == 1).collect()
+    rows = pii.items(docs, ["doc_id"], "text", lex, b"k").where(F.col("doc_id") == 1).collect()
     assert [(r["pii_kind"], r["begin_off"], r["end_off"]) for r in rows] == [("phone", 5, 17), ("name", 23, 40)]
-    assert pii.items(docs.where("false"), ["doc_id"], "text", lex).count() == 0
+    assert pii.items(docs.where("false"), ["doc_id"], "text", lex, b"k").count() == 0
 
 
 def test_lexicon_covers_all_rows_and_whole_texts(spark, monkeypatch):
