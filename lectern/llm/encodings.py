@@ -11,6 +11,8 @@ Three families of routes:
 * bytes of UTF-8 read as a single-byte set (once or several times over);
 * bytes of UTF-8, GB18030, Big5 or Shift-JIS read as another multibyte set or
   as Western text;
+* single-byte Thai read as Western text: the order of signs in a syllable is
+  the structure the spans are tested by;
 * single-byte Cyrillic or Western text read as another single-byte set.  Such
   bytes have no multibyte structure, so segments are judged by letter
   frequency and by the place of capitals.
@@ -37,8 +39,6 @@ THROUGH = ("cp1252", "cp437", "mac_roman", "cp1251", "cp874", "cp850", "koi8_r",
 RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
 #: Signs that may follow a capital letter in clean text.
 ORDINARY = set("”“»«…–—’‘„‚›‹\xa0")
-#: How often one text is decoded again (text can be garbled several times over).
-ROUNDS = 4
 
 _NEVER = re.compile("[�\x80-\x84\x86-\x9f-\U000f0000-\U0010ffff]")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
@@ -213,6 +213,9 @@ _GB_PAIRS = re.compile(r"(?:[\xa1-\xf7][\xa1-\xfe]){2,}|(?:[\xa1\xa3][\xa1-\xfe]
 _SJIS_PAIRS = re.compile(r"(?:[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc]|[\xa6-\xdf]){3,}")
 
 
+#: Bytes of Thai, and the order of signs in its syllables: as strict as a multibyte structure.
+_THAI_BYTES = re.compile("[\xa1-\xda\xdf-\xfb]{6,}")
+_THAI_SYLLABLE = re.compile("[เ-ไ]?[ก-ฮ][ัิ-ฺ็]?[่-๎]?[ะาำๅฯๆ]?|[๐-๙]")
 _WEST = re.compile("[\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{3}|[‚ƒŠŽ„†‡\x80-\x9f][^\\s]|[¡£][\xa1-\xfe]")
 
 
@@ -228,6 +231,12 @@ def _western_spans(text: str) -> list[tuple[int, int, str]]:
         return []
     raw = text.translate(_western()[0])
     out: list[tuple[int, int, str]] = []
+    for m in _THAI_BYTES.finditer(raw):
+        made = m.group().encode("latin-1").decode("cp874", "replace")
+        if sum(len(x.group()) for x in _THAI_SYLLABLE.finditer(made)) >= 0.97 * len(made):
+            out.append((m.start(), m.end(), made))
+    if out:
+        return out
     for m in _GB_PAIRS.finditer(raw):
         made = m.group().encode("latin-1").decode("gbk", "replace")
         if "�" not in made and sum(_usual(c) == 2 and c > " " for c in made) >= 0.75 * len(made) and (len(made) > 1 or not re.search("[A-Za-z]", text[max(0, m.start() - 2) : m.start()] + text[m.end() : m.end() + 2])) and (len(made) > 2 or _HAN.search(text) or out):
@@ -335,7 +344,8 @@ def restore(text: str) -> tuple[str, int, bool]:
     if not _NON_ASCII.search(text):
         return text, 0, False
     spans, used = 0, set()
-    for _ in range(ROUNDS):
+    seen = {text}
+    while True:  # text can be garbled any number of times over
         found = _single_spans(text, used)
         if found and sum(b - a for a, b, _ in found) < 0.7 * len(_NON_ASCII.findall(text)):
             other = _western_spans(text)
@@ -355,6 +365,9 @@ def restore(text: str) -> tuple[str, int, bool]:
             parts += [text[at:a], made]
             at = b
         text = "".join([*parts, text[at:]])
+        if text in seen:
+            break
+        seen.add(text)
     lost = len(_LOST_SPACE.findall(text))
     if lost:
         text, spans = _LOST_SPACE.sub(lambda m: "à " if m.group()[0] == "Ã" else "", text), spans + lost

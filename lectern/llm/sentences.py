@@ -2,7 +2,10 @@
 
 Method: the standard character properties for sentence breaks (terminators of
 all scripts, closers, continuers, case) with abbreviation suppression by
-language and handling of closing quotes.  On top of the standard rules:
+language and handling of closing quotes.  The language of a paragraph is told by
+its script and, in Latin script, by its function words; one too short to tell
+takes the language of the whole text, and a text without any function word may
+hold the abbreviations of every Latin language.  On top of the standard rules:
 
 * a blank line ends a sentence, a single line break does not; a heading line
   (``#`` to ``######``) is one unit;
@@ -16,8 +19,7 @@ language and handling of closing quotes.  On top of the standard rules:
 
 from __future__ import annotations
 
-
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import regex
@@ -59,9 +61,52 @@ MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Okto
 #: Verbs of saying that close an attribution in scripts without capitals.
 SAYING = "说 道 問 问 喊 叫 答 想 低声说 喊道 问道 说道 叫道 答道 回答 चिल्लाया चिल्लाई पूछा कहा बोला बोली बोले"
 
-_NAMES = {w for x in BEFORE_NAME.values() for w in x.split()}
-_NUMBERS = {w for x in BEFORE_NUMBER.values() for w in x.split()}
-_INNER = {w for x in INSIDE.values() for w in x.split()}
+#: Function words that tell a language of Latin script; after an abbreviation such a word, capitalised, begins a sentence.
+FUNCTION_WORDS = {
+    "en": "the and of to in was with that his her he she it they then but at on for from when after is are were this",
+    "fr": "le la les et des une est dans que qui sur avec du elle il au pas pour puis mais un ce",
+    "de": "der die das und ein eine nicht mit den dem ist er sie es im zu auf von dann aber als",
+    "es": "el la los las y una que del con en por un se al su pero entonces lo",
+    "pt": "o a os as e uma que do da com em não um ao na no mas depois se",
+}
+#: Titles that texts of other scripts write in Latin letters.
+BORROWED = "Mr Mrs Ms Dr Prof St"
+
+
+def _lists(*langs: str) -> tuple[frozenset[str], frozenset[str], frozenset[str], frozenset[str]]:
+    """Abbreviations before a name, before a number and inside a sentence, and the words that begin one."""
+    own = [frozenset(w for x in langs for w in table.get(x, "").split()) for table in (BEFORE_NAME, BEFORE_NUMBER, INSIDE)]
+    opening = frozenset(w for x in langs for w in FUNCTION_WORDS.get(x, "").split() if len(w) > 1 and w not in ("no", "la", "le", "el", "da", "do", "du", "des", "del", "von", "zu", "al"))
+    return own[0] | frozenset(BORROWED.split() if not set(langs) & set(FUNCTION_WORDS) else ()), own[1], own[2], opening
+
+
+_OF = {lang: _lists(lang) for lang in ("en", "fr", "de", "es", "pt", "ru", "hi", "zh", "ja", "th")} | {"latin": _lists(*FUNCTION_WORDS)}
+_VOTES: dict[str, list[str]] = {}
+for _lang, _words in FUNCTION_WORDS.items():
+    for _w in _words.split():
+        _VOTES.setdefault(_w, []).append(_lang)
+_SCRIPTS = (("ru", regex.compile(r"\p{Cyrillic}")), ("hi", regex.compile(r"\p{Devanagari}")), ("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]")), ("zh", regex.compile(r"\p{Han}")), ("th", regex.compile(r"\p{Thai}")))
+_LATIN_WORD = regex.compile(r"\p{Latin}+")
+
+
+def language(text: str, least: int = 1) -> str | None:
+    """Language of a text, or None where fewer than ``least`` votes tell it. A vote of a word shared by languages is shared."""
+    words = _LATIN_WORD.findall(text)
+    latin = sum(map(len, words))
+    for lang, script in _SCRIPTS:
+        n = len(script.findall(text))
+        if n * (8 if lang == "ja" else 2) > latin and n >= least and (lang != "ja" or n * 8 > len(_SCRIPTS[3][1].findall(text))):
+            return lang
+    votes: dict[str, float] = {}
+    for w in words:
+        for lang in _VOTES.get(w.lower(), ()):
+            votes[lang] = votes.get(lang, 0) + 1 / len(_VOTES[w.lower()])
+    best = sorted(votes.items(), key=lambda x: -x[1])[:2]
+    if not best or best[0][1] < least or len(best) > 1 and best[0][1] < 1.3 * best[1][1] and least > 1:
+        return None
+    return best[0][0]
+
+
 _MONTH = regex.compile(r"\s+(?:" + "|".join(MONTHS.split()) + r")\b")
 
 _PARAGRAPH = regex.compile(r"\n[^\S\n]*(?:\n\s*)")
@@ -80,12 +125,13 @@ _OPEN = {"（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "〈": "
 _BRACKETS = regex.compile(r"[)\]）】》〉]")
 
 
-def _abbreviated(text: str, start: int, dot: int, after: str, sep: bool) -> bool:
+def _abbreviated(text: str, start: int, dot: int, after: str, sep: bool, lists: tuple[frozenset[str], ...]) -> bool:
     """Whether the full stop at ``dot`` belongs to an abbreviation that doesn't end the sentence."""
+    names, numbers, inner, opening = lists
     head = text[max(start, dot - 24) : dot]
     if m := _SPACED.search(head):
         whole = m.group().replace(" ", "").replace(" ", "")
-        if whole in _INNER:
+        if whole in inner:
             return True
     m = _WORD.search(head)
     if not m:
@@ -96,8 +142,11 @@ def _abbreviated(text: str, start: int, dot: int, after: str, sep: bool) -> bool
             return bool(_MONTH.match(text, dot + 1))
         return False
     word = m.group().lstrip(".")
-    if word in _INNER or word in _NAMES and (after.isupper() or _CASELESS.match(after)) or word in _NUMBERS and after.isnumeric():
+    if word in inner or word in numbers and after.isnumeric():
         return True
+    if word in names and (after.isupper() or _CASELESS.match(after)):
+        nxt = _LATIN_WORD.search(text, dot)
+        return not (nxt and after.isupper() and nxt.group().lower() in opening)
     if len(word) == 1 and after.isalpha():
         rest = text[dot + 1 : dot + 8].lstrip()
         if word.islower() and regex.match(r"\p{L}{1,3}\.", rest):
@@ -106,7 +155,7 @@ def _abbreviated(text: str, start: int, dot: int, after: str, sep: bool) -> bool
     return False
 
 
-def _breaks(text: str, begin: int, end: int) -> list[int]:
+def _breaks(text: str, begin: int, end: int, lists: Callable[[int, int], tuple[frozenset[str], ...]]) -> list[int]:
     """Ends of sentences within one paragraph or heading, its own end not included."""
     out: list[int] = []
     if _THAI.search(text, begin, end) and len(_THAI.findall(text, begin, end)) * 2 > end - begin:
@@ -136,7 +185,7 @@ def _breaks(text: str, begin: int, end: int) -> list[int]:
                 continue
             if nxt.islower():
                 continue
-            if not close and _abbreviated(text, at, m.start(), nxt, bool(spaces)):
+            if not close and _abbreviated(text, at, m.start(), nxt, bool(spaces), lists(begin, end)):
                 continue
         elif nxt.islower() and (spaces or close or not _CASELESS.match(text[m.start() - 1])):
             continue
@@ -175,9 +224,19 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
             ends += [(pos, h.start()), (h.start(), -h.end())]
             pos = h.end()
         ends.append((pos, b))
+    told: dict[tuple[int, int], tuple[frozenset[str], ...]] = {}
+
+    def lists(a: int, b: int) -> tuple[frozenset[str], ...]:
+        if (a, b) not in told:
+            if (0, 0) not in told:
+                told[0, 0] = _OF[language(text) or "latin"]
+            own = language(text[a:b], 3)
+            told[a, b] = _OF[own] if own else told[0, 0]
+        return told[a, b]
+
     out: list[tuple[int, int]] = []
     for a, b in ends:
-        cuts = [-b] if b < 0 else [*_breaks(text, a, b), b]
+        cuts = [-b] if b < 0 else [*_breaks(text, a, b, lists), b]
         for c in cuts:
             piece = text[a:c]
             lead = len(piece) - len(piece.lstrip())
