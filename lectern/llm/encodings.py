@@ -213,8 +213,9 @@ _GB_PAIRS = re.compile(r"(?:[\xa1-\xf7][\xa1-\xfe]){2,}|(?:[\xa1\xa3][\xa1-\xfe]
 _SJIS_PAIRS = re.compile(r"(?:[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc]|[\xa6-\xdf]){3,}")
 
 
-#: Bytes of Thai, and the order of signs in its syllables: as strict as a multibyte structure.
-_THAI_BYTES = re.compile("[\xa1-\xda\xdf-\xfb]{6,}")
+#: Bytes of Thai, the order of signs in its syllables, its rare letters and its marks: together as strict as a multibyte structure.
+_THAI_BYTES = re.compile("[\xa1-\xda\xdf-\xfb]{8,}")
+_THAI_RARE, _THAI_MARKS = re.compile("[ฃฅฆฌฎฏฐฑฒฤฦฬฮฯๅ๎๐-๙]"), re.compile("[ัิ-ฺ็-๎]")
 _THAI_SYLLABLE = re.compile("[เ-ไ]?[ก-ฮ][ัิ-ฺ็]?[่-๎]?[ะาำๅฯๆ]?|[๐-๙]")
 _WEST = re.compile("[\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{3}|[‚ƒŠŽ„†‡\x80-\x9f][^\\s]|[¡£][\xa1-\xfe]")
 
@@ -233,10 +234,11 @@ def _western_spans(text: str) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     for m in _THAI_BYTES.finditer(raw):
         made = m.group().encode("latin-1").decode("cp874", "replace")
-        if sum(len(x.group()) for x in _THAI_SYLLABLE.finditer(made)) >= 0.97 * len(made):
+        if sum(len(x.group()) for x in _THAI_SYLLABLE.finditer(made)) >= 0.97 * len(made) and len(_THAI_RARE.findall(made)) <= 0.08 * len(made) and len(_THAI_MARKS.findall(made)) >= 0.1 * len(made):
             out.append((m.start(), m.end(), made))
-    if out:
+    if 2 * sum(b - a for a, b, _ in out) > sum("\xa1" <= c <= "\xff" for c in raw):
         return out
+    out = []
     for m in _GB_PAIRS.finditer(raw):
         made = m.group().encode("latin-1").decode("gbk", "replace")
         if "�" not in made and sum(_usual(c) == 2 and c > " " for c in made) >= 0.75 * len(made) and (len(made) > 1 or not re.search("[A-Za-z]", text[max(0, m.start() - 2) : m.start()] + text[m.end() : m.end() + 2])) and (len(made) > 2 or _HAN.search(text) or out):
