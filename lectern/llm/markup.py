@@ -118,13 +118,15 @@ class Page:
             text = _TAG.sub(html_tag, text)
         tex = "\\" in text and re.search(r"\\[A-Za-z]+\*?[\[{]", text)
         text = _WIKI_LIST.sub(lambda m: self.tag("void", "x-item"), text)
-        for rule, make in _BLOCK_RULES:
-            text = rule.sub(lambda m, make=make: make(self, m), text)
+        for sign, rule, make in _BLOCK_RULES:
+            if sign is None or sign in text:
+                text = rule.sub(lambda m, make=make: make(self, m), text)
         if tex:
             text = _COMMENT.sub(self.gone, text)
         text = _BULLET.sub(lambda m: _items(self, m), text)
-        for rule, make in _INLINE_RULES:
-            text = rule.sub(lambda m, make=make: make(self, m), text)
+        for sign, rule, make in _INLINE_RULES:
+            if sign in text:
+                text = rule.sub(lambda m, make=make: make(self, m), text)
 
         def entity(m: re.Match) -> str:
             made = html.unescape(m.group())
@@ -290,7 +292,7 @@ def _close(node: Node, parent: str, tight: bool) -> str:
 
 
 #: The sign before a LaTeX command; after a drive letter it begins a path.
-_TEX = r"(?<!\b[A-Za-z]:)(?<!\\)\\"
+_TEX = r"\\(?<!\b[A-Za-z]:\\)(?<!\\\\)"
 
 
 def _as(tag: str, *groups: int):
@@ -345,59 +347,60 @@ def _items(page: Page, m: re.Match) -> str:
     return re.sub(r"(?m)^([ \t]*)[-*+•][ \t]+", lambda x: x[1] + page.tag("void", "x-item"), m.group())
 
 
+#: (a sign without which the rule can't match, rule, what its matches become)
 _BLOCK_RULES: list[tuple] = [
     # LaTeX structure
-    (re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}"), _heading),
-    (re.compile(r"^[ \t]*\\item(?:\[([^\]]*)\])?[ \t]*", re.M), lambda page, m: page.tag("open", "li", "") + (m[1] + " " if m[1] else "")),
-    (re.compile(r"\\(begin|end)\{([A-Za-z]+)\*?\}(?:\[[^\]]*\])?(?:\{[^}]*\})?"), _environment),
+    ("\\", re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}"), _heading),
+    ("\\", re.compile(r"^[ \t]*\\item(?:\[([^\]]*)\])?[ \t]*", re.M), lambda page, m: page.tag("open", "li", "") + (m[1] + " " if m[1] else "")),
+    ("\\", re.compile(r"\\(begin|end)\{([A-Za-z]+)\*?\}(?:\[[^\]]*\])?(?:\{[^}]*\})?"), _environment),
     # wiki structure
-    (re.compile(r"^={2,6}[ \t]*([^=\n].*?)[ \t]*={2,6}[ \t]*$|^=[ \t]+([^=\n]+?)[ \t]+=[ \t]*$", re.M), _heading),
-    (re.compile(r"^\{\|.*$\n?|^\|\}[ \t]*$\n?|^\|-+[^|\n]*$\n?", re.M), _gone_line),
-    (re.compile(r"^\|\+[ \t]*|^![ \t]+(?=\S)", re.M), _gone),
-    (re.compile(r"^__[A-Z]{3,}__[ \t]*$|__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NOINDEX|INDEX)__", re.M), _gone),
-    (re.compile(r"\[\[(?:Category|Kategorie|Catégorie|Categoría|Categoria|Категория|分类|カテゴリ)\s*:[^\[\]]*\]\]\n?", re.I), _gone_line),
-    (re.compile(r"\[\[(?:File|Image|Datei|Fichier|Archivo|Ficheiro|Файл|文件|ファイル)\s*:[^|\[\]]*((?:\|[^|\[\]]*)*)\]\]", re.I), _file),
+    ("=", re.compile(r"^={2,6}[ \t]*([^=\n].*?)[ \t]*={2,6}[ \t]*$|^=[ \t]+([^=\n]+?)[ \t]+=[ \t]*$", re.M), _heading),
+    ("|", re.compile(r"^\{\|.*$\n?|^\|\}[ \t]*$\n?|^\|-+[^|\n]*$\n?", re.M), _gone_line),
+    (None, re.compile(r"^\|\+[ \t]*|^![ \t]+(?=\S)", re.M), _gone),
+    ("__", re.compile(r"^__[A-Z]{3,}__[ \t]*$|__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NOINDEX|INDEX)__", re.M), _gone),
+    ("[[", re.compile(r"\[\[(?:Category|Kategorie|Catégorie|Categoría|Categoria|Категория|分类|カテゴリ)\s*:[^\[\]]*\]\]\n?", re.I), _gone_line),
+    ("[[", re.compile(r"\[\[(?:File|Image|Datei|Fichier|Archivo|Ficheiro|Файл|文件|ファイル)\s*:[^|\[\]]*((?:\|[^|\[\]]*)*)\]\]", re.I), _file),
     # Markdown structure
-    (re.compile(r"^(?!(?:\x02\d+\x03|\s)*$)(?![#>|])(.{1,200})\n(?:={3,}|-{3,})[ \t]*$", re.M), _heading),
-    (re.compile(r"^[ \t]{0,3}(?:#|#{3,6})[ \t]+(.+?)[ \t]*#*[ \t]*$", re.M), _heading),
-    (re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|[ \t]*(?::?-+:?[ \t]*)?$\n?", re.M), _gone_line),
-    (re.compile(r"^\[\^[^\]\n]{1,20}\]:[ \t]*", re.M), _gone),
-    (re.compile(r"^\[[^\]^\n]{1,40}\]:[ \t]+\S+(?:[ \t]+[\"'(].*)?$\n?", re.M), _gone_line),
-    (re.compile(r"^>[ \t]?(?![\d\s]).*(?:\n>.*)*", re.M), _quote),
+    (None, re.compile(r"^(?!(?:\x02\d+\x03|\s)*$)(?![#>|])(.{1,200})\n(?:={3,}|-{3,})[ \t]*$", re.M), _heading),
+    ("#", re.compile(r"^[ \t]{0,3}(?:#|#{3,6})[ \t]+(.+?)[ \t]*#*[ \t]*$", re.M), _heading),
+    ("--", re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|[ \t]*(?::?-+:?[ \t]*)?$\n?", re.M), _gone_line),
+    ("[^", re.compile(r"^\[\^[^\]\n]{1,20}\]:[ \t]*", re.M), _gone),
+    ("[", re.compile(r"^\[[^\]^\n]{1,40}\]:[ \t]+\S+(?:[ \t]+[\"'(].*)?$\n?", re.M), _gone_line),
+    (">", re.compile(r"^>[ \t]?(?![\d\s]).*(?:\n>.*)*", re.M), _quote),
 ]
 _INLINE_RULES: list[tuple] = [
-    (re.compile(r"(`+)(?=[^`])([^\n]*?[^`\n])\1(?!`)(?!'(?!'))"), lambda page, m: page.tag("leaf", "x-inline", m[2]) if "''" not in m[2] else m.group()),
-    (re.compile(r"!\[([^\]\n]*)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)"), _as("x-figure", 1)),
-    (re.compile(r"\[([^\[\]\n]+)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)"), _as("a", 1)),
-    (re.compile(r"\[\^[^\]\n]{1,20}\]"), _gone),
-    (re.compile(r"<((?:https?|ftp|mailto):[^<>\s]+)>"), _as("a", 1)),
-    (re.compile(r"\[\[[^|\[\]\n]*\|([^\[\]\n]*)\]\]"), _as("a", 1)),
-    (re.compile(r"\[\[([^|\[\]\n]+)\]\]"), _as("a", 1)),
-    (re.compile(r"\[(?:https?|ftp)://[^\s\[\]]+\s+([^\[\]\n]+)\]"), _as("a", 1)),
-    (re.compile(r"\{\{\s*(?:quote|cquote|blockquote|quotation|lang|nowrap|nihongo)\s*\|((?:[^{}]|\n)*)\}\}", re.I), _said),
-    (re.compile(r"\{\{[^{}]*\}\}"), _gone),
-    (re.compile(r"``(?=[^\s`])([^`\n]+?)''(?!')"), lambda page, m: page.element("q", f"“{m[1]}”")),
-    (re.compile(r"'{5}(?=\S)(.+?)(?<=\S)'{5}", re.S), _as("b", 1)),
-    (re.compile(r"(?<!')'''(?!')(?=\S)(.+?)(?<=\S)'''(?!')", re.S), _as("b", 1)),
-    (re.compile(r"(?<!')''(?!')(?=\S)(.+?)(?<=[^\s'])''(?!')", re.S), _as("i", 1)),
-    (re.compile(r"\*\*\*(?=[^\s*])([^*]+?)(?<=[^\s*])\*\*\*"), _as("b", 1)),
-    (re.compile(r"\*\*(?=[^\s*])((?:(?!\n\n)[^*])+?)(?<=[^\s*])\*\*"), _as("b", 1)),
-    (re.compile(r"(?<![A-Za-z0-9*\\])\*(?=[^\s*])((?:(?!\n\n)[^*])+?)(?<=[^\s*])\*(?![A-Za-z0-9*])"), _as("i", 1)),
-    (re.compile(r"(?<![A-Za-z0-9_])__(?=[^\s_])((?:(?!\n\n)[^_])+?)(?<=[^\s_])__(?![A-Za-z0-9_])"), _strong),
-    (re.compile(r"(?<![A-Za-z0-9_\\])_(?=[^\s_])((?:(?!\n\n)[^_])+?)(?<=[^\s_])_(?![A-Za-z0-9_])"), _as("i", 1)),
-    (re.compile(r"~~(?=[^\s~])([^~\n]+?)(?<=[^\s~])~~"), _as("s", 1)),
-    (re.compile(_TEX + r"(?:" + "|".join(sorted(MUTE, key=len, reverse=True)) + r")\*?(?:\[[^\]]*\])?\{[^{}]*\}"), _gone),
-    (re.compile(_TEX + r"footnote(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}"), _note),
-    (re.compile(_TEX + r"href\{[^{}]*\}\{((?:[^{}]|\{[^{}]*\})*)\}"), _as("a", 1)),
-    (re.compile(_TEX + r"[A-Za-z]+\*?(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}"), _as("x-span", 1)),
-    (re.compile(_TEX + r"(?:" + "|".join(BARE.split()) + r")(?![A-Za-z\\])[ \t]*"), _gone),
-    (re.compile(r"(?<=[ \w.!?。！？\x03])\\\\(?:\[[^\]]*\])?[ \t]*$", re.M), _gone),
+    ("`", re.compile(r"(`+)(?=[^`])([^\n]*?[^`\n])\1(?!`)(?!'(?!'))"), lambda page, m: page.tag("leaf", "x-inline", m[2]) if "''" not in m[2] else m.group()),
+    ("![", re.compile(r"!\[([^\]\n]*)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)"), _as("x-figure", 1)),
+    ("](", re.compile(r"\[([^\[\]\n]+)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)"), _as("a", 1)),
+    ("[^", re.compile(r"\[\^[^\]\n]{1,20}\]"), _gone),
+    ("<", re.compile(r"<((?:https?|ftp|mailto):[^<>\s]+)>"), _as("a", 1)),
+    ("[[", re.compile(r"\[\[[^|\[\]\n]*\|([^\[\]\n]*)\]\]"), _as("a", 1)),
+    ("[[", re.compile(r"\[\[([^|\[\]\n]+)\]\]"), _as("a", 1)),
+    ("[", re.compile(r"\[(?:https?|ftp)://[^\s\[\]]+\s+([^\[\]\n]+)\]"), _as("a", 1)),
+    ("{{", re.compile(r"\{\{\s*(?:quote|cquote|blockquote|quotation|lang|nowrap|nihongo)\s*\|((?:[^{}]|\n)*)\}\}", re.I), _said),
+    ("{{", re.compile(r"\{\{[^{}]*\}\}"), _gone),
+    ("``", re.compile(r"``(?=[^\s`])([^`\n]+?)''(?!')"), lambda page, m: page.element("q", f"“{m[1]}”")),
+    ("'''''", re.compile(r"'{5}(?=\S)(.+?)(?<=\S)'{5}", re.S), _as("b", 1)),
+    ("'''", re.compile(r"(?<!')'''(?!')(?=\S)(.+?)(?<=\S)'''(?!')", re.S), _as("b", 1)),
+    ("''", re.compile(r"(?<!')''(?!')(?=\S)(.+?)(?<=[^\s'])''(?!')", re.S), _as("i", 1)),
+    ("***", re.compile(r"\*\*\*(?=[^\s*])([^*]+?)(?<=[^\s*])\*\*\*"), _as("b", 1)),
+    ("**", re.compile(r"\*\*(?=[^\s*])((?:(?!\n\n)[^*])+?)(?<=[^\s*])\*\*"), _as("b", 1)),
+    ("*", re.compile(r"(?<![A-Za-z0-9*\\])\*(?=[^\s*])((?:(?!\n\n)[^*])+?)(?<=[^\s*])\*(?![A-Za-z0-9*])"), _as("i", 1)),
+    ("__", re.compile(r"(?<![A-Za-z0-9_])__(?=[^\s_])((?:(?!\n\n)[^_])+?)(?<=[^\s_])__(?![A-Za-z0-9_])"), _strong),
+    ("_", re.compile(r"(?<![A-Za-z0-9_\\])_(?=[^\s_])((?:(?!\n\n)[^_])+?)(?<=[^\s_])_(?![A-Za-z0-9_])"), _as("i", 1)),
+    ("~~", re.compile(r"~~(?=[^\s~])([^~\n]+?)(?<=[^\s~])~~"), _as("s", 1)),
+    ("\\", re.compile(_TEX + r"(?:" + "|".join(sorted(MUTE, key=len, reverse=True)) + r")\*?(?:\[[^\]]*\])?\{[^{}]*\}"), _gone),
+    ("\\", re.compile(_TEX + r"footnote(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}"), _note),
+    ("\\", re.compile(_TEX + r"href\{[^{}]*\}\{((?:[^{}]|\{[^{}]*\})*)\}"), _as("a", 1)),
+    ("\\", re.compile(_TEX + r"[A-Za-z]+\*?(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}"), _as("x-span", 1)),
+    ("\\", re.compile(_TEX + r"(?:" + "|".join(BARE.split()) + r")(?![A-Za-z\\])[ \t]*"), _gone),
+    ("\\\\", re.compile(r"(?<=[ \w.!?。！？\x03])\\\\(?:\[[^\]]*\])?[ \t]*$", re.M), _gone),
 ]
 _BULLET = re.compile(r"(?:(?<=\n\n)|\A|(?<=\n\n\n))[ \t]*[-*+•][ \t]+(?=\S).*(?:\n[ \t]*[-*+•][ \t]+(?=\S).*)*")
 _WIKI_LIST = re.compile(r"^[*#:;]{1,4}[ \t]*(?=\[\[|''|\{\{)", re.M)
 _COMMENT = re.compile(r"^%[ \t].*$\n?", re.M)
-#: A text without any of these signs holds no markup.
-SIGNS = r"[<&\\*_`\[{|=~$#>'^+\-]"
+#: A text without any of these signs, in the places where they mark something up, holds no markup.
+SIGNS = r"(?m)<[A-Za-z/!?]|&[#A-Za-z]|[\\`{]|\*\S|^[ \t]*[-*+•][ \t]+\S|_\S|\[\[|\]\(|\[\^|\[(?:https?|ftp):|^\[[^\]\n]{1,40}\]:|^[ \t]*[|!]|==|^=[ \t]|~~|\$\S|^[ \t]*#|^>|''|-{2,}"
 _SIGNS = re.compile(SIGNS)
 
 
