@@ -1,13 +1,16 @@
 """The registered queries in SQL (DuckDB dialect), written independently of the Spark plans.
 
-Queries that need Unicode normalisation, an HTML parser or a fold over a text
-have no SQL twin here; they are tested against brute force.
+Folds over a text are list reductions here; compatibility forms of Unicode are a
+translation table made by rule.  HTML to text needs a parser and has no SQL
+twin; it is tested against goldens.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from lectern.functions.tokens import STOP_WORDS
-from lectern.plans.queries import BOOK, BOTH, KEYWORDS, MISSED, PHRASE
+from lectern.plans.queries import BOTH, HEADED, KEYWORDS, MISSED, PHRASE, SPOTS
 
 _WS = "[\\s\\x{0b}\\x{85}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]".replace("\\x{85}", "")
 _WORD = "[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?"
@@ -46,6 +49,7 @@ def _chapter(x: str) -> str:
 
 
 _CHUNKS = "chunks_live AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY loaded_at DESC NULLS LAST) = 1)"
+_LARGEST = "(SELECT book_id FROM chunks_live WHERE book_id IS NOT NULL GROUP BY book_id ORDER BY count(*) DESC, book_id LIMIT 1)"
 _BOOKS = "books_live AS (SELECT * FROM books QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY imported_at DESC NULLS LAST) = 1)"
 
 
@@ -116,6 +120,108 @@ _PROGRESS = f"""progress AS (SELECT book_id,
   GROUP BY book_id)"""
 
 
+def _nfkc(x: str) -> str:
+    """Compatibility form: characters with a form of one character each, then composed."""
+    made = {c: k for c in map(chr, range(0xA0, 0x10000)) if (k := unicodedata.normalize("NFKC", c)) != c and len(k) == 1}
+    return f"nfc_normalize(translate({x}, '{"".join(made)}', '{"".join(made.values()).replace("'", "''")}'))"
+
+
+_OTHER = f"[^{''.join(chr(a) + ('-' + chr(b) if b != a else '') for a, b in ((0x2E80, 0x2FFF), (0x3005, 0x3005), (0x3007, 0x3007), (0x3021, 0x3029), (0x3038, 0x303B), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3134F)))}A-Za-z0-9]+"
+
+
+def _title_key(x: str) -> str:
+    v = _sub(_nfkc(f"coalesce({x}, '')"), "[《》]", "' '")
+    v = _sub(v, "(?i)\\.(epub|txt|md)\\b", "' '")
+    v = _sub(v, "(?i)\\b(epub|txt|md)\\b", "' '")
+    v = _sub(v, "\\b(全集|完本|校对版|校對版|出版版|番外|精校版|精修版|实体书版|實體書版)\\b", "' '")
+    v = _sub(v, "(?i)[\\[(（【][\\s]*((无限|完本|全集|校对版|校對版|出版版|epub|txt|md|番外|精校版|精修版)\\s*)*[\\])）】]", "' '")
+    v = _sub(v, "[\\[(（【]([^\\])）】]{0,30})[\\])）】]", "'\\1'")
+    return f"lower({_sub(_sub(v, '作者[:：]', chr(39) + ' ' + chr(39)), _OTHER, chr(39) * 2)})"
+
+
+def _author_key(x: str) -> str:
+    return f"lower({_sub(_sub(_nfkc(f'coalesce({x}, {chr(39) * 2})'), '作者[:：]', chr(39) + ' ' + chr(39)), _OTHER, chr(39) * 2)})"
+
+
+def _safe_id(x: str) -> str:
+    ws = _WS.replace("\\x{feff}", "")  # no space here
+    v = f"lower({_sub(_nfkc(f"coalesce(nullif({x}, ''), 'untitled')"), f'^{ws}+|{ws}+$', "''")})"
+    v = _sub(_sub(v, '[<>:"/\\\\|?*\\x00-\\x1F]', "' '"), f"(_|{ws})+", "'-'")
+    return _sub(_sub(_sub(v, "[^\\p{L}\\p{N}-]", "''"), "-+", "'-'"), "^-|-$", "''")
+
+
+_EXTERNAL = f"""ext AS (SELECT entry_id AS ext_id, {_title_key("weread_title")} AS et, {_author_key("weread_author")} AS ea FROM (SELECT * FROM book_map
+  QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY received_at DESC NULLS LAST, weread_title DESC NULLS LAST, weread_author DESC NULLS LAST) = 1)),
+loc AS (SELECT book_id, title, {_title_key("title")} AS bt, {_author_key("author")} AS ba, {_title_key("book_id")} AS bi FROM books_live),
+scored AS (SELECT ext_id, book_id, title, et, round(least(0.99, base + CASE WHEN same THEN 0.08 ELSE 0 END + CASE WHEN own THEN 0.05 ELSE 0 END), 2)::DOUBLE AS score,
+  concat_ws('|', CASE base WHEN 0.9 THEN 'normalizedTitle' WHEN 0.75 THEN 'titleIncludes' END, CASE WHEN same THEN 'normalizedAuthor' END, CASE WHEN own THEN 'localBookId' END) AS matched_by
+  FROM (SELECT *, CASE WHEN et = bt THEN 0.9 WHEN bt <> '' AND (contains(et, bt) OR contains(bt, et)) THEN 0.75 ELSE 0.0 END AS base, ea <> '' AND ea = ba AS same, et = bi AS own FROM ext, loc WHERE et <> '')
+  WHERE base > 0 OR own)"""
+
+
+def _value(x: str) -> str:
+    """A metadata value: trimmed, outer quotes removed; null if empty or too long."""
+    v = _sub(_sub(_trim(x), "^[\"''“‘《]+", "''"), "[\"''”’》]+$", "''")
+    return f"(CASE WHEN length({_trim(v)}) BETWEEN 1 AND 120 THEN {_trim(v)} END)"
+
+
+def _metadata(src: str) -> str:
+    """CTEs over ``src(id, text, path)``: ``meta(id, title, author)``."""
+
+    def first(lines: str, *patterns: str, keep: str = "true") -> str:
+        found = "coalesce(" + ", ".join(f"nullif(regexp_extract(x, '{p}', 1), '')" for p in patterns) + ", '')"
+        return f"list_filter(list_transform({lines}, lambda x: {_value(found)}), lambda v: v IS NOT NULL AND {keep})[1]"
+
+    stem = "regexp_replace(regexp_extract(replace(coalesce(path, ''), chr(92), '/'), '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1')"
+    ok = f"length(v) <= 80 AND NOT {_chapter('v')} AND NOT regexp_matches(v, '^(第[一二三四五六七八九十百千万零〇0-9]+[章节回篇卷部]|(?i:Chapter)\\s+)')"
+    return f"""ml AS (SELECT id, path, list_transform(string_split({_clean('text')}, chr(10))[1:30], lambda x: {_trim('x')}) AS l FROM {src}),
+mf AS (SELECT id, path, l, CASE WHEN l[1] = '---' AND list_position(l[2:30], '---') > 1 THEN l[2:list_position(l[2:30], '---')] ELSE [] END AS f FROM ml),
+meta AS (SELECT id, coalesce({first("f", "(?i)^title\\s*:\\s*(.+)$")}, {first("l", "^(?:书名|标题)\\s*[:：]\\s*(.+)$", "(?i)^Title\\s*:\\s*(.+)$")}, {stem}) AS title,
+  coalesce({first("f", "(?i)^author\\s*:\\s*(.+)$")}, {first("l", "^(?:作者|著者)\\s*[:：]\\s*(.+)$", "(?i)^Author\\s*:\\s*(.+)$", "(?i)^By\\s+(.+)$", keep=ok)}) AS author FROM mf)"""
+
+
+def _without_front_matter(x: str) -> str:
+    at = f"list_position(list_transform(string_split({x}, chr(10))[2:50], lambda y: {_trim('y')}), '---')"
+    return f"CASE WHEN {_trim(f'string_split({x}, chr(10))[1]')} = '---' AND {at} > 0 THEN {_clean(f'array_to_string(string_split({x}, chr(10))[{at} + 2:], chr(10))')} ELSE {x} END"
+
+
+def _segments(most: int = 1000, least: int = 350) -> str:
+    """CTEs: the chunks of every document, ``made(book_id, parts)``, as folds over lists."""
+    tiny = max(120, least // 2)
+    nl = "chr(10) || chr(10)"
+    window = f"list_filter(list_transform(range(0, length(p), {most}), lambda k: {_trim(f'substring(p, k + 1, {most})')}), lambda w: w <> '')"
+    none = "CAST([] AS STRUCT(t VARCHAR, open BOOLEAN)[])"
+
+    def pack(items: str, glue: str) -> str:
+        held = f"len(acc) > 0 AND acc[-1].open AND x[1].open AND length(acc[-1].t) + length({glue}) + length(x[1].t) <= {most}"
+        return f"list_reduce({items}, lambda acc, x: CASE WHEN {held} THEN list_concat(acc[:-2], [{{'t': acc[-1].t || {glue} || x[1].t, 'open': true}}]) ELSE list_concat(acc, x) END, {none})"
+
+    closed = f"list_transform({window}, lambda w: {{'t': w, 'open': false}})"
+    each = f"CASE WHEN length(p) <= {most} THEN [{{'t': p, 'open': true}}] ELSE {closed} END"
+    sentences = f"list_filter(list_transform(string_split({_sub('q', '([。！？!?；;])', "'\\1' || chr(1)")}, chr(1)), lambda y: {_trim('y')}), lambda y: y <> '')"
+    by_sentence = f"CASE WHEN len({sentences}) > 1 THEN list_transform({pack(f'list_transform({sentences}, lambda p: {each})', "''")}, lambda z: {{'t': z.t, 'open': false}}) ELSE {closed.replace('(p', '(q').replace('length(p)', 'length(q)')} END"
+    paragraphs = f"list_filter(list_transform(string_split_regex(text, '\\n{{2,}}'), lambda y: {_trim('y')}), lambda y: y <> '')"
+    headed = lambda x: _clean(f"'## ' || {x}.title || {nl} || {x}.body")
+    joined = lambda a, b: _clean(f"{a} || {nl} || {headed(b)}")
+    row = "STRUCT(title VARCHAR, section VARCHAR, body VARCHAR, carry BOOLEAN)[]"
+    pack_row = lambda x, carry, title=None, section=None, body=None: f"{{'title': {title or x + '.title'}, 'section': {section or x + '.section'}, 'body': {body or x + '.body'}, 'carry': {carry}}}"
+    # first the pending chunk is joined to the next one or put down, then the next one is looked at
+    ahead = f"CASE WHEN len(acc) > 0 AND acc[-1].carry THEN CASE WHEN length({joined('acc[-1].body', 'x[1]')}) <= {most} THEN {{'a': acc[:-2], 'x': {pack_row('x[1]', 'false', 'acc[-1].title', 'acc[-1].section', joined('acc[-1].body', 'x[1]'))}}} ELSE {{'a': list_concat(acc[:-2], [{pack_row('acc[-1]', 'false')}]), 'x': x[1]}} END ELSE {{'a': acc, 'x': x[1]}} END"
+    behind = f"CASE WHEN length(s.x.body) >= {tiny} THEN list_concat(s.a, [s.x]) WHEN len(s.a) > 0 AND length({joined('s.a[-1].body', 's.x')}) <= {most} THEN list_concat(s.a[:-2], [{pack_row('s.a[-1]', 'false', body=joined('s.a[-1].body', 's.x'))}]) ELSE list_concat(s.a, [{pack_row('s.x', 'true')}]) END"
+    return f"""sl AS (SELECT doc_id, string_split({_clean('text')}, chr(10)) AS a FROM documents),
+sx AS (SELECT doc_id, {_trim('line')} AS trimmed, line, pos FROM (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS pos FROM sl)),
+sy AS (SELECT *, {_chapter('trimmed')} AS head, sum(CASE WHEN {_chapter('trimmed')} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM sx),
+sz AS (SELECT doc_id, sec, coalesce(max({_title('trimmed')}) FILTER (head), '片段 1') AS title, {_clean("coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head), '')")} AS text FROM sy GROUP BY ALL),
+ss AS (SELECT doc_id, list([{{'title': title, 'text': text}}] ORDER BY sec) AS secs FROM sz WHERE text <> '' GROUP BY doc_id),
+sm AS (SELECT doc_id, list_reduce(secs, lambda acc, x: CASE WHEN length(acc[-1].text) < {least} AND length(acc[-1].text) + length('## ' || x[1].title || {nl} || x[1].text) + 2 <= {most}
+  THEN list_concat(acc[:-2], [{{'title': acc[-1].title, 'text': {_clean(f"acc[-1].text || {nl} || '## ' || x[1].title || {nl} || x[1].text")}}}]) ELSE list_concat(acc, x) END) AS merged FROM ss),
+su AS (SELECT doc_id, i, m.title AS title, m.text AS text FROM (SELECT doc_id, unnest(merged) AS m, generate_subscripts(merged, 1) AS i FROM sm)),
+sp AS (SELECT doc_id, i, title, CASE WHEN length(text) <= {most} THEN [text] ELSE list_transform({pack(f"list_transform({paragraphs}, lambda q: CASE WHEN length(q) <= {most} THEN [{{'t': q, 'open': true}}] ELSE {by_sentence} END)", nl)}, lambda z: z.t) END AS pieces FROM su),
+sf AS (SELECT doc_id, i, n, title AS section, CASE WHEN len(pieces) > 1 THEN title || ' Part ' || n ELSE title END AS title, {_clean('piece')} AS body FROM (SELECT doc_id, i, title, pieces, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS n FROM sp)),
+sg AS (SELECT doc_id, count(*) AS initial, list([{{'title': title, 'section': section, 'body': body, 'carry': false}}] ORDER BY i, n) AS parts FROM sf GROUP BY doc_id),
+made AS (SELECT CAST(doc_id AS VARCHAR) AS book_id, initial, list_reduce(parts, lambda acc, x: list_transform([{ahead}], lambda s: {behind})[1], CAST([] AS {row})) AS parts FROM sg)"""
+
+
 def oracle_sql() -> dict[str, str]:
     with_terms = f"WITH {_CHUNKS}, {_terms()}"
     score = " + ".join(f"{w} * (length(t) - length(regexp_replace(t, '{p}', '', 'g')))" for p, w in (("\\x{fffd}", 30), ("\\x{0000}", 20), ("[\\x{01}-\\x{08}\\x{0b}\\x{0c}\\x{0e}-\\x{1f}]", 10), ("[锟斤拷ÃÂÐÑÊÖÎ]", 2)))
@@ -140,8 +246,20 @@ x AS (SELECT doc_id, {_trim('p')} AS part, i FROM (SELECT doc_id, unnest(a) AS p
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, part FROM x WHERE part <> ''""",
         "hard_split": f"""WITH s AS (SELECT doc_id, {_clean('text')} AS t FROM documents), w AS (SELECT doc_id, t, unnest(range(0, length(t), 300)) AS k FROM s),
 x AS (SELECT doc_id, k, {_trim('substring(t, k + 1, 300)')} AS part FROM w) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n, part FROM x WHERE part <> ''""",
-        "segment_totals": f"""WITH l AS (SELECT doc_id, unnest(string_split({_clean('text')}, chr(10))) AS line FROM documents)
-SELECT CAST(doc_id AS VARCHAR) AS book_id, true AS dense, true AS bounded FROM l GROUP BY doc_id HAVING bool_or({_trim('line')} <> '' AND NOT {_chapter(_trim('line'))})""",
+        "segment_documents": f"""WITH {_segments()}, c AS (SELECT book_id, initial, len(parts) AS n, unnest(parts) AS p, generate_subscripts(parts, 1) - 1 AS ord FROM made), d AS (SELECT *, 'ch' || lpad(CAST(ord AS VARCHAR), CAST(greatest(3, length(CAST(ord AS VARCHAR))) AS INTEGER), '0') AS cid FROM c)
+SELECT book_id, cid AS chunk_id, p.title AS title, p.section AS section_title, CAST(ord AS INTEGER) AS ord, p.body AS text, CAST(length(p.body) AS INTEGER) AS char_count, CAST(len(regexp_extract_all(p.body, '{_WORD}')) + len(regexp_extract_all(p.body, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]')) AS INTEGER) AS word_count,
+  substring({_inline('p.body')}, 1, 120) AS preview, sha256(p.body) AS chunk_hash, lag(cid) OVER w AS prev_id, lead(cid) OVER w AS next_id, CAST(initial AS INTEGER) AS initial_chunks FROM d WINDOW w AS (PARTITION BY book_id ORDER BY ord)""",
+        "document_metadata": f"WITH src AS (SELECT doc_id AS id, text, book_id AS path FROM documents), {_metadata('src')} SELECT id AS doc_id, title, author FROM meta",
+        "header_metadata": f"WITH {_BOOKS}, src AS (SELECT book_id AS id, source_path AS path, {HEADED} AS text FROM books_live), {_metadata('src')} SELECT id AS book_id, meta.title, meta.author, {_without_front_matter('t')} AS body FROM meta JOIN (SELECT id, {_clean('text')} AS t FROM src) USING (id)",
+        "front_matter_stripped": f"WITH s AS (SELECT doc_id, {_clean('text')} AS t FROM documents) SELECT doc_id, {_without_front_matter('t')} AS body FROM s",
+        "safe_book_ids": f"WITH {_BOOKS} SELECT book_id, {_safe_id('title')} AS safe_id, {_title_key('title')} AS title_key, {_author_key('author')} AS author_key FROM books_live",
+        "link_scores": f"WITH {_BOOKS}, {_EXTERNAL} SELECT ext_id, book_id, score, matched_by FROM scored",
+        "link_decisions": f"""WITH {_BOOKS}, {_EXTERNAL}, top AS (SELECT *, row_number() OVER (PARTITION BY ext_id ORDER BY score DESC, title, book_id) AS n FROM scored),
+p AS (SELECT ext_id, max(length(et)) AS len, max(score) FILTER (n = 1) AS score, max(book_id) FILTER (n = 1) AS book_id, count(*) FILTER (n <= 5) AS c FROM top GROUP BY ext_id),
+a AS (SELECT *, CASE WHEN score >= CASE WHEN len <= 2 THEN 0.93 ELSE 0.88 END THEN 'linked' WHEN score >= 0.65 THEN 'pending' ELSE 'no-match' END AS action FROM p)
+SELECT ext_id, action, CASE WHEN action = 'linked' THEN book_id END AS book_id, score, CAST(CASE WHEN action = 'pending' THEN c END AS INTEGER) AS candidates FROM a""",
+        "link_keys": f"SELECT entry_id, CASE WHEN trim(coalesce(weread_book_id, ''), ' ') <> '' THEN 'id:' || trim(weread_book_id, ' ') ELSE 'title:' || {_title_key('weread_title')} || '::author:' || {_author_key('weread_author')} END AS link_key FROM (SELECT DISTINCT entry_id, weread_book_id, weread_title, weread_author FROM book_map)",
+        "decoded_texts": "SELECT doc_id, codec, CASE WHEN codec <> 'UTF-8' AND length(text) = 0 THEN '' ELSE text END AS decoded FROM documents, (VALUES ('UTF-8'), ('UTF-8-BOM'), ('UTF-16LE-BOM')) c(codec) WHERE text IS NOT NULL",
         "chunk_links": f"WITH {_CHUNKS} SELECT book_id, chunk_id, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id FROM chunks_live WINDOW w AS (PARTITION BY book_id ORDER BY ord, chunk_id)",
         "chunk_stats": f"WITH {_CHUNKS}, s AS (SELECT book_id, coalesce(char_count, 0) AS n FROM chunks_live) SELECT book_id, count(*) AS chunk_count, CAST(sum(n) AS BIGINT) AS total_chars, CAST(floor(avg(n) + 0.5) AS BIGINT) AS average_chunk_chars, CAST(min(n) AS BIGINT) AS min_chunk_chars, CAST(max(n) AS BIGINT) AS max_chunk_chars FROM s GROUP BY book_id",
         "short_chunks": f"WITH {_CHUNKS} SELECT book_id, count(*) FILTER (coalesce(length(text), 0) < 300) AS short_chunks FROM chunks_live GROUP BY book_id",
@@ -155,14 +273,14 @@ SELECT CAST(doc_id AS VARCHAR) AS book_id, true AS dense, true AS bounded FROM l
         "postings_valid": "WITH p AS (SELECT * FROM postings WHERE term IS NOT NULL AND chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book_id, term, chunk_id ORDER BY indexed_at DESC NULLS LAST, hit_count DESC NULLS LAST) = 1) SELECT book_id, term, chunk_id, CAST(hit_count AS BIGINT) AS count FROM p WHERE hit_count > 0",
         "keyword_search_all": _keyword(KEYWORDS),
         "keyword_search_mixed": _keyword(BOTH, 25),
-        "keyword_search_book": _keyword(KEYWORDS, chunks="own", first=f", own AS (SELECT * FROM chunks_live WHERE book_id = '{BOOK}')"),
+        "keyword_search_book": _keyword(KEYWORDS, chunks="own", first=f", own AS (SELECT * FROM chunks_live WHERE book_id = {_LARGEST})"),
         "keyword_fallback": f"""WITH {_CHUNKS}, {_query(MISSED)}, scan AS (SELECT book_id, chunk_id, ord, {_clean('text')} AS body FROM chunks_live),
 have AS (SELECT s.book_id, s.chunk_id, s.ord, contains(s.body, qt.q) AS whole, qt.q, coalesce(sum(t.weight), 0) AS w, list(t.token ORDER BY t.pos) FILTER (t.token IS NOT NULL) AS m FROM scan s CROSS JOIN qt LEFT JOIN tok t ON contains(s.body, t.token) GROUP BY ALL)
 SELECT book_id, chunk_id, CAST(ord AS BIGINT) AS ord, CAST(w + CASE WHEN whole THEN 4 ELSE 0 END AS BIGINT) AS score, array_to_string(coalesce(m, [q]), '|') AS matched FROM have WHERE w > 0 OR whole""",
         "exact_search_all": _exact("", False),
-        "exact_search_book": _exact(f"AND book_id = '{BOOK}'", True),
+        "exact_search_book": _exact(f"AND book_id = {_LARGEST}", True),
         "occurrence_count": f"WITH s AS (SELECT doc_id, {_inline('text')} AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, (length(t) - length(replace(t, 'the', ''))) // 3 AS n FROM s WHERE contains(t, 'the')",
-        "highlight_context": f"""WITH {_CHUNKS}, h AS (SELECT doc_id, book_id, text, {_inline('text')} AS q FROM documents WHERE doc_kind = 'highlight' AND book_id IS NOT NULL),
+        "highlight_context": f"""WITH {_CHUNKS}, h AS (SELECT doc_id, book_id, text, {_inline('text')} AS q FROM ({SPOTS})),
 c AS (SELECT book_id, chunk_id, ord, {_inline('text')} AS body FROM chunks_live WHERE text IS NOT NULL),
 x AS (SELECT h.doc_id, h.book_id, h.text, h.q, c.chunk_id, c.ord, c.body FROM h JOIN c USING (book_id) WHERE q <> '' AND contains(body, q) QUALIFY row_number() OVER (PARTITION BY doc_id, h.book_id ORDER BY ord, chunk_id) = 1)
 SELECT doc_id, book_id, chunk_id, CAST(ord AS BIGINT) AS ord, CAST(100 + 5 * ((length(body) - length(replace(body, q, ''))) // length(q)) AS BIGINT) AS score, {_preview('body', 'text', '[text]', 260)} AS preview FROM x""",
@@ -171,7 +289,7 @@ SELECT doc_id, book_id, chunk_id, CAST(ord AS BIGINT) AS ord, CAST(100 + 5 * ((l
         "resume_books": f"WITH {_CHUNKS}, {_PROGRESS}, p AS (SELECT book_id, coalesce(next_chunk_id, last_chunk_id) AS chunk_id, last_read_at FROM progress) SELECT p.book_id, p.chunk_id, c.title, CAST(c.ord AS BIGINT) AS ord, CAST(c.char_count AS BIGINT) AS char_count, p.last_read_at, c.chunk_id IS NOT NULL AS found FROM p LEFT JOIN chunks_live c ON c.book_id = p.book_id AND c.chunk_id = p.chunk_id",
         "list_books": f"WITH {_BOOKS}, {_PROGRESS} SELECT b.book_id, b.title, b.author, b.imported_at, coalesce(nullif(b.index_status, ''), 'not_built') AS index_status, p.status AS reading_status, p.last_read_at FROM books_live b LEFT JOIN progress p USING (book_id)",
         "index_status": f"WITH {_BOOKS} SELECT coalesce(nullif(index_status, ''), 'not_built') AS index_status, count(*) AS books FROM books_live GROUP BY 1",
-        "book_manifest": f"WITH {_CHUNKS} SELECT chunk_id, title, section_title, CAST(ord AS BIGINT) AS ord, chunk_path, CAST(char_count AS BIGINT) AS char_count, preview, array_to_string(keywords[1:20], '|') AS keywords FROM chunks_live WHERE book_id = '{BOOK}' ORDER BY ord, chunk_id LIMIT 300",
+        "book_manifest": f"WITH {_CHUNKS} SELECT book_id, chunk_id, title, section_title, CAST(ord AS BIGINT) AS ord, chunk_path, CAST(char_count AS BIGINT) AS char_count, preview, array_to_string(keywords[1:20], '|') AS keywords FROM chunks_live QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY ord, chunk_id) <= 300",
         "note_sections": f"""WITH l AS (SELECT doc_id, string_split({_sub("coalesce(text, '')", "\\r\\n?", "chr(10)")}, chr(10)) AS a FROM documents WHERE doc_kind = 'note'),
 x AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS pos FROM l),
 y AS (SELECT *, regexp_matches(line, '^##\\s+\\S') AS head, sum(CASE WHEN regexp_matches(line, '^##\\s+\\S') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM x)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import names as N
@@ -16,14 +16,25 @@ from lectern.operators import search as S
 from lectern.operators import segment as G
 from lectern.operators import state as P
 from lectern.runtime import cut, ship, table
+from lectern.sources.decode import decoded
 from lectern.sources.html import html_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY = ["book_id", "chunk_id"]
 #: The questions the registered searches ask.
 KEYWORDS, BOTH, PHRASE, MISSED = "quiet lantern", "灯笼 winter archive", "a lantern that nobody wanted", "untied the 港口"
-#: The book with the most chunks; single-book queries are asked of it.
-BOOK = "the-quiet-harbour-of-segruvoar-0"
+#: The head a book's file may have, in SQL: front matter, Chinese labels or English ones, by the length of its id.
+HEADED = """CASE length(book_id) % 3 WHEN 0 THEN '---' || chr(10) || 'title: "' || coalesce(title, '') || '"' || chr(10) || 'author: ' || coalesce(author, '') || chr(10) || '---' || chr(10) || coalesce(source_path, '')
+WHEN 1 THEN '书名：《' || coalesce(title, '') || '》' || chr(10) || '作者：' || coalesce(author, '') || chr(10) || coalesce(source_path, '') ELSE 'Title: ' || coalesce(title, '') || chr(10) || 'By ' || coalesce(author, '') || chr(10) || coalesce(source_path, '') END"""
+#: Highlights, in SQL: those of readers, and a passage of every twentieth chunk of a book.
+SPOTS = """SELECT CAST(doc_id AS VARCHAR(20)) AS doc_id, book_id, text FROM documents WHERE doc_kind = 'highlight' AND book_id IS NOT NULL
+UNION ALL SELECT DISTINCT book_id || ' ' || chunk_id, book_id, substring(text, 31, 60) FROM chunks WHERE ord % 20 = 0 AND length(text) > 100"""
+
+
+def _largest(chunks: DataFrame) -> str | None:
+    """The book with the most chunks (ties: the first id); single-book queries are asked of it."""
+    row = chunks.where("book_id IS NOT NULL").groupBy("book_id").count().orderBy(F.desc("count"), "book_id").first()
+    return row and row["book_id"]
 
 
 def _chunks(spark: SparkSession, d: str, *cols: str) -> DataFrame:
@@ -91,6 +102,19 @@ def document_metadata(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.infer_metadata(F.col("text"), F.col("book_id")).alias("m")).select("doc_id", "m.title", "m.author")
 
 
+def header_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Title, author and body of files that name them in front matter or in their first lines."""
+    b = _books(spark, d).select("book_id", "source_path", F.expr(HEADED.replace("chr(10)", "char(10)")).alias("text"))
+    return b.select("book_id", T.infer_metadata(F.col("text"), F.col("source_path")).alias("m"), T.strip_front_matter(F.col("text")).alias("body")).select("book_id", "m.title", "m.author", "body")
+
+
+def decoded_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document written in UTF-8, with and without its mark, and in UTF-16, read back by the charset detection."""
+    t = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", F.explode(F.array(*map(F.lit, ("UTF-8", "UTF-8-BOM", "UTF-16LE-BOM")))).alias("codec"))
+    data = F.when(F.col("codec") == "UTF-8", F.encode("text", "UTF-8")).when(F.col("codec") == "UTF-8-BOM", F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+    return t.select("doc_id", "codec", decoded(data).alias("decoded"))
+
+
 def front_matter_stripped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.strip_front_matter(F.col("text")).alias("body"))
 
@@ -122,12 +146,6 @@ def segment_documents(spark: SparkSession, d: str) -> DataFrame:
     return G.segment(_texts(spark, d), max_chars=1000).select("book_id", "chunk_id", "title", "section_title", "ord", "text", "char_count", "word_count", "preview", "chunk_hash", "prev_id", "next_id", "initial_chunks")
 
 
-def segment_totals(spark: SparkSession, d: str) -> DataFrame:
-    """What segmentation must keep: every text gives chunks that are numbered without gaps and within the limit."""
-    s = G.segment(_texts(spark, d), max_chars=1000)
-    return s.groupBy("book_id").agg((F.max("ord") + 1 == F.count(F.lit(1))).alias("dense"), (F.max("char_count") <= 1000).alias("bounded"))
-
-
 def chunk_links(spark: SparkSession, d: str) -> DataFrame:
     return G.links(_chunks(spark, d, "ord"))
 
@@ -207,7 +225,8 @@ def keyword_search_mixed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_search_book(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d, "ord", "text").where(F.col("book_id") == BOOK)
+    c = _chunks(spark, d, "ord", "text")
+    c = c.where(F.col("book_id") == F.lit(_largest(c)))
     rows = S.keyword_search(S.one_query(spark, KEYWORDS), cut(I.postings(I.pruned(I.term_counts(c), c)), "postings"), c)
     return rows.select("book_id", "chunk_id", F.col("ord").cast("long").alias("ord"), "score", _joined("matched").alias("matched"), "preview")
 
@@ -224,7 +243,8 @@ def exact_search_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_search_book(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d, "ord", "text").where(F.col("book_id") == BOOK)
+    c = _chunks(spark, d, "ord", "text")
+    c = c.where(F.col("book_id") == F.lit(_largest(c)))
     return S.exact_search(S.one_query(spark, PHRASE), c, one_book=True).select("book_id", "chunk_id", F.col("ord").cast("long").alias("ord"), "score", "preview")
 
 
@@ -234,7 +254,9 @@ def occurrence_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def highlight_context(spark: SparkSession, d: str) -> DataFrame:
-    h = table(spark, d, "documents").where("doc_kind = 'highlight' AND book_id IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "book_id")
+    for name in ("documents", "chunks"):
+        table(spark, d, name).createOrReplaceTempView(name)
+    h = spark.sql(SPOTS).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "book_id")
     return S.highlight_context(h, _chunks(spark, d, "ord", "text")).select(F.col("query_id").alias("doc_id"), "book_id", "chunk_id", F.col("ord").cast("long").alias("ord"), "score", "preview")
 
 
@@ -261,9 +283,10 @@ def index_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def book_manifest(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d, "title", "section_title", "ord", "chunk_path", "char_count", "preview", "keywords").where(F.col("book_id") == BOOK)
-    x = c.orderBy("ord", "chunk_id").limit(300)
-    return x.select("chunk_id", "title", "section_title", F.col("ord").cast("long").alias("ord"), "chunk_path", F.col("char_count").cast("long").alias("char_count"), "preview", _joined(F.slice("keywords", 1, 20)).alias("keywords"))
+    """The first 300 chunks of every book; the rank is limited before the shuffle."""
+    c = _chunks(spark, d, "title", "section_title", "ord", "chunk_path", "char_count", "preview", "keywords")
+    x = c.withColumn("_n", F.row_number().over(Window.partitionBy("book_id").orderBy("ord", "chunk_id"))).where("_n <= 300")
+    return x.select("book_id", "chunk_id", "title", "section_title", F.col("ord").cast("long").alias("ord"), "chunk_path", F.col("char_count").cast("long").alias("char_count"), "preview", _joined(F.slice("keywords", 1, 20)).alias("keywords"))
 
 
 def note_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -313,8 +336,8 @@ def link_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = (
-    clean_text, inline_preview, count_words, content_hash, misdecode_score, chapter_titles, truncated_text, file_stems, html_headings, html_to_text, skippable_names, document_metadata, front_matter_stripped, safe_book_ids,
-    split_sections, sentence_split, hard_split, segment_documents, segment_totals, chunk_links, chunk_stats, short_chunks,
+    clean_text, inline_preview, count_words, content_hash, misdecode_score, chapter_titles, truncated_text, file_stems, html_headings, html_to_text, skippable_names, document_metadata, header_metadata, decoded_texts, front_matter_stripped, safe_book_ids,
+    split_sections, sentence_split, hard_split, segment_documents, chunk_links, chunk_stats, short_chunks,
     term_counts, postings_pruned, postings_top50, chunk_keywords, keyword_back_fill, chunk_index, index_summary, postings_valid,
     query_tokens, keyword_search_all, keyword_search_mixed, keyword_search_book, keyword_fallback, exact_search_all, exact_search_book, occurrence_count, highlight_context,
     progress_latest, recent_books, resume_books, list_books, index_status, book_manifest, note_sections, note_append, note_skeletons,
