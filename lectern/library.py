@@ -8,6 +8,7 @@ arguments first.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.names import book_id_of
-from lectern.functions.text import truncated
+from lectern.functions.text import search_preview, truncated
 from lectern.operators import index as I
 from lectern.operators import link as L
 from lectern.operators import search as S
@@ -29,14 +30,14 @@ from lectern.runtime import ship
 from lectern.sources import files
 
 #: Caps of replies.
-MAX_MANIFEST_CHUNKS, MANIFEST_CHUNKS, NOTE_CHARS, HIGHLIGHTS = 1000, 300, 12_000, 5
+MAX_MANIFEST_CHUNKS, MANIFEST_CHUNKS, RAW_CHARS, NOTE_CHARS, HIGHLIGHTS, INDEX_WARNING = 1000, 300, 200_000, 12_000, 5, 10 << 20
 STATE_VARIABLE = "READING_STATE_DIR"
 
-BOOKS = "book_id string, title string, author string, source_type string, source_path string, source_hash string, imported_at timestamp_ntz, max_chars int, min_chars int, section_count int, total_chars bigint, initial_chunk_count int, chunk_count int, average_chunk_chars int, min_chunk_chars int, max_chunk_chars int, index_status string, index_updated_at timestamp_ntz"
+BOOKS = "book_id string, title string, author string, source_type string, source_path string, source_hash string, imported_at timestamp_ntz, max_chars int, min_chars int, section_count int, total_chars bigint, initial_chunk_count int, chunk_count int, average_chunk_chars int, min_chunk_chars int, max_chunk_chars int, index_status string, index_updated_at timestamp_ntz, index_options string"
 CHUNKS = "book_id string, chunk_id string, title string, section_title string, ord int, chunk_path string, text string, char_count int, word_count int, preview string, chunk_hash string, keywords array<string>, summary string, prev_id string, next_id string"
 POSTINGS = "book_id string, term string, chunk_id string, count bigint, rank int"
 CHUNK_INDEX = "book_id string, chunk_id string, title string, section_title string, chunk_path string, char_count int, preview string, terms array<string>, term_count bigint"
-PROGRESS = "book_id string, last_chunk_id string, next_chunk_id string, status string, note_path string, current_themes array<string>, last_read_at timestamp_ntz, recency_seq bigint"
+PROGRESS = "book_id string, last_chunk_id string, next_chunk_id string, status string, note_path string, last_path string, next_path string, last_section_title string, title string, author string, current_themes array<string>, last_read_at timestamp_ntz, recency_seq bigint"
 NOTES = "book_id string, heading string, ordinal int, content string"
 LINKS = "key string, ext_id string, ext_title string, ext_author string, book_id string, score double, status string, matched_by array<string>, updated_at timestamp_ntz"
 PENDING = "key string, ext_id string, ext_title string, ext_author string, candidates array<struct<book_id:string,score:double,matched_by:array<string>>>, updated_at timestamp_ntz"
@@ -59,6 +60,15 @@ def check_book_id(book_id: str | None) -> str:
     return book_id
 
 
+def safe_join(base: str, *parts: str) -> str:
+    """A path under ``base``; one that leads out of it is refused."""
+    root = os.path.normpath(base)
+    path = os.path.normpath(os.path.join(root, *(p.replace("\\", "/") for p in parts)))
+    if path != root and not path.startswith(root.rstrip("/") + "/"):
+        raise ValueError("the path leads out of the library")
+    return path
+
+
 def _scope(book_id: str | None, every: bool) -> str | None:
     if bool(book_id) == bool(every):
         raise ValueError("give either book_id or every=True")
@@ -67,9 +77,10 @@ def _scope(book_id: str | None, every: bool) -> str | None:
 
 class Library:
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
-        root = root or os.environ.get(STATE_VARIABLE)
+        beside = os.path.join(os.path.dirname(os.getcwd()), "reading-state")
+        root = root or os.environ.get(STATE_VARIABLE) or (beside if os.path.isdir(beside) else None)
         if not root:
-            raise ValueError(f"give a root folder or set {STATE_VARIABLE}")
+            raise ValueError(f"give a root folder, set {STATE_VARIABLE} or make a folder reading-state beside the working one")
         self.spark, self.root = spark, root.rstrip("/")
         ship(spark)
 
@@ -81,14 +92,9 @@ class Library:
 
     def table(self, name: str) -> DataFrame:
         """The current version of a table; empty, with its schema, before anything was written."""
-        fs, path = self._pointer(name)
-        if not fs.exists(path):
+        version = self._version(name)
+        if version is None:
             return self.spark.createDataFrame([], TABLES[name])
-        stream = fs.open(path)
-        try:
-            version = stream.readUTF()
-        finally:
-            stream.close()
         return self.spark.read.schema(T._parse_datatype_string(TABLES[name])).parquet(f"{self.root}/{name}/{version}")
 
     def write(self, name: str, df: DataFrame) -> None:
@@ -98,12 +104,40 @@ class Library:
         out = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
         keyed = "book_id" in schema.names and name in ("chunks", "postings", "chunk_index")
         (out.repartition("book_id").sortWithinPartitions("book_id") if keyed else out).write.parquet(f"{self.root}/{name}/{version}")
+        self._switch(name, version)
+
+    def _switch(self, name: str, version: str) -> None:
+        """The pointer is renamed into place, so that it names the old version or the new one, never half a name.
+
+        The version before stays for readers that still use it; older ones are removed.
+        """
         fs, path = self._pointer(name)
-        stream = fs.create(path, True)
+        jvm = self.spark.sparkContext._jvm
+        hadoop = jvm.org.apache.hadoop.fs
+        fresh = hadoop.Path(f"{self.root}/{name}/NEXT-{version}")
+        old = self._version(name)
+        stream = fs.create(fresh, True)
         try:
             stream.writeUTF(version)
         finally:
             stream.close()
+        how = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        full = fs.makeQualified(path)
+        hadoop.FileContext.getFileContext(full.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), full, how)
+        for f in fs.listStatus(path.getParent()):
+            if f.isDirectory() and f.getPath().getName() not in (version, old):
+                fs.delete(f.getPath(), True)
+
+    def _version(self, name: str) -> str | None:
+        fs, path = self._pointer(name)
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return stream.readUTF()
+        finally:
+            stream.close()
 
     def _replace(self, name: str, new: DataFrame, keys: list[str] = ["book_id"]) -> None:  # noqa: B006
         """Rows of the same keys replaced, the rest kept."""
@@ -118,6 +152,7 @@ class Library:
         chunks, and its index counts as not built.
         """
         most, least = G.limits(max_chars, min_chars)
+        files.check(self.spark, path)
         found = files.books(self.spark, path).where("error IS NULL")
         n = found.count()
         if not n:
@@ -135,7 +170,7 @@ class Library:
         size = chunks.groupBy("book_id").agg(F.first("initial_chunks").alias("initial_chunk_count"))
         made = base.join(G.stats(chunks).drop("total_chars"), "book_id").join(size, "book_id").select(
             "book_id", "title", "author", "source_type", "source_path", F.sha2("original", 256).alias("source_hash"), when.alias("imported_at"), F.lit(most).alias("max_chars"), F.lit(least).alias("min_chars"), "section_count",
-            F.length("original").cast("bigint").alias("total_chars"), "initial_chunk_count", "chunk_count", "average_chunk_chars", "min_chunk_chars", "max_chunk_chars", F.lit("not_built").alias("index_status"), F.lit(None).cast("timestamp_ntz").alias("index_updated_at"),
+            F.length("original").cast("bigint").alias("total_chars"), "initial_chunk_count", "chunk_count", "average_chunk_chars", "min_chunk_chars", "max_chunk_chars", F.lit("not_built").alias("index_status"), F.lit(None).cast("timestamp_ntz").alias("index_updated_at"), F.lit(None).cast("string").alias("index_options"),
         )
         books = self._checkpointed(made)
         ids = books.select("book_id")
@@ -159,6 +194,7 @@ class Library:
         found = read_folder(self.spark, folder)
         key = L.link_key(F.col("ext_id"), F.col("ext_title"), F.col("ext_author")).alias("key")
         for name, df in found.items():
+            df = df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in T._parse_datatype_string(TABLES[name]) if f.name not in df.columns and f.name != "key"})
             self.write(name, df.select(key, "*") if name in ("links", "pending") else df)
         return {name: self.table(name).count() for name in found}
 
@@ -169,7 +205,12 @@ class Library:
         return b.orderBy(rank, F.desc_nulls_last("imported_at"), "book_id").limit(1)
 
     def build_index(self, book_id: str | None = None, *, every: bool = False, now: datetime | None = None, **options) -> DataFrame:
-        """Builds the index of one book or all; returns ``book_id, term_count, posting_count``."""
+        """Builds the index of one book or all; returns ``book_id, term_count, posting_count, bytes, warning``.
+
+        A book in which no term is kept comes out with 0; the options of the
+        build are kept with the book.  ``warning`` names an index over 10 MiB
+        (as compact JSON, about) and one without terms.
+        """
         one = _scope(book_id, every)
         chunks = self.table("chunks") if one is None else self.table("chunks").where(F.col("book_id") == one)
         if one is not None and chunks.isEmpty():
@@ -185,32 +226,61 @@ class Library:
         filled = I.back_fill(chunks, built["keywords"])
         self._replace("chunks", filled)
         books = self.table("books")
-        marked = books.join(done.withColumn("_d", F.lit(True)), "book_id", "left").withColumn("index_status", F.when(F.col("_d"), "built").otherwise(F.col("index_status"))).withColumn("index_updated_at", F.when(F.col("_d"), F.lit(now or datetime.now(UTC).replace(tzinfo=None))).otherwise(F.col("index_updated_at")))
+        marked = books.join(done.withColumn("_d", F.lit(True)), "book_id", "left").withColumn("index_status", F.when(F.col("_d"), "built").otherwise(F.col("index_status"))).withColumn("index_options", F.when(F.col("_d"), F.lit(json.dumps(I.DEFAULTS | options))).otherwise(F.col("index_options"))).withColumn("index_updated_at", F.when(F.col("_d"), F.lit(now or datetime.now(UTC).replace(tzinfo=None))).otherwise(F.col("index_updated_at")))
         self.write("books", marked.select(*books.columns))
-        return self.table("postings").join(done, "book_id", "left_semi").groupBy("book_id").agg(F.countDistinct("term").alias("term_count"), F.count(F.lit(1)).alias("posting_count"))
+        entry = F.length("chunk_id") + F.length(F.col("count").cast("string")) + 6
+        per = self.table("postings").groupBy("book_id", "term").agg(F.count(F.lit(1)).alias("n"), F.sum(entry).alias("b")).groupBy("book_id").agg(F.count(F.lit(1)).alias("t"), F.sum("n").alias("p"), F.sum(F.col("b") + F.length("term") + 5).alias("b"))
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+        warn = F.when(zero("t") == 0, "no term is kept").when(F.col("b") > INDEX_WARNING, F.concat(F.lit("the index has about "), F.round(F.col("b") / (1 << 20), 1).cast("string"), F.lit(" MiB")))
+        return done.join(per, "book_id", "left").select("book_id", zero("t").alias("term_count"), zero("p").alias("posting_count"), zero("b").alias("bytes"), warn.alias("warning"))
+
+    def build_summary(self, built: DataFrame) -> dict[str, int]:
+        """Counters of a build: books with an index, books without a kept term, warnings."""
+        r = built.agg(F.count_if(F.col("term_count") > 0).alias("succeeded"), F.count_if(F.col("term_count") == 0).alias("failed"), F.count("warning").alias("warnings")).first()
+        return r.asDict()
+
+    def problems(self, book_id: str | None = None) -> DataFrame:
+        """``book_id, chunk_id, problem``: what a search leaves out or can't show, found by joins of the tables."""
+        c, p = self._in("chunks", book_id), self._in("postings", book_id).select("book_id", "chunk_id").distinct()
+        b = self.table("books") if book_id is None else self._in("books", book_id)
+        none = F.lit(None).cast("string").alias("chunk_id")
+        return (
+            b.where("index_status <> 'built'").select("book_id", none, F.lit("not indexed").alias("problem"))
+            .unionByName(c.where("text IS NULL").select("book_id", "chunk_id", F.lit("no text").alias("problem")))
+            .unionByName(p.join(c.select("book_id", "chunk_id"), ["book_id", "chunk_id"], "left_anti").select("book_id", "chunk_id", F.lit("posting without chunk").alias("problem")))
+            .unionByName(b.join(c.select("book_id").distinct(), "book_id", "left_anti").select("book_id", none, F.lit("no chunks").alias("problem")))
+        )
 
     # ---- search
     def _in(self, name: str, book_id: str | None) -> DataFrame:
         t = self.table(name)
         return t if book_id is None else t.where(F.col("book_id") == book_id)
 
-    def search(self, query: str, book_id: str | None = None, *, every: bool = False, limit: int = S.LIMIT, max_preview: int = S.MAX_PREVIEW) -> DataFrame:
-        """Keyword search. Over all books those without an index are left out (see ``unindexed``); one book is scanned if it has none."""
+    def search(self, query: str, book_id: str | None = None, *, every: bool = False, limit: int = S.LIMIT, max_preview: int = S.MAX_PREVIEW, include_text: bool = False) -> DataFrame:
+        """Keyword search. Over all books those without an index are left out (see ``unindexed``); one book is scanned if it has none. ``include_text`` adds a longer ``text_preview``."""
         one = _scope(book_id, every)
         if limit < 1 or max_preview < 80:
             raise ValueError("limit must be 1 or more, max_preview 80 or more")
         found = S.keyword_search(S.one_query(self.spark, query), self._in("postings", one), self._in("chunks", one), limit=limit, max_preview=max_preview, indexed_only=one is None)
-        return self._described(found)
+        return self._described(found, query, max_preview if include_text else 0)
 
-    def search_exact(self, query: str, book_id: str | None = None, *, every: bool = False, limit: int = S.LIMIT, max_preview: int = S.MAX_PREVIEW) -> DataFrame:
+    def search_exact(self, query: str, book_id: str | None = None, *, every: bool = False, limit: int = S.LIMIT, max_preview: int = S.MAX_PREVIEW, include_text: bool = False) -> DataFrame:
+        """Exact search in one book or all; ``include_text`` as in :meth:`search`."""
         one = _scope(book_id, every)
-        return self._described(S.exact_search(S.one_query(self.spark, query), self._in("chunks", one), limit=limit, max_preview=max_preview, one_book=one is not None)).withColumn("exact", F.lit(True))
+        return self._described(S.exact_search(S.one_query(self.spark, query), self._in("chunks", one), limit=limit, max_preview=max_preview, one_book=one is not None), query, max_preview if include_text else 0).withColumn("exact", F.lit(True))
 
-    def _described(self, hits: DataFrame) -> DataFrame:
-        c = self.table("chunks").select("book_id", "chunk_id", F.col("title").alias("chunk_title"), "section_title", "chunk_path", "char_count")
+    def _described(self, hits: DataFrame, query: str = "", text: int = 0) -> DataFrame:
+        """Hits with their book and with what index and manifest know of the chunk, the index first."""
+        key = ["book_id", "chunk_id"]
+        own = hits.select(*key).distinct()
+        c = S.chunk_entries(self.table("chunks").join(own, key, "left_semi"), self.table("chunk_index").join(own, key, "left_semi")).drop("ord", "preview")
         b = self.table("books").select("book_id", "title", "author")
-        x = hits.join(c, ["book_id", "chunk_id"], "left").join(b, "book_id", "left")
-        return x.select("book_id", "title", "author", "chunk_id", "chunk_title", "section_title", "chunk_path", "score", "matched", F.coalesce(F.when(F.col("preview") != "", F.col("preview")), "chunk_path").alias("preview"), "char_count", "ord").orderBy(F.desc("score"), F.desc(F.size("matched")), "ord", "book_id")
+        x = hits.join(c, key, "left").join(b, "book_id", "left")
+        more = []
+        if text:
+            x = x.join(self.table("chunks").select(*key, "text"), key, "left")
+            more = [search_preview(F.col("text"), F.lit(query), F.col("matched"), max(2 * text, 400)).alias("text_preview")]
+        return x.select("book_id", "title", "author", "chunk_id", "chunk_title", "section_title", "chunk_path", "score", "matched", F.coalesce(F.when(F.col("preview") != "", F.col("preview")), "chunk_path").alias("preview"), "char_count", "ord", *more).orderBy(F.desc("score"), F.desc(F.size("matched")), "ord", "book_id")
 
     def unindexed(self) -> DataFrame:
         """Books a search over all books leaves out."""
@@ -222,11 +292,16 @@ class Library:
         check_book_id(book_id)
         if not chunk_id and not path:
             raise ValueError("give chunk_id or path")
+        if path:
+            safe_join(self.root, path)
         hit = self._in("chunks", book_id).where((F.col("chunk_id") == F.lit(chunk_id)) | (F.col("chunk_path") == F.lit((path or "").replace("\\", "/")))).orderBy("ord").limit(1)
         return hit.join(self.table("books").select("book_id", F.col("title").alias("book_title"), "author"), "book_id", "left")
 
-    def manifest(self, book_id: str, *, max_chunks: int = MANIFEST_CHUNKS, include_preview: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
-        """``(book row, chunk rows, warnings)``; no text is read."""
+    def manifest(self, book_id: str, *, max_chunks: int = MANIFEST_CHUNKS, include_preview: bool = False, include_raw: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
+        """``(book row, chunk rows, warnings)``; no text is read.
+
+        With ``include_raw`` the book row has ``raw``, the manifest as JSON, unless it is over 200,000 characters.
+        """
         check_book_id(book_id)
         if not 1 <= max_chunks <= MAX_MANIFEST_CHUNKS:
             raise ValueError(f"max_chunks must be 1 to {MAX_MANIFEST_CHUNKS}")
@@ -236,24 +311,40 @@ class Library:
             raise ValueError(f"no book {book_id}")
         cols = ["chunk_id", "title", "section_title", "ord", "chunk_path", "char_count", "word_count", F.slice("keywords", 1, 20).alias("keywords"), "prev_id", "next_id", *(["preview"] if include_preview else [])]
         warnings = [f"only the first {max_chunks} of {row['chunk_count']} chunks"] if (row["chunk_count"] or 0) > max_chunks else []
+        if include_raw:
+            size = self._in("chunks", book_id).drop("text").agg(F.sum(F.length(F.to_json(F.struct(*(c for c in self.table("chunks").columns if c != "text")))) + 1)).first()[0] or 0
+            if size + len(json.dumps(row.asDict(), default=str, ensure_ascii=False)) > RAW_CHARS:
+                warnings.append(f"the raw manifest is over {RAW_CHARS} characters and left out")
+                book = book.withColumn("raw", F.lit(None).cast("string"))
+            else:
+                every = [r.asDict() for r in self._in("chunks", book_id).drop("text").orderBy("ord").collect()]
+                book = book.withColumn("raw", F.lit(json.dumps(row.asDict() | {"chunks": every}, default=str, ensure_ascii=False)))
         return book, self._in("chunks", book_id).orderBy("ord").limit(max_chunks).select(*cols), warnings
 
-    def list_books(self) -> DataFrame:
-        return P.book_list(self.table("books"), self.table("progress"))
+    def list_books(self, *, include_progress: bool = True, include_index_status: bool = True, include_stats: bool = False) -> DataFrame:
+        """Books by last reading, import and title; progress, index status and chunk statistics as asked."""
+        listed = P.book_list(self.table("books"), self.table("progress"))
+        gone = [*([] if include_progress else ["reading_status", "last_read_at"]), *([] if include_index_status else ["index_status"])]
+        if include_stats:
+            listed = listed.join(self.table("books").select("book_id", "chunk_count", "total_chars", "average_chunk_chars", "min_chunk_chars", "max_chunk_chars"), "book_id", "left").orderBy(*P.list_order())
+        return listed.drop(*gone)
 
     # ---- progress
     def progress(self, book_id: str | None = None) -> DataFrame:
         t = self.table("progress")
         return P.recent_books(t).join(t.drop("last_read_at", "recency_seq"), "book_id") if book_id is None else t.where(F.col("book_id") == check_book_id(book_id))
 
-    def update_progress(self, book_id: str, *, last_chunk_id: str | None = None, next_chunk_id: str | None = None, status: str | None = None, note_path: str | None = None, current_themes: list[str] | None = None, last_read_at: datetime | None = None) -> DataFrame:
+    def update_progress(self, book_id: str, *, last_chunk_id: str | None = None, next_chunk_id: str | None = None, status: str | None = None, note_path: str | None = None, last_path: str | None = None, next_path: str | None = None, last_section_title: str | None = None, title: str | None = None, author: str | None = None, current_themes: list[str] | None = None, last_read_at: datetime | None = None) -> DataFrame:
         """Upsert of one book: given fields replace old ones, the book becomes the most recent."""
         check_book_id(book_id)
+        for path in (note_path, last_path, next_path):
+            if path:
+                safe_join(self.root, path)
         old = self.table("progress")
         seq = (old.agg(F.max("recency_seq")).first()[0] or 0) + 1
         had = old.where(F.col("book_id") == book_id).first()
         themes = None if current_themes is None else [t.strip() for t in current_themes if isinstance(t, str) and t.strip()]
-        row = (book_id, last_chunk_id, next_chunk_id, status, note_path or (None if had and had["note_path"] else f"notes/{book_id}.md"), themes, last_read_at or datetime.now(UTC).replace(tzinfo=None), seq)
+        row = (book_id, last_chunk_id, next_chunk_id, status, note_path or (None if had and had["note_path"] else f"notes/{book_id}.md"), last_path, next_path, last_section_title, title, author, themes, last_read_at or datetime.now(UTC).replace(tzinfo=None), seq)
         self.write("progress", P.merge_progress(old, self.spark.createDataFrame([row], PROGRESS)))
         return self.progress(book_id)
 
@@ -357,11 +448,33 @@ class Library:
         self._replace("pending", row, ["key"])
         return Result(action="pending", values={"candidates": [c.asDict() for c in got["candidates"]]})
 
+    def link_many(self, external: DataFrame, *, now: datetime | None = None) -> DataFrame:
+        """Links a table of external records ``(ext_id, title, author)`` in one plan; returns ``key, ext_id, ext_title, action, book_id, score``.
+
+        Records linked before are reused and not scored again (an anti-join on
+        the key); of equal keys one record counts.
+        """
+        books, when = self.table("books"), F.lit(now or datetime.now(UTC).replace(tzinfo=None))
+        keyed = external.select(L.link_key(F.col("ext_id"), F.col("title"), F.col("author")).alias("key"), "ext_id", "title", "author").dropDuplicates(["key"])
+        had = self.table("links").select("key", "book_id", "score")
+        asked = self._checkpointed(keyed.join(had, "key", "left_anti"))
+        scored = self._checkpointed(L.scores(asked.select(F.col("key").alias("ext_id"), "title", "author"), books))
+        d = L.decisions(scored, books).withColumnRenamed("ext_id", "key")
+        how = scored.select(F.col("ext_id").alias("key"), "book_id", "matched_by")
+        named = asked.select("key", "ext_id", F.col("title").alias("ext_title"), F.col("author").alias("ext_author"))
+        made = self._checkpointed(named.join(d, "key", "left").join(how, ["key", "book_id"], "left").withColumn("action", F.coalesce("action", F.lit("no-match"))))
+        fresh = made.where("action = 'linked'").select("key", "ext_id", "ext_title", "ext_author", "book_id", "score", F.lit("linked").alias("status"), "matched_by", when.alias("updated_at"))
+        self._replace("links", fresh, ["key"])
+        waiting = made.where("action = 'pending'").select("key", "ext_id", "ext_title", "ext_author", "candidates", when.alias("updated_at"))
+        self.write("pending", self.table("pending").join(made.select("key"), "key", "left_anti").unionByName(waiting))
+        reused = keyed.join(had, "key").select("key", "ext_id", F.col("title").alias("ext_title"), F.lit("reused").alias("action"), "book_id", "score")
+        return made.select("key", "ext_id", "ext_title", "action", "book_id", F.coalesce("score", F.lit(0.0)).alias("score")).unionByName(reused)
+
     def pending_links(self) -> DataFrame:
         return self.table("pending")
 
-    def find_highlight(self, text: str, *, book_id: str | None = None, title: str | None = None, ext_id: str | None = None, limit: int = HIGHLIGHTS) -> Result:
-        """The chunk a highlight stands in, by local book or through the links."""
+    def find_highlight(self, text: str, *, book_id: str | None = None, title: str | None = None, ext_id: str | None = None, limit: int = HIGHLIGHTS, include_chunk: bool = False, max_preview: int = 260) -> Result:
+        """The chunk a highlight stands in, by local book or through the links; ``include_chunk`` adds the first chunk itself."""
         mapping = "given"
         if book_id is None:
             want = self.spark.createDataFrame([(0, ext_id, title)], "query_id int, ext_id string, title string")
@@ -371,8 +484,9 @@ class Library:
                 return Result(action="pending", warnings=["the book isn't confirmed yet"])
             if book_id is None:
                 raise ValueError("no local book for this highlight")
-        hits = self.search_exact(text, check_book_id(book_id), limit=limit, max_preview=260).orderBy("ord").collect()
-        return Result(action=mapping, values={"book_id": book_id, "hits": hits, "chunk_id": hits[0]["chunk_id"] if hits else None}, warnings=[] if hits else ["the text stands in no chunk"])
+        hits = self.search_exact(text, check_book_id(book_id), limit=limit, max_preview=max_preview).orderBy("ord").collect()
+        more = {"chunk": self.get_chunk(book_id, hits[0]["chunk_id"]).first().asDict()} if include_chunk and hits else {}
+        return Result(action=mapping, values={"book_id": book_id, "hits": hits, "chunk_id": hits[0]["chunk_id"] if hits else None} | more, warnings=[] if hits else ["the text stands in no chunk"])
 
     def report(self, hits: DataFrame, most: int = 50) -> str:
         """Hits as text, for a terminal."""

@@ -107,7 +107,7 @@ def build(chunks: DataFrame, **options) -> dict[str, DataFrame]:
         raise ValueError("ngram_sizes may hold 2 and 3")
     if o["max_preview"] < 40:
         raise ValueError("max_preview must be 40 or more")
-    counts = cut(term_counts(chunks, min_length=o["min_term_length"], sizes=tuple(o["ngram_sizes"])), "counts")
+    counts = cut(term_counts(chunks, min_length=o["min_term_length"], sizes=tuple(dict.fromkeys(o["ngram_sizes"]))), "counts")
     kept = cut(pruned(counts, chunks, min_total=o["min_total_count"], max_ratio=o["max_chunk_ratio"]), "kept")
     rows = postings(kept, most=o["max_term_chunks"])
     return {

@@ -141,3 +141,22 @@ def highlight_context(highlights: DataFrame, chunks: DataFrame, *, max_preview:
     w = Window.partitionBy(*QUERY).orderBy("ord", "chunk_id")
     first = hits.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     return first.select("query_id", "book_id", "chunk_id", "ord", "score", search_preview(F.col("body"), F.col("query"), F.col("matched"), max_preview).alias("preview"))
+
+
+#: Fixed value: the place of a chunk the manifest doesn't know.
+LAST = 2**31 - 1
+
+
+def chunk_entries(manifest: DataFrame, index: DataFrame) -> DataFrame:
+    """All chunks of manifest and index (full outer join by book and chunk), the index's value first where it says something.
+
+    ``manifest`` has ``title, section_title, chunk_path, char_count, preview,
+    ord``, ``index`` all but ``ord``.  A chunk without a title is named by its
+    id, one the manifest doesn't know comes last.
+    """
+    text, cols = ("title", "section_title", "chunk_path", "preview"), ("title", "section_title", "chunk_path", "char_count", "preview")
+    m = manifest.select("book_id", "chunk_id", *(F.col(c).alias(f"m_{c}") for c in cols), F.col("ord").alias("m_ord"))
+    i = index.select("book_id", "chunk_id", *(F.col(c).alias(f"i_{c}") for c in cols))
+    said = lambda c: F.coalesce(*(F.when(F.col(f"{side}_{c}") != ("" if c in text else 0), F.col(f"{side}_{c}")) for side in "im"))
+    x = m.join(i, ["book_id", "chunk_id"], "full_outer")
+    return x.select("book_id", "chunk_id", F.coalesce(said("title"), "chunk_id").alias("chunk_title"), said("section_title").alias("section_title"), said("chunk_path").alias("chunk_path"), F.coalesce(said("char_count"), F.lit(0)).alias("char_count"), F.coalesce("m_ord", F.lit(LAST)).alias("ord"), F.coalesce(said("preview"), F.lit("")).alias("preview"))

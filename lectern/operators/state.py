@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import let, normalize_list, trim_ws
+from lectern.functions.text import WS, let, normalize_list, trim_ws
 
 #: Sections of a note, those shown by default, those that can be appended to.
 RECOVERY, LEGACY_RECOVERY = "阅读恢复区", "快速恢复区"
@@ -60,12 +60,14 @@ def resume(progress: DataFrame, chunks: DataFrame, asked: DataFrame | None = Non
     return t.join(c, (t["book_id"] == c["book_id"]) & (t["chunk_id"] == c["_cid"]), "left").select(t["book_id"], "chunk_id", "title", "ord", "char_count", "last_read_at", c["_cid"].isNotNull().alias("found"))
 
 
+def list_order() -> list[Column]:
+    return [F.desc_nulls_last("last_read_at"), F.desc_nulls_last("imported_at"), F.collate(F.coalesce("title", F.lit("")), "zh"), F.col("book_id")]
+
+
 def book_list(books: DataFrame, progress: DataFrame) -> DataFrame:
     """Books with their progress, by last reading, import and title (Chinese collation); no text is read."""
     x = books.join(progress.select("book_id", F.col("status").alias("reading_status"), "last_read_at"), "book_id", "left")
-    return x.select("book_id", "title", "author", "imported_at", F.coalesce(F.when(F.col("index_status") != "", F.col("index_status")), F.lit("not_built")).alias("index_status"), "reading_status", "last_read_at").orderBy(
-        F.desc_nulls_last("last_read_at"), F.desc_nulls_last("imported_at"), F.collate(F.coalesce("title", F.lit("")), "zh"), "book_id"
-    )
+    return x.select("book_id", "title", "author", "imported_at", F.coalesce(F.when(F.col("index_status") != "", F.col("index_status")), F.lit("not_built")).alias("index_status"), "reading_status", "last_read_at").orderBy(*list_order())
 
 
 def note_sections(notes: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -89,13 +91,32 @@ def note_sections(notes: DataFrame, keys: list[str], text: str = "text") -> Data
 
 
 def append_entries(entries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``keys, content``: entries ``(heading, content)`` of each key joined in order, as ``### heading`` blocks.
+    """``keys, content, refused``: entries ``(heading, content)`` of each key joined in order, as ``### heading`` blocks.
 
-    Content over 20,000 characters is refused (null content counts as empty).
+    Content over 20,000 characters is refused and counted (null content counts
+    as empty); a key all of whose entries are refused has empty content.
     """
     block = F.concat(F.lit("### "), F.coalesce("heading", F.lit("")), F.lit("\n\n"), F.coalesce("content", F.lit("")))
-    ok = entries.where(F.coalesce(F.length("content"), F.lit(0)) <= APPEND_LIMIT)
-    return ok.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, block.alias("_b")))), lambda x: x["_b"]), "\n\n").alias("content"))
+    ok = F.coalesce(F.length("content"), F.lit(0)) <= APPEND_LIMIT
+    kept = F.collect_list(F.when(ok, F.struct(*order, block.alias("_b"))))
+    return entries.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(kept), lambda x: x["_b"]), "\n\n").alias("content"), F.count_if(~ok).alias("refused"))
+
+
+def normal_markdown(c: Column) -> Column:
+    """Line ends as line feeds, no white space at the end but one line feed; the first legacy heading gets its present name."""
+    flat = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n"), WS + r"+\z", "")
+    at = F.regexp_instr(flat, F.lit(rf"(?m)^## {LEGACY_RECOVERY}$"))
+    named = F.when(at > 0, F.concat(F.substring(flat, F.lit(1), at - 1), F.lit(f"## {RECOVERY}"), F.substring(flat, at + len(f"## {LEGACY_RECOVERY}"), F.length(flat)))).otherwise(flat)
+    return F.concat(named, F.lit("\n"))
+
+
+def deciding_updates(updates: DataFrame) -> DataFrame:
+    """The updates that decide the state of their book: at most one for each field. The state of these is the state of all."""
+    at = F.struct("last_read_at", "received_at", "update_id")
+    row = F.struct(*updates.columns)
+    u = updates.where("book_id IS NOT NULL")
+    picks = [F.max_by(row, F.when(_given(c), at)) for c in FIELDS] + [F.max_by(row, F.when(F.col("current_themes").isNotNull(), at)), F.max_by(row, at)]
+    return u.groupBy("book_id").agg(F.array_distinct(F.array_compact(F.array(*picks))).alias("_r")).select(F.explode("_r").alias("_r")).select("_r.*")
 
 
 def note_skeleton(books: DataFrame) -> DataFrame:

@@ -294,7 +294,13 @@ SELECT doc_id, book_id, chunk_id, CAST(ord AS BIGINT) AS ord, CAST(100 + 5 * ((l
 x AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS pos FROM l),
 y AS (SELECT *, regexp_matches(line, '^##\\s+\\S') AS head, sum(CASE WHEN regexp_matches(line, '^##\\s+\\S') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM x)
 SELECT doc_id, CAST(sec - 1 AS BIGINT) AS section_no, max({_trim("regexp_replace(line, '^##\\s+', '')")}) FILTER (head) AS heading, {_trim("coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head), '')")} AS content FROM y WHERE sec > 0 GROUP BY doc_id, sec""",
-        "note_append": f"SELECT book_id, string_agg('### note ' || doc_id || chr(10) || chr(10) || {_inline('text')}, chr(10) || chr(10) ORDER BY doc_id) AS content FROM documents WHERE doc_kind IN ('highlight', 'note') AND book_id IS NOT NULL AND length({_inline('text')}) <= 20000 GROUP BY book_id",
+        "note_append": f"SELECT book_id, coalesce(string_agg('### note ' || doc_id || chr(10) || chr(10) || {_inline('text')}, chr(10) || chr(10) ORDER BY doc_id) FILTER (length({_inline('text')}) <= 20000), '') AS content, count(*) FILTER (length({_inline('text')}) > 20000) AS refused FROM documents WHERE doc_kind IN ('highlight', 'note') AND book_id IS NOT NULL GROUP BY book_id",
+        "note_markdown_normal": f"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '# n' || chr(10) || chr(10) || '## 阅读恢复区' || chr(10) || {_sub('text', '\\r\\n?', 'chr(10)')} || chr(10) || '## 快速恢复区' || chr(10) || ' x' WHEN text IS NULL THEN '' ELSE {_sub('text', '\\r\\n?', 'chr(10)')} END AS t FROM documents) SELECT doc_id, coalesce({_sub('t', f'{_WS}+$', chr(39) * 2)}, '') || chr(10) AS markdown FROM t",
+        "progress_deciding": f"WITH {_PROGRESS} SELECT book_id, last_chunk_id, next_chunk_id, status, note_path, array_to_string(current_themes, '|') AS current_themes, last_read_at, recency_seq FROM progress",
+        "chunk_entries": f"""WITH {_CHUNKS}, f AS (SELECT book_id, chunk_id, coalesce(preview, '') AS preview FROM chunks QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id ORDER BY loaded_at NULLS LAST, coalesce(preview, '')) = 1),
+p AS (SELECT DISTINCT book_id, chunk_id FROM postings WHERE book_id IS NOT NULL AND chunk_id IS NOT NULL AND hit_count > 0), i AS (SELECT p.book_id, p.chunk_id, f.preview FROM p LEFT JOIN f USING (book_id, chunk_id))
+SELECT coalesce(m.book_id, i.book_id) AS book_id, coalesce(m.chunk_id, i.chunk_id) AS chunk_id, coalesce(nullif(m.title, ''), m.chunk_id, i.chunk_id) AS chunk_title, nullif(m.section_title, '') AS section_title, coalesce('index/' || i.chunk_id, nullif(m.chunk_path, '')) AS chunk_path, CAST(coalesce(m.char_count, 0) AS BIGINT) AS char_count, CAST(coalesce(m.ord, 2147483647) AS BIGINT) AS ord, coalesce(nullif(i.preview, ''), m.preview, '') AS preview
+FROM chunks_live m FULL OUTER JOIN i ON m.book_id = i.book_id AND m.chunk_id = i.chunk_id""",
         "note_skeletons": f"""WITH {_BOOKS}, b AS (SELECT book_id, coalesce(nullif(title, ''), book_id) AS t, coalesce(author, '') AS a FROM books_live), n AS (SELECT chr(10) AS n)
 SELECT book_id, h.heading, CAST(h.ordinal AS BIGINT) AS ordinal, CASE h.ordinal WHEN 0 THEN '- localBookId: ' || book_id || n || '- localTitle: ' || t || n || '- wereadTitle: ' || n || '- author: ' || a || n || '- lastChunkId: ' || n || '- nextChunkId: ' || n || '- lastPath: ' || n || '- nextPath: ' || n || '- lastSectionTitle: ' || n || '- lastReadAt: ' || n || '- noteUpdatedAt: ' || n || '- currentThemes: ' || n || '- currentMode: ' WHEN 1 THEN '暂无。' WHEN 2 THEN '暂无。' ELSE '' END AS content
 FROM b, n, (VALUES ('阅读恢复区', 0), ('当前理解', 1), ('下次入口', 2), ('摘录与想法', 3), ('段落共读记录', 4), ('交叉关联', 5)) h(heading, ordinal)""",

@@ -299,6 +299,24 @@ def note_append(spark: SparkSession, d: str) -> DataFrame:
     return P.append_entries(e, ["book_id"], ["doc_id"])
 
 
+def note_markdown_normal(spark: SparkSession, d: str) -> DataFrame:
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# n\r\n\r\n## 快速恢复区\r\n"), "text", F.lit("\n## 快速恢复区\n x  \n\n"))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", P.normal_markdown(t).alias("markdown"))
+
+
+def progress_deciding(spark: SparkSession, d: str) -> DataFrame:
+    """The state of each book from its deciding updates alone: the same as from the whole log."""
+    return P.latest_progress(P.deciding_updates(table(spark, d, "progress_updates"))).withColumn("current_themes", _joined("current_themes"))
+
+
+def chunk_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the manifests and of the delivered index together; the index's values come from its postings and the first delivery of a chunk."""
+    first = table(spark, d, "chunks").groupBy("book_id", "chunk_id").agg(F.min(F.struct(F.coalesce("loaded_at", F.lit("9999-01-01").cast("timestamp_ntz")).alias("at"), F.coalesce("preview", F.lit("")).alias("preview"))).alias("f"))
+    posted = table(spark, d, "postings").where("book_id IS NOT NULL AND chunk_id IS NOT NULL AND hit_count > 0").select("book_id", "chunk_id").distinct()
+    index = posted.join(first, ["book_id", "chunk_id"], "left").select("book_id", "chunk_id", F.lit("").alias("title"), F.lit(None).cast("string").alias("section_title"), F.concat(F.lit("index/"), "chunk_id").alias("chunk_path"), F.lit(0).alias("char_count"), "f.preview")
+    return S.chunk_entries(_chunks(spark, d, "title", "section_title", "chunk_path", "char_count", "preview", "ord"), index).withColumn("ord", F.col("ord").cast("long")).withColumn("char_count", F.col("char_count").cast("long"))
+
+
 def note_skeletons(spark: SparkSession, d: str) -> DataFrame:
     return P.note_skeleton(_books(spark, d)).select("book_id", "heading", F.col("ordinal").cast("long").alias("ordinal"), "content")
 
@@ -340,7 +358,7 @@ _QUERIES = (
     split_sections, sentence_split, hard_split, segment_documents, chunk_links, chunk_stats, short_chunks,
     term_counts, postings_pruned, postings_top50, chunk_keywords, keyword_back_fill, chunk_index, index_summary, postings_valid,
     query_tokens, keyword_search_all, keyword_search_mixed, keyword_search_book, keyword_fallback, exact_search_all, exact_search_book, occurrence_count, highlight_context,
-    progress_latest, recent_books, resume_books, list_books, index_status, book_manifest, note_sections, note_append, note_skeletons,
+    progress_latest, recent_books, resume_books, list_books, index_status, book_manifest, note_sections, note_append, note_markdown_normal, note_skeletons, progress_deciding, chunk_entries,
     link_scores, link_decisions, link_dedupe, link_remaining, link_keys,
 )
 

@@ -18,6 +18,16 @@ def kind_of(path):
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)\z", 1))
 
 
+def check(spark: SparkSession, path: str) -> None:
+    """Refuses a path (or glob) that names nothing, and a single file of another kind."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    if not found:
+        raise ValueError(f"{path} does not exist")
+    if len(found) == 1 and found[0].isFile() and found[0].getPath().getName().rsplit(".", 1)[-1].lower() not in KINDS:
+        raise ValueError(f"{path} is no file of kind {', '.join(KINDS)}")
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """``path, content, kind`` of the supported files under a path or glob."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

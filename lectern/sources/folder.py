@@ -46,7 +46,10 @@ def manifest_rows(path: str, data: dict) -> Rows:
     stats = data.get("chunkStats") or {}
     index = data.get("index") or {}
     book = (_text(data.get("bookId")), _text(data.get("title")), _text(data.get("author")), _text(data.get("sourceType")), _text(data.get("sourcePath")), _text(data.get("sourceHash")), instant(data.get("importedAt")), _number(data.get("maxChars")), _number(data.get("minChars")), _number(data.get("sectionCount")), _number(data.get("totalChars")), _number(data.get("initialChunkCount")), _number(data.get("chunkCount")), _number(stats.get("averageChars")), _number(stats.get("minChunkChars")), _number(stats.get("maxChunkChars")), _text(index.get("status")) or "not_built", instant(index.get("updatedAt")))
-    for k, c in enumerate(data.get("chunks") or []):
+    chunks = data.get("chunks") or []
+    if not chunks:  # the book without a chunk
+        yield (*book, *([None] * 13))
+    for k, c in enumerate(chunks):
         words = [w for w in c.get("keywords") or [] if isinstance(w, str)]
         yield (*book, _text(c.get("id")), _text(c.get("title")), _text(c.get("sectionTitle")), _number(c.get("order")) if _number(c.get("order")) is not None else k, (_text(c.get("path")) or "").replace("\\", "/"), _number(c.get("charCount")), _number(c.get("wordCount")), _text(c.get("preview")), _text(c.get("chunkHash")), words, _text(c.get("summary")), _text(c.get("prevId")), _text(c.get("nextId")))
 
@@ -68,7 +71,7 @@ def progress_rows(path: str, data: dict) -> Rows:
     place = {b: len(recent) - k for k, b in reversed(list(enumerate(recent)))}
     for book, e in (data.get("books") or {}).items():
         themes = [t.strip() for t in e.get("currentThemes") or [] if isinstance(t, str) and t.strip()] if isinstance(e.get("currentThemes"), list) else []
-        yield book, _text(e.get("lastChunkId")), _text(e.get("nextChunkId")), _text(e.get("status")), _text(e.get("notePath")), themes, instant(e.get("lastReadAt")), place.get(book, 0)
+        yield book, _text(e.get("lastChunkId")), _text(e.get("nextChunkId")), _text(e.get("status")), _text(e.get("notePath")), _text(e.get("lastPath")), _text(e.get("nextPath")), _text(e.get("lastSectionTitle")), _text(e.get("title")), _text(e.get("author")), themes, instant(e.get("lastReadAt")), place.get(book, 0)
 
 
 def link_rows(path: str, data: dict) -> Rows:
@@ -81,7 +84,7 @@ def link_rows(path: str, data: dict) -> Rows:
 _BOOK = "book_id string, title string, author string, source_type string, source_path string, source_hash string, imported_at timestamp_ntz, max_chars int, min_chars int, section_count int, total_chars bigint, initial_chunk_count int, chunk_count int, average_chunk_chars int, min_chunk_chars int, max_chunk_chars int, index_status string, index_updated_at timestamp_ntz"
 _CHUNK = "chunk_id string, chunk_title string, section_title string, ord int, chunk_path string, char_count int, word_count int, preview string, chunk_hash string, keywords array<string>, summary string, prev_id string, next_id string"
 _POSTING = "book_id string, term string, chunk_id string, count bigint, rank int"
-_PROGRESS = "book_id string, last_chunk_id string, next_chunk_id string, status string, note_path string, current_themes array<string>, last_read_at timestamp_ntz, recency_seq bigint"
+_PROGRESS = "book_id string, last_chunk_id string, next_chunk_id string, status string, note_path string, last_path string, next_path string, last_section_title string, title string, author string, current_themes array<string>, last_read_at timestamp_ntz, recency_seq bigint"
 _LINK = "kind string, ext_id string, ext_title string, ext_author string, book_id string, score double, status string, matched_by array<string>, candidates array<struct<book_id:string,score:double,matched_by:array<string>>>, updated_at timestamp_ntz"
 
 
@@ -106,10 +109,11 @@ def _parsed(files: DataFrame, rows: Callable[[str, dict], Rows], schema: str) ->
 
 
 def _scan(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    try:
-        return spark.read.format("binaryFile").load(f"{root}/{pattern}").select("path", "content")
-    except Exception:  # noqa: BLE001 - no file of this kind
+    """Files of one kind; none is an empty table, but a file that can't be read is an error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where):
         return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load(f"{root}/{pattern}").select("path", "content")
 
 
 def read_folder(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -125,7 +129,7 @@ def read_folder(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
     text = bodies.mapInPandas(strip, "book_id string, chunk_path string, text string")
     cols = T._parse_datatype_string(_CHUNK).names
-    chunks = per_chunk.select("book_id", *cols).withColumnRenamed("chunk_title", "title").join(text, ["book_id", "chunk_path"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    chunks = per_chunk.where("chunk_id IS NOT NULL").select("book_id", *cols).withColumnRenamed("chunk_title", "title").join(text, ["book_id", "chunk_path"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     notes = _scan(spark, root, "notes/*.md").select(F.regexp_extract("path", r"([^/]+)\.md\z", 1).alias("book_id"), F.decode("content", "UTF-8").alias("text"))
     links = _parsed(_scan(spark, root, "book-map.json"), link_rows, _LINK)
     return {

@@ -18,7 +18,7 @@ from lectern.sources import files
 
 
 def ingest_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, *, max_chars: int = G.MAX_CHARS) -> StreamingQuery:
-    """Text and Markdown files that appear in ``folder`` are segmented into ``out/chunks`` and counted into ``out/terms``.
+    """Text, Markdown and EPUB files that appear in ``folder`` are segmented into ``out/chunks`` and counted into ``out/terms``.
 
     A batch writes into folders named by its id and overwrites them if it is
     run again, so a restart neither loses nor doubles a file.
@@ -26,10 +26,10 @@ def ingest_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, *
     ship(spark)
     schema = "path string, modificationTime timestamp, length long, content binary"
     raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
-    found = raw.select("path", "content", files.kind_of(F.col("path")).alias("kind")).where(F.col("kind").isin("txt", "md"))
+    found = raw.select("path", "content", files.kind_of(F.col("path")).alias("kind")).where(F.col("kind").isin(*files.KINDS))
 
     def batch(df: DataFrame, no: int) -> None:
-        books = files.text_books(df).where("error IS NULL").select(F.sha2("path", 256).alias("book_id"), "original")
+        books = files.text_books(df).unionByName(files.epub_books(df)).where("error IS NULL").select(F.sha2("path", 256).alias("book_id"), "original")
         chunks = G.segment(books, max_chars=max_chars, text="original")
         chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={no}")
         made = df.sparkSession.read.parquet(f"{out}/chunks/batch={no}")
@@ -45,13 +45,19 @@ def progress_windows(updates: DataFrame, *, late: str = "30 days", size: str = "
 
 
 def progress_state(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Progress state by book, rewritten as a new version with each micro-batch of updates."""
+    """Progress state by book, a new version with each micro-batch of updates.
+
+    From one batch to the next only the updates that decide a field are kept
+    (at most one for each field of a book), so a batch costs its own rows and
+    the books, however long the log has become.
+    """
     ship(spark)
     raw = spark.readStream.schema(schema).parquet(source)
 
     def batch(df: DataFrame, no: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/log/batch={no}")
-        everything = df.sparkSession.read.option("basePath", f"{out}/log").parquet(f"{out}/log").drop("batch")
-        P.latest_progress(everything).write.mode("overwrite").parquet(f"{out}/state/version={no}")
+        read = df.sparkSession.read.schema(df.schema)
+        known = df.unionByName(read.parquet(f"{out}/deciding/version={no - 1}")) if no else df
+        P.deciding_updates(known).write.mode("overwrite").parquet(f"{out}/deciding/version={no}")
+        P.latest_progress(read.parquet(f"{out}/deciding/version={no}")).write.mode("overwrite").parquet(f"{out}/state/version={no}")
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

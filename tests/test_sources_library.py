@@ -173,3 +173,74 @@ def test_adopt_folder_and_command_line(spark, tmp_path, capsys):
     for args, part in ((["search", "fog", "--all"], "fog / Fog"), (["exact", "--book-id", "fog", "fog fog"], "score 105"), (["list"], "[built]"), (["index", "--all"], "1 terms"), (["link", "--pending"], "fog (0.75)"), (["link", "--title", "Fog"], "linked"), (["--json", "search", "fog", "--all"], '"score"')):
         root = ["--root", str(tmp_path / "lib")]
         assert part in cli.run(lib, cli.parser().parse_args([*root, *args])), args
+
+
+def test_fields_flags_and_reports(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "fog.txt").write_text("Chapter 1\n\n" + "fog fog lamp lamp. " * 30, encoding="utf-8")
+    (d / "void.txt").write_text("x", encoding="utf-8")
+    lib = Library(spark, str(tmp_path / "lib"))
+    lib.import_books(str(d))
+    assert {(r["book_id"], r["problem"]) for r in lib.problems().collect()} == {("fog", "not indexed"), ("void", "not indexed")}
+    built = lib.build_index(every=True, max_chunk_ratio=1.0)
+    rows = {r["book_id"]: r for r in built.collect()}
+    assert rows["fog"]["term_count"] == 2 and rows["fog"]["bytes"] > 10 and rows["fog"]["warning"] is None and rows["void"]["warning"] == "no term is kept"
+    assert lib.build_summary(built) == {"succeeded": 1, "failed": 1, "warnings": 1} and lib.problems().count() == 0
+    assert '"max_chunk_ratio": 1.0' in lib.table("books").first()["index_options"]
+    assert "text_preview" not in lib.search("fog", every=True).columns
+    assert len(lib.search("fog", every=True, include_text=True).first()["text_preview"]) > 400 and lib.search_exact("fog fog", every=True, include_text=True).first()["text_preview"].startswith("fog fog")
+    book, _, warnings = lib.manifest("fog", include_raw=True)
+    assert '"chunk_id": "ch000"' in book.first()["raw"] and not warnings
+    lib.update_progress("fog", last_chunk_id="ch000", last_path="chunks/ch000.md", last_section_title="Chapter 1", title="Fog")
+    lib.update_progress("fog", next_path="chunks/ch001.md", author="Ann")
+    p = lib.progress("fog").first()
+    assert (p["last_path"], p["next_path"], p["last_section_title"], p["title"], p["author"]) == ("chunks/ch000.md", "chunks/ch001.md", "Chapter 1", "Fog", "Ann")
+    assert "reading_status" not in lib.list_books(include_progress=False).columns and "index_status" not in lib.list_books(include_index_status=False).columns
+    assert lib.list_books(include_stats=True).first()["chunk_count"] == 1
+    hit = lib.find_highlight("fog fog lamp", book_id="fog", include_chunk=True, max_preview=80)
+    assert hit.values["chunk"]["text"].startswith("fog") and len(hit.values["hits"][0]["preview"]) <= 84
+    for bad in (lambda: lib.update_progress("fog", note_path="../../x"), lambda: lib.get_chunk("fog", path="../../../x"), lambda: lib.import_books(str(tmp_path / "none")), lambda: lib.import_books(__file__)):
+        with pytest.raises(ValueError):
+            bad()
+    versions = [p for p in (tmp_path / "lib" / "progress").iterdir() if p.is_dir()]
+    assert len(versions) == 2 and not [p for p in (tmp_path / "lib" / "progress").iterdir() if p.name.startswith("NEXT")]
+
+
+def test_many_records_are_linked_in_one_plan(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    for name in ("fog", "rain tales"):
+        (d / f"{name}.txt").write_text("x y z")
+    lib = Library(spark, str(tmp_path / "lib"))
+    lib.import_books(str(d))
+    ext = spark.createDataFrame([("1", "Fog", None), ("2", "Rain", None), ("3", "Snow", None), (None, None, None), ("1", "Fog", None)], "ext_id string, title string, author string")
+    got = {r["ext_id"]: (r["action"], r["book_id"]) for r in lib.link_many(ext).collect()}
+    assert got["1"] == ("linked", "fog") and got["2"][0] == "pending" and got["3"][0] == "no-match"
+    assert lib.table("links").first()["matched_by"] == ["normalizedTitle", "localBookId"] and lib.pending_links().count() == 1
+    assert {r["ext_id"]: r["action"] for r in lib.link_many(ext).collect()}["1"] == "reused"
+
+
+def test_state_stream_keeps_only_what_decides(spark, tmp_path):
+    from lectern.operators import state
+    from lectern.streaming.ingest import progress_state
+
+    schema = "update_id bigint, book_id string, last_chunk_id string, next_chunk_id string, status string, current_themes array<string>, note_path string, last_read_at timestamp_ntz, received_at timestamp_ntz"
+    t = datetime(2025, 1, 1)
+    rows = [(n, "b", f"ch{n}", None if n else "chx", "" if n % 2 else "reading", ["a"] if n == 1 else None, None, t.replace(day=1 + n % 9), t) for n in range(30)] + [(99, "c", None, None, None, None, None, None, None), (100, None, "x", None, None, None, None, t, t)]
+    src = tmp_path / "src"
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], schema).coalesce(1).write.mode("append").parquet(str(src))
+        progress_state(spark, str(src), schema, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    want = {tuple(map(str, r)) for r in state.latest_progress(spark.createDataFrame(rows, schema)).collect()}
+    assert {tuple(map(str, r)) for r in spark.read.parquet(str(tmp_path / "out" / "state" / "version=2")).collect()} == want
+    assert spark.read.parquet(str(tmp_path / "out" / "deciding" / "version=2")).count() <= 12
+
+
+def test_a_file_that_cannot_be_read_is_an_error(spark, tmp_path):
+    from lectern.sources.folder import read_folder
+
+    (tmp_path / "books" / "e").mkdir(parents=True)
+    (tmp_path / "books" / "e" / "manifest.json").write_text('{"bookId": "e", "title": "E"}')
+    found = read_folder(spark, str(tmp_path))
+    assert found["books"].first()["book_id"] == "e" and found["chunks"].count() == 0 and found["progress"].count() == 0
