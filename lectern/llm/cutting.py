@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.index import live
+
 #: Tokens: blank-line gaps, other space runs, words, runs of closing signs, single signs.
 _TOKEN = regex.compile(r"\s*\n\s*\n\s*|\s+|[\p{L}\p{M}\p{N}_]+|[.!?。！？…।॥]+[\p{Pe}\p{Pf}\"'”’」』》）]*|[^\p{L}\p{M}\p{N}_\s]")
 #: What ends a sentence, a clause.
@@ -108,12 +110,15 @@ def pieces(df: DataFrame, keys: list[str], text: str = "text", limit: str = "max
 
 
 def chunk_pieces(chunks: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Pieces of the oversized chunks; a chunk loaded twice is cut once.
+    """Pieces of the oversized chunks; a chunk loaded again is cut once, as it was loaded last.
 
     ``chunks.char_count`` is never consulted.  ``profiles`` has one row per
-    import profile, so Spark's own size check lets it broadcast.
+    import profile, so Spark's own size check lets it broadcast.  Chunks no
+    longer than the smallest limit leave first; of the others the latest
+    delivery is told by keys and times, and no text is shuffled.
     """
     limits = profiles.select("import_profile", "max_chars", "overlap_chars").dropDuplicates(["import_profile"])
-    over = chunks.select("book_id", "chunk_id", "import_profile", "text", "loaded_at").join(limits, "import_profile").where("length(text) > max_chars")
-    last = over.groupBy("book_id", "chunk_id").agg(F.max(F.struct("loaded_at", "max_chars", "overlap_chars", "text")).alias("r")).select("book_id", "chunk_id", "r.*")
+    least = limits.agg(F.min("max_chars")).first()[0]
+    long = chunks.select("book_id", "chunk_id", "import_profile", "text", "loaded_at").where(F.length("text") > (1 << 31) - 1 if least is None else F.length("text") > least)
+    last = live(long, ["book_id", "chunk_id"], "loaded_at").join(limits, "import_profile").where("length(text) > max_chars")
     return pieces(last, ["book_id", "chunk_id"])

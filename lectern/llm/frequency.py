@@ -40,12 +40,12 @@ RANGE = 1 << 16
 FLUSH_TERMS = 1 << 20
 
 #: What counts as an outer space of a term.
-_OUTER = "[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+"
+_OUTER = "".join(map(chr, (*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 
 def normal_term(c: Column) -> Column:
     """Without outer spaces and in lower case."""
-    return F.lower(F.regexp_replace(c, f"^{_OUTER}|{_OUTER}\\z", ""))
+    return F.lower(F.btrim(c, F.lit(_OUTER)))
 
 
 def live_postings(postings: DataFrame) -> DataFrame:
@@ -63,10 +63,10 @@ def live_postings(postings: DataFrame) -> DataFrame:
 
 
 def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Count arrays of one block. A row without a term carries the block's number of records."""
+    """Count arrays of one block, whose rows come record by record. A row without a term carries the block's number of records."""
     code: dict[str, int] = {}
     hits, seen = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-    records: set[int] = set()
+    records, last = 0, None
     out = ["term", "hits", "records"]
 
     def partial() -> pa.RecordBatch:
@@ -84,7 +84,10 @@ def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         # every row is one (record, term), so presence is the number of rows
         hits[: len(code)] += np.bincount(ids, weights=b.column(1).to_numpy(zero_copy_only=False), minlength=len(code)).astype(np.int64)[: len(code)]
         seen[: len(code)] += np.bincount(ids, minlength=len(code))[: len(code)]
-        records.update(np.unique(b.column(2).to_numpy(zero_copy_only=False)).tolist())
+        rec = b.column(2).to_numpy(zero_copy_only=False)
+        if len(rec):
+            records += int((rec[1:] != rec[:-1]).sum()) + (rec[0] != last)
+            last = rec[-1]
         if len(code) >= FLUSH_TERMS:
             yield partial()
             code.clear()
@@ -92,7 +95,7 @@ def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     if code:
         yield partial()
     if records:
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([len(records)], pa.int64())], names=out)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([int(records)], pa.int64())], names=out)
 
 
 def _sum_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,6 +129,7 @@ def term_counts(postings: DataFrame) -> tuple[DataFrame, int]:
     result and 0 records; other columns of the input are ignored.
     """
     live = live_postings(postings)
+    live = live.sortWithinPartitions("book_id", "chunk_id")  # which the aggregate has done already
     blocks = cut(live.select("term", "hits", F.xxhash64("book_id", "chunk_id").alias("record")).mapInArrow(_block_counts, "term string, hits long, records long"), "blocks")
     total = blocks.where("term IS NULL").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     partial = blocks.where("term IS NOT NULL")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-_P2 = """
-WITH kept AS (SELECT book_id, chunk_id, lower(regexp_replace(term, '^[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{3000}\\x{feff}]+|[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{3000}\\x{feff}]+$', '', 'g')) AS term, hit_count, indexed_at FROM postings),
+_SPACE = "[\\s\\x{0b}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+"
+_P2 = f"""
+WITH kept AS (SELECT book_id, chunk_id, lower(regexp_replace(term, '^{_SPACE}|{_SPACE}$', '', 'g')) AS term, hit_count, indexed_at FROM postings),
 live AS (SELECT book_id, chunk_id, term, hit_count FROM kept WHERE term <> '' AND hit_count >= 1
   QUALIFY row_number() OVER (PARTITION BY book_id, chunk_id, term ORDER BY indexed_at DESC NULLS LAST, hit_count DESC) = 1),
 n AS (SELECT count(*) AS n FROM (SELECT DISTINCT book_id, chunk_id FROM live)),
