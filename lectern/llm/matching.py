@@ -1,9 +1,16 @@
 """Problem 3: records of two tables that describe the same thing, without a shared key.
 
 Method: cross-table retrieval.  The right side is an inverted index over all
-attributes scored by BM25; each left record asks it with exact top-k pruning;
-a pair stays if each is among the other's nearest; its confidence comes from
-the gap to the best different candidate through a fitted logistic curve.
+attributes scored by BM25; each left record asks it with exact pruning; a work
+stays if it is the nearest of the record and the record is among the nearest of
+the work; the confidence comes from the gap to the best different work, and
+from the share of the possible score, through a fitted logistic curve.  An
+exact check of volume, authors and spelling follows.
+
+The curve is fitted on truth that is known by construction: a bounded sample
+of right records is garbled (letters swapped or lost, authors shortened, turned
+round or left out) and asked with the left ones in the same pass, once with
+its own work in the index and once as if that weren't there.
 
 Pruning is exact: a pair below ``FLOOR`` of what the asking record's title
 could score at most can't be a match, so terms are taken rarest first until
@@ -23,12 +30,14 @@ No table here is broadcast: each grows with the data, and the files of a
 written one are far smaller than the table in memory, so every join merges.
 
 Both sides are first reduced to their distinct forms (folded title, volume,
-authors), so copies, re-deliveries and popular titles are matched once.
+authors), so copies, re-deliveries and popular titles are matched once.  A work
+is all forms of one title: its volumes and copies score alike and are no rivals.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -52,10 +61,10 @@ FLOOR = 0.4
 SLIP = 0.6
 #: Share at which an unknown pair of signs counts in the highest possible score, as one slip spoils up to three.
 SPOILT = 0.4
-#: Candidates looked at for each record.
+#: Works looked at for each record. Only a nearest work is accepted, so any number above 1 loses none.
 TOP_K = 12
-#: Pairs on which the confidence curve is fitted, at most.
-FIT_PAIRS = 20_000
+#: Right records that are garbled to fit the confidence curve, at most; each is asked twice.
+PROBES = 1_000
 
 #: Letters that still look alike once capitals are folded.
 _LOW = str.maketrans("кмтнвεακτιυχоοд", "kmthbeaktiuxooд")
@@ -285,14 +294,15 @@ def slips(asked: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``(l, r, score, self)``: of each left form the ``TOP_K`` right forms by BM25 (ties with the last included), exactly.
+    """``(l, r, core, score, self)``: of each left form the right forms of its ``TOP_K`` best works by BM25 (ties with the last included), exactly.
 
-    ``self`` is the highest score the title of the left form could reach.
+    ``self`` is the highest score the title of the left form could reach,
+    ``core`` the title of the right form.
     """
     post = right.select("form", F.size("term").alias("len"), F.explode("term").alias("x")).select("form", "len", F.col("x.t").alias("t"), F.col("x.w").alias("w"))
     n, mean = right.agg(F.count(F.lit(1)), F.avg(F.size("term"))).first()
     if not n:
-        return left.select(F.col("form").alias("l"), F.col("form").alias("r"), F.lit(0.0).alias("score"), F.lit(0.0).alias("self")).where("false")
+        return left.select(F.col("form").alias("l"), F.col("form").alias("r"), F.lit("").alias("core"), F.lit(0.0).alias("score"), F.lit(0.0).alias("self")).where("false")
     gain = F.col("w") * (K1 + 1) / (F.col("w") + K1 * (1 - B + B * F.col("len") / F.lit(float(mean))))
     rarity = F.pow(F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), RARITY)
     stats = cut(post.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.max(gain).alias("gain")).select("t", "df", rarity.alias("rarity"), (F.col("gain") * rarity).alias("top")), "stats")
@@ -319,8 +329,59 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     rv = index.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("t", "s"))).alias("rv"))
     more = F.aggregate("lt", F.lit(0.0), lambda acc, x: acc + x["f"] * F.coalesce(F.try_element_at("rv", x["t"]), F.lit(0.0)))
     full = open_.join(lq.hint("merge"), "l", "left").join(rv.hint("merge"), "r").withColumn("score", F.col("s") + F.coalesce(more, F.lit(0.0)))
-    best = Window.partitionBy("l").orderBy(F.desc("score"))
-    return full.where(F.col("score") >= FLOOR * F.col("self")).select("l", "r", "score", "self", F.rank().over(best).alias("k")).where(F.col("k") <= TOP_K).drop("k")
+    scored = full.where(F.col("score") >= FLOOR * F.col("self")).select("l", "r", "score", "self").join(right.select(F.col("form").alias("r"), "core").hint("merge"), "r")
+    scored = scored.withColumn("work", F.max("score").over(Window.partitionBy("l", "core")))
+    best = Window.partitionBy("l").orderBy(F.desc("work"))
+    return scored.withColumn("k", F.dense_rank().over(best)).where(F.col("k") <= TOP_K).select("l", "r", "core", "score", "self")
+
+
+def garbled(core: str, volume: int, authors: list[tuple[str, ...]], rnd: random.Random) -> tuple[str, int, list[tuple[str, ...]]]:
+    """A record of the same work as another source may hold it."""
+    signs = list(core)
+    for _ in range(rnd.choice((0, 0, 1, 1, 2)) if len(signs) > 6 else 0):
+        k = rnd.randrange(1, len(signs) - 1)
+        if rnd.random() < 0.5:
+            signs[k], signs[k + 1 :] = (signs[k + 1], [signs[k], *signs[k + 2 :]]) if k + 1 < len(signs) else (signs[k], [])
+        else:
+            del signs[k]
+    how = rnd.random()
+    if how < 0.3:
+        authors = []
+    elif how < 0.5:
+        authors = [tuple(sorted([a[0][:1], *a[1:]])) for a in authors]
+    return " ".join("".join(signs).split()), volume, authors
+
+
+def probes(right: DataFrame, most: int) -> tuple[DataFrame, dict[int, str]]:
+    """Garbled forms of a bounded sample of ``right``, numbered -1, -2, ..., and the title each was made from."""
+    rows, origin = [], {}
+    for r in bounded_sample(right.select("form", "core", "volume", "authors"), most, "form").collect():
+        rnd = random.Random(r["form"])
+        for _ in range(2):
+            core, volume, authors = garbled(r["core"], r["volume"], [tuple(a) for a in r["authors"]], rnd)
+            if core:
+                origin[-len(rows) - 1] = r["core"]
+                rows.append((-len(rows) - 1, core, volume, [list(a) for a in authors], list(terms(core, authors).items()), skipped_pairs(core)))
+    return right.sparkSession.createDataFrame(rows, _FORM), origin
+
+
+def _features(works: pd.DataFrame) -> pd.DataFrame:
+    """``gap`` and ``share`` of works ``(l, core, score, self)``: the gap is that to the best other work of the record."""
+    w = works.sort_values(["l", "score"], ascending=[True, False], kind="stable")
+    first, second = w.groupby("l")["score"].transform("max"), w.groupby("l")["score"].transform(lambda x: x.iloc[1] if len(x) > 1 else 0.0)
+    rival = np.where(w.groupby("l").cumcount() == 0, second, first)
+    return w.assign(gap=(w["score"] - rival) / w["score"].clip(lower=1e-9), share=np.minimum(w["score"] / w["self"].clip(lower=1e-9), 1.0))
+
+
+def fit_curve(works: pd.DataFrame, origin: dict[int, str]) -> np.ndarray:
+    """Weights of gap and share (last: intercept), from the works the probes met, with and without their own."""
+    if not len(works):
+        return np.array([4.0, 4.0, -3.0])
+    own = works["core"] == works["l"].map(origin)
+    seen = _features(works).assign(y=lambda x: (x["core"] == x["l"].map(origin)).astype(float))
+    apart = _features(works[~own]).assign(y=0.0)
+    both = pd.concat([seen, apart])
+    return _fit_logistic(both[["gap", "share"]].to_numpy(), both["y"].to_numpy())
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -338,45 +399,44 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
-def link(left: DataFrame, left_cols: tuple[str, str, str], right: DataFrame, right_cols: tuple[str, str, str], *, least: float = 0.5, mutual: float = 0.4) -> DataFrame:
+def link(left: DataFrame, left_cols: tuple[str, str, str], right: DataFrame, right_cols: tuple[str, str, str], *, least: float = 0.2, mutual: float = 0.4) -> DataFrame:
     """``(left id, right id, score, confidence)`` of the matching records.
 
+    A pair needs a confidence of ``least`` or more (the exact check decides among
+    the doubtful ones); its work must be the nearest
+    of the record, and the record's share at least ``mutual`` times the best share any
+    record reaches with this work (several records may describe one work).
     A left record can match several right ones only where these are the same
-    work (copies).  Null or empty titles match nothing; a missing author
+    work (copies), or where it names no author and works share a title.  Null
+    or empty titles match nothing; a missing author
     neither speaks for nor against a pair.
     """
     l_ids, l_forms = forms(left, *left_cols)
     r_ids, r_forms = forms(right, *right_cols)
-    found = candidates(l_forms, r_forms)
+    asked, origin = probes(r_forms, PROBES)
+    found = cut(candidates(l_forms.unionByName(asked), r_forms), "found")
+    works = found.groupBy("l", "core").agg(F.max("score").alias("score"), F.first("self").alias("self"))
+    w = fit_curve(works.where(F.col("l").between(-len(origin), -1)).toPandas(), origin)
+    # the gap to the best other work of the record, and how near the record is among those of the work
+    per_l, per_r = Window.partitionBy("l").orderBy(F.desc("score"), "core"), Window.partitionBy("core")
+    ranked = works.where(~F.col("l").between(-len(origin), -1)).withColumn("n", F.row_number().over(per_l)).where("n <= 2").withColumn("second", F.lead("score").over(per_l))
+    near = ranked.withColumn("first", F.max("score").over(Window.partitionBy("l"))).where(F.col("score") >= F.col("first"))
+    rival = F.when(F.col("n") == 1, F.coalesce("second", F.lit(0.0))).otherwise(F.col("first"))
+    near = near.withColumn("gap", (F.col("score") - rival) / F.col("score")).withColumn("share", F.least(F.col("score") / F.col("self"), F.lit(1.0)))
+    confidence = 1 / (1 + F.exp(-(F.col("gap") * float(w[0]) + F.col("share") * float(w[1]) + float(w[2]))))
+    near = near.withColumn("confidence", confidence).withColumn("best", F.max("share").over(per_r))
+    near = near.where((F.col("confidence") >= least) & (F.col("share") >= mutual * F.col("best"))).select("l", "core", "confidence")
     a = l_forms.select(F.col("form").alias("l"), F.col("core").alias("lc"), F.col("volume").alias("lv"), F.col("authors").alias("la"))
-    b = r_forms.select(F.col("form").alias("r"), F.col("core").alias("rc"), F.col("volume").alias("rv"), F.col("authors").alias("ra"))
+    b = r_forms.select(F.col("form").alias("r"), F.col("volume").alias("rv"), F.col("authors").alias("ra"))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            t = [title_likeness(p, q) for p, q in zip(x["lc"], x["rc"])]
-            w = [author_likeness([tuple(n) for n in p], [tuple(n) for n in q]) for p, q in zip(x["la"], x["ra"])]
-            yield x[["l", "r", "score", "self"]].assign(title=t, author=w, volume=(x["lv"] == x["rv"]).astype(float))
-
-    pairs = cut(found.join(a.hint("merge"), "l").join(b.hint("merge"), "r").mapInPandas(judge, "l long, r long, score double, self double, title double, author double, volume double"), "pairs")
-    # a title without its subtitle is enough only together with the author
-    same = (F.col("title") > 0.7) & (F.col("author") > 0) & (F.col("volume") == 1) & ((F.col("title") != 0.8) | (F.col("author") > 0.5))
-    per_l, per_r = Window.partitionBy("l"), Window.partitionBy("r")
-    # the gap: how far the best rival lies behind; another volume, or another author's work of the title, is settled and no rival
-    ranked = pairs.withColumn("same", same).withColumn("rival", F.coalesce(F.max(F.when(~F.col("same") & (F.col("volume") == 1) & (F.col("author") > 0), F.col("score"))).over(per_l), F.lit(0.0)))
-    ranked = ranked.withColumn("gap", (F.col("score") - F.col("rival")) / F.col("score")).withColumn("share", F.col("score") / F.col("self"))
-    cols = ["gap", "title", "author"]
-    sure = ranked.where("volume = 1 AND author <> 0.5 AND ((same AND title = 1) OR (NOT same AND (title = 0 OR author = 0)))").select(*cols, F.col("same").cast("double").alias("y"), "l", "r")
-    sure = bounded_sample(sure, FIT_PAIRS, "l", "r").drop("l", "r").toPandas()
-    if sure["y"].nunique() > 1:
-        # half of the pairs once more without an author, for records that name none
-        hidden = sure[::2][(sure["y"][::2] == 1) | (sure["title"][::2] == 0)].assign(author=0.5)
-        both = pd.concat([sure, hidden])
-        w = _fit_logistic(both[cols].to_numpy(), both["y"].to_numpy())
-    else:
-        w = np.array([2.0, 8.0, 4.0, -7.0])
-    logit = sum((F.col(c) * F.lit(float(v)) for c, v in zip(cols, w)), F.lit(float(w[-1])))
-    kept = ranked.where("same").withColumn("confidence", 1 / (1 + F.exp(-logit)))
-    # nearest of the left: an equal title beats a likely one; nearest of the right: within a share of its best
-    kept = kept.withColumn("t_best", F.max("title").over(per_l)).withColumn("a_best", F.max("author").over(per_l)).withColumn("r_best", F.max(F.least("share", F.lit(1.0))).over(per_r))
-    kept = kept.where((F.col("title") >= F.col("t_best") - 0.02) & (F.least("share", F.lit(1.0)) >= mutual * F.col("r_best")) & (F.col("confidence") >= least))
+            t = np.array([title_likeness(p, q) for p, q in zip(x["lc"], x["core"])])
+            w = np.array([author_likeness([tuple(n) for n in p], [tuple(n) for n in q]) for p, q in zip(x["la"], x["ra"])])
+            # a title without its subtitle is enough only together with the author
+            same = (t > 0.7) & (w > 0) & (x["lv"] == x["rv"]).to_numpy() & ((t != 0.8) | (w > 0.5)) if len(x) else np.zeros(0, bool)
+            yield x.loc[same, ["l", "r", "score", "confidence"]].assign(author=w[same])
+
+    pairs = found.join(near.hint("merge"), ["l", "core"]).join(a.hint("merge"), "l").join(b.hint("merge"), "r")
+    kept = pairs.select("l", "r", "score", "confidence", "lc", "core", "lv", "rv", "la", "ra").mapInPandas(check, "l long, r long, score double, confidence double, author double").drop("author")
     return kept.join(l_ids.withColumnRenamed("id", left_cols[0]).hint("merge"), kept["l"] == l_ids["form"]).drop("form").join(r_ids.withColumnRenamed("id", right_cols[0]).hint("merge"), kept["r"] == r_ids["form"]).select(left_cols[0], right_cols[0], "score", "confidence").groupBy(left_cols[0], right_cols[0]).agg(F.max("score").alias("score"), F.max("confidence").alias("confidence"))
