@@ -222,6 +222,16 @@ sg AS (SELECT doc_id, count(*) AS initial, list([{{'title': title, 'section': se
 made AS (SELECT CAST(doc_id AS VARCHAR) AS book_id, initial, list_reduce(parts, lambda acc, x: list_transform([{ahead}], lambda s: {behind})[1], CAST([] AS {row})) AS parts FROM sg)"""
 
 
+_SKELETONS = f"""{_BOOKS}, b AS (SELECT book_id, coalesce(nullif(title, ''), book_id) AS t, coalesce(author, '') AS a FROM books_live), n AS (SELECT chr(10) AS n),
+skeletons AS (SELECT book_id, h.heading, CAST(h.ordinal AS BIGINT) AS ordinal, CASE h.ordinal WHEN 0 THEN '- localBookId: ' || book_id || n || '- localTitle: ' || t || n || '- wereadTitle: ' || n || '- author: ' || a || n || '- lastChunkId: ' || n || '- nextChunkId: ' || n || '- lastPath: ' || n || '- nextPath: ' || n || '- lastSectionTitle: ' || n || '- lastReadAt: ' || n || '- noteUpdatedAt: ' || n || '- currentThemes: ' || n || '- currentMode: ' WHEN 1 THEN '暂无。' WHEN 2 THEN '暂无。' ELSE '' END AS content
+FROM b, n, (VALUES ('阅读恢复区', 0), ('当前理解', 1), ('下次入口', 2), ('摘录与想法', 3), ('段落共读记录', 4), ('交叉关联', 5)) h(heading, ordinal))"""
+_NOTES = f"""{_SKELETONS}, {_PROGRESS},
+fresh AS (SELECT book_id, '当前理解' AS heading, coalesce(status, '') AS content FROM progress WHERE book_id IN (SELECT book_id FROM books_live)
+  UNION ALL SELECT book_id, 'theme ' || t, t FROM (SELECT book_id, unnest(list_distinct(current_themes)) AS t FROM progress WHERE book_id IN (SELECT book_id FROM books_live))),
+notes AS (SELECT s.book_id, s.heading, s.ordinal, coalesce(f.content, s.content) AS content FROM skeletons s LEFT JOIN fresh f ON s.book_id = f.book_id AND s.heading = f.heading
+  UNION ALL SELECT book_id, heading, 5 + row_number() OVER (PARTITION BY book_id ORDER BY heading), content FROM fresh WHERE heading LIKE 'theme %')"""
+
+
 def oracle_sql() -> dict[str, str]:
     with_terms = f"WITH {_CHUNKS}, {_terms()}"
     score = " + ".join(f"{w} * (length(t) - length(regexp_replace(t, '{p}', '', 'g')))" for p, w in (("\\x{fffd}", 30), ("\\x{0000}", 20), ("[\\x{01}-\\x{08}\\x{0b}\\x{0c}\\x{0e}-\\x{1f}]", 10), ("[锟斤拷ÃÂÐÑÊÖÎ]", 2)))
@@ -259,6 +269,20 @@ p AS (SELECT ext_id, max(length(et)) AS len, max(score) FILTER (n = 1) AS score,
 a AS (SELECT *, CASE WHEN score >= CASE WHEN len <= 2 THEN 0.93 ELSE 0.88 END THEN 'linked' WHEN score >= 0.65 THEN 'pending' ELSE 'no-match' END AS action FROM p)
 SELECT ext_id, action, CASE WHEN action = 'linked' THEN book_id END AS book_id, score, CAST(CASE WHEN action = 'pending' THEN c END AS INTEGER) AS candidates FROM a""",
         "link_keys": f"SELECT entry_id, CASE WHEN trim(coalesce(weread_book_id, ''), ' ') <> '' THEN 'id:' || trim(weread_book_id, ' ') ELSE 'title:' || {_title_key('weread_title')} || '::author:' || {_author_key('weread_author')} END AS link_key FROM (SELECT DISTINCT entry_id, weread_book_id, weread_title, weread_author FROM book_map)",
+        "epub_sections": f"""WITH t AS (SELECT doc_id, doc_kind, source, {_inline('text')} AS body FROM documents WHERE text <> '')
+SELECT 'doc-' || doc_id || '.epub' AS path, 'Doc ' || doc_id AS title, nullif(source, '') AS author, n AS section_no, CASE n WHEN 0 THEN coalesce(nullif(doc_kind, ''), 'c1') ELSE 'part2' END AS section_title, CASE n WHEN 0 THEN {_clean("coalesce(doc_kind, '') || chr(10) || chr(10) || body")} ELSE '* a' END AS text, CAST(NULL AS VARCHAR) AS error FROM t, (VALUES (CAST(0 AS BIGINT)), (1)) c(n)""",
+        "html_like": "SELECT DISTINCT doc_kind, media, CASE WHEN media IS NULL OR media = '' THEN true WHEN media = 'image/svg+xml' THEN coalesce(contains(doc_kind, 'text/html'), true) ELSE true END AS html FROM documents, (VALUES ('text/HTML; charset=utf-8'), ('application/xhtml+xml'), ('image/svg+xml'), (''), (NULL)) m(media)",
+        "safe_file_names": f"SELECT DISTINCT book_id, title || '?:\"a<b>|*. .' AS title, {_sub(_sub("title || '?:\"a<b>|*. .'", '[<>:\"/\\\\|?*\\x00-\\x1F]', "'_'"), '[. ]+$', "''")} AS name, {_value("' “《' || title || '?:\"a<b>|*. .' || '》” '")} AS value FROM books",
+        "note_upserts": f"WITH {_NOTES} SELECT book_id, heading, ordinal, content FROM notes",
+        "note_documents": f"""WITH {_NOTES}, m AS (SELECT n.book_id, '# ' || coalesce(nullif(any_value(b.title), ''), n.book_id) || chr(10) || chr(10) || string_agg('## ' || heading || CASE WHEN content <> '' THEN chr(10) || chr(10) || content ELSE '' END, chr(10) || chr(10) ORDER BY ordinal) || chr(10) AS t FROM notes n JOIN books_live b USING (book_id) GROUP BY n.book_id)
+SELECT book_id, substring(t, 1, 400) AS text, length(t) > 400 AS truncated FROM m""",
+        "link_resolved": f"""WITH {_BOOKS}, f AS (SELECT DISTINCT weread_book_id AS ext_id, weread_title AS ext_title, book_id FROM book_map JOIN books_live ON weread_title = title WHERE weread_book_id IS NOT NULL),
+l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY ext_id ORDER BY book_id, ext_title) = 1), w AS (SELECT DISTINCT weread_book_id AS ext_id, weread_title AS title FROM book_map),
+i AS (SELECT ext_id, min(book_id) AS b1 FROM l GROUP BY ext_id), t AS (SELECT ext_title AS title, min(book_id) AS b2 FROM l GROUP BY ext_title),
+pi AS (SELECT DISTINCT weread_book_id AS ext_id, true AS p1 FROM book_map WHERE status = 'pending'), pt AS (SELECT DISTINCT weread_title AS title, true AS p2 FROM book_map WHERE status = 'pending')
+SELECT ext_id, title, coalesce(b1, b2) AS book_id, CASE WHEN coalesce(b1, b2) IS NOT NULL THEN 'linked' WHEN coalesce(p1, p2) THEN 'pending' ELSE 'unknown' END AS mapping FROM w LEFT JOIN i USING (ext_id) LEFT JOIN t USING (title) LEFT JOIN pi USING (ext_id) LEFT JOIN pt USING (title)""",
+        "link_open": f"""WITH {_BOOKS}, k AS (SELECT DISTINCT entry_id, weread_title, CASE WHEN trim(coalesce(weread_book_id, ''), ' ') <> '' THEN 'id:' || trim(weread_book_id, ' ') ELSE 'title:' || {_title_key('weread_title')} || '::author:' || {_author_key('weread_author')} END AS key FROM book_map)
+SELECT DISTINCT entry_id, key FROM k WHERE key NOT IN (SELECT key FROM k WHERE weread_title IN (SELECT title FROM books_live))""",
         "decoded_texts": "SELECT doc_id, codec, CASE WHEN codec <> 'UTF-8' AND length(text) = 0 THEN '' ELSE text END AS decoded FROM documents, (VALUES ('UTF-8'), ('UTF-8-BOM'), ('UTF-16LE-BOM')) c(codec) WHERE text IS NOT NULL",
         "chunk_links": f"WITH {_CHUNKS} SELECT book_id, chunk_id, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id FROM chunks_live WINDOW w AS (PARTITION BY book_id ORDER BY ord, chunk_id)",
         "chunk_stats": f"WITH {_CHUNKS}, s AS (SELECT book_id, coalesce(char_count, 0) AS n FROM chunks_live) SELECT book_id, count(*) AS chunk_count, CAST(sum(n) AS BIGINT) AS total_chars, CAST(floor(avg(n) + 0.5) AS BIGINT) AS average_chunk_chars, CAST(min(n) AS BIGINT) AS min_chunk_chars, CAST(max(n) AS BIGINT) AS max_chunk_chars FROM s GROUP BY book_id",
@@ -301,9 +325,7 @@ SELECT doc_id, CAST(sec - 1 AS BIGINT) AS section_no, max({_trim("regexp_replace
 p AS (SELECT DISTINCT book_id, chunk_id FROM postings WHERE book_id IS NOT NULL AND chunk_id IS NOT NULL AND hit_count > 0), i AS (SELECT p.book_id, p.chunk_id, f.preview FROM p LEFT JOIN f USING (book_id, chunk_id))
 SELECT coalesce(m.book_id, i.book_id) AS book_id, coalesce(m.chunk_id, i.chunk_id) AS chunk_id, coalesce(nullif(m.title, ''), m.chunk_id, i.chunk_id) AS chunk_title, nullif(m.section_title, '') AS section_title, coalesce('index/' || i.chunk_id, nullif(m.chunk_path, '')) AS chunk_path, CAST(coalesce(m.char_count, 0) AS BIGINT) AS char_count, CAST(coalesce(m.ord, 2147483647) AS BIGINT) AS ord, coalesce(nullif(i.preview, ''), m.preview, '') AS preview
 FROM chunks_live m FULL OUTER JOIN i ON m.book_id = i.book_id AND m.chunk_id = i.chunk_id""",
-        "note_skeletons": f"""WITH {_BOOKS}, b AS (SELECT book_id, coalesce(nullif(title, ''), book_id) AS t, coalesce(author, '') AS a FROM books_live), n AS (SELECT chr(10) AS n)
-SELECT book_id, h.heading, CAST(h.ordinal AS BIGINT) AS ordinal, CASE h.ordinal WHEN 0 THEN '- localBookId: ' || book_id || n || '- localTitle: ' || t || n || '- wereadTitle: ' || n || '- author: ' || a || n || '- lastChunkId: ' || n || '- nextChunkId: ' || n || '- lastPath: ' || n || '- nextPath: ' || n || '- lastSectionTitle: ' || n || '- lastReadAt: ' || n || '- noteUpdatedAt: ' || n || '- currentThemes: ' || n || '- currentMode: ' WHEN 1 THEN '暂无。' WHEN 2 THEN '暂无。' ELSE '' END AS content
-FROM b, n, (VALUES ('阅读恢复区', 0), ('当前理解', 1), ('下次入口', 2), ('摘录与想法', 3), ('段落共读记录', 4), ('交叉关联', 5)) h(heading, ordinal)""",
+        "note_skeletons": f"WITH {_SKELETONS} SELECT book_id, heading, ordinal, content FROM skeletons",
         "link_dedupe": "SELECT weread_book_id, entry_id, weread_title, updated_at FROM book_map WHERE weread_book_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY weread_book_id ORDER BY updated_at DESC NULLS LAST, received_at DESC NULLS LAST, entry_id DESC, weread_title DESC NULLS LAST) = 1",
         "link_remaining": f"WITH {_BOOKS} SELECT DISTINCT entry_id, weread_title FROM book_map WHERE weread_title IS NOT NULL AND weread_title NOT IN (SELECT title FROM books_live WHERE title IS NOT NULL AND book_id IN (SELECT book_id FROM progress_updates WHERE book_id IS NOT NULL))",
         "query_tokens": f"""WITH q AS (SELECT DISTINCT entry_id, weread_title AS query, {_clean('weread_title')} AS t FROM book_map WHERE weread_title IS NOT NULL),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import html
+import io
+import zipfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ from lectern.operators import segment as G
 from lectern.operators import state as P
 from lectern.runtime import cut, ship, table
 from lectern.sources.decode import decoded
+from lectern.sources.epub import epub_rows
 from lectern.sources.html import html_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +120,44 @@ def decoded_texts(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", "codec", decoded(data).alias("decoded"))
 
 
+def _epub_of(doc_id: int, heading: str | None, author: str | None, body: str) -> bytes:
+    """A small EPUB of one text: a cover, navigation, a style sheet, a missing item, two chapters."""
+    esc = html.escape
+    items = {"cover": ("cover.xhtml", "application/xhtml+xml", ""), "nav": ("n.xhtml", "application/xhtml+xml", "nav"), "css": ("s.css", "text/css", ""), "c1": ("c1.xhtml", "application/xhtml+xml", ""), "c2": ("sub\\part2.xhtml", "", "")}
+    listed = "".join(f'<item id="{k}" href="{h}" media-type="{m}" properties="{p}"/>' for k, (h, m, p) in items.items())
+    by = f"<dc:creator>{esc(author)}</dc:creator>" if author else ""
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/p.opf"/></rootfiles></container>')
+        z.writestr("OEBPS/p.opf", f'<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>Doc {doc_id}</dc:title>{by}</metadata><manifest>{listed}</manifest><spine>{"".join(f'<itemref idref="{k}"/>' for k in ("cover", "nav", "gone", "css", "c1", "c2"))}</spine></package>')
+        z.writestr("OEBPS/cover.xhtml", "<p>cover</p>")
+        z.writestr("OEBPS/n.xhtml", "<p>nav</p>")
+        z.writestr("OEBPS/c1.xhtml", f"<html><head><style>x</style></head><body>{f'<h2>{esc(heading)}</h2>' if heading else ''}<p>{esc(body)}</p></body></html>")
+        z.writestr("OEBPS/sub/part2.xhtml", "<ul><li>a</li></ul>")
+    return buf.getvalue()
+
+
+def epub_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Every document written as an EPUB and read back: container, package, spine, headings, text."""
+    t = table(spark, d, "documents").where("text <> ''").select("doc_id", "doc_kind", "source", T.inline(F.col("text")).alias("body"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": [f"doc-{i}.epub" for i in b["doc_id"]], "content": [_epub_of(*x) for x in b[["doc_id", "doc_kind", "source", "body"]].itertuples(index=False, name=None)]})
+
+    return epub_rows(t.mapInPandas(write, "path string, content binary")).withColumn("section_no", F.col("section_no").cast("long"))
+
+
+def html_like(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a document of each kind counts as HTML under each of some media types."""
+    types = F.explode(F.array(F.lit("text/HTML; charset=utf-8"), F.lit("application/xhtml+xml"), F.lit("image/svg+xml"), F.lit(""), F.lit(None).cast("string"))).alias("media")
+    return table(spark, d, "documents").select("doc_kind", types).distinct().select("doc_kind", "media", T.html_like(F.concat(F.col("media"), F.when(F.col("media") == "image/svg+xml", F.col("doc_kind")).otherwise(""))).alias("html"))
+
+
+def safe_file_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "books").select("book_id", F.concat("title", F.lit('?:"a<b>|*. .')).alias("title")).distinct().select("book_id", "title", T.safe_file_name(F.col("title")).alias("name"), T.metadata_value(F.concat(F.lit(" “《"), "title", F.lit("》” "))).alias("value"))
+
+
 def front_matter_stripped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.strip_front_matter(F.col("text")).alias("body"))
 
@@ -317,6 +360,25 @@ def chunk_entries(spark: SparkSession, d: str) -> DataFrame:
     return S.chunk_entries(_chunks(spark, d, "title", "section_title", "chunk_path", "char_count", "preview", "ord"), index).withColumn("ord", F.col("ord").cast("long")).withColumn("char_count", F.col("char_count").cast("long"))
 
 
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    """The notes of all books after each got what its reader does last, and a section of its own for each theme."""
+    b = P.note_skeleton(_books(spark, d))
+    p = P.latest_progress(table(spark, d, "progress_updates")).where("book_id IS NOT NULL")
+    new = p.select("book_id", F.lit(P.SECTIONS[1]).alias("heading"), F.coalesce("status", F.lit("")).alias("content"))
+    own = p.select("book_id", F.explode(F.array_distinct("current_themes")).alias("t")).select("book_id", F.concat(F.lit("theme "), F.col("t")).alias("heading"), F.col("t").alias("content"))
+    known = _books(spark, d).select("book_id")
+    return P.upsert_section(b, new.unionByName(own).join(known, "book_id", "left_semi"))
+
+
+def note_upserts(spark: SparkSession, d: str) -> DataFrame:
+    return _notes(spark, d).select("book_id", "heading", F.col("ordinal").cast("long").alias("ordinal"), "content")
+
+
+def note_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every note as one document, as it is read with a limit of 400 characters."""
+    return P.note_markdown(_notes(spark, d), _books(spark, d)).select("book_id", T.truncated(F.col("markdown"), 400).alias("t")).select("book_id", "t.text", "t.truncated")
+
+
 def note_skeletons(spark: SparkSession, d: str) -> DataFrame:
     return P.note_skeleton(_books(spark, d)).select("book_id", "heading", F.col("ordinal").cast("long").alias("ordinal"), "content")
 
@@ -348,18 +410,40 @@ def link_remaining(spark: SparkSession, d: str) -> DataFrame:
     return L.remove(m, read, "weread_title").select("entry_id", "weread_title")
 
 
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    """External records whose title is that of a book, as links."""
+    m = table(spark, d, "book_map").select(F.col("weread_book_id").alias("ext_id"), F.col("weread_title").alias("ext_title"), "weread_author")
+    return m.join(_books(spark, d).select(F.col("title").alias("ext_title"), "book_id"), "ext_title").select("ext_id", "ext_title", "weread_author", "book_id").distinct()
+
+
+def link_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """The local book of every external record: by id, else by title; of the others those marked pending wait."""
+    links = _linked(spark, d).where("ext_id IS NOT NULL").groupBy("ext_id").agg(F.min(F.struct("book_id", "ext_title")).alias("x")).select("ext_id", "x.book_id", "x.ext_title")
+    wanted = table(spark, d, "book_map").select("weread_book_id", "weread_title").distinct().select(F.xxhash64("weread_book_id", "weread_title").alias("query_id"), F.col("weread_book_id").alias("ext_id"), F.col("weread_title").alias("title"))
+    pending = table(spark, d, "book_map").where("status = 'pending'").select(F.col("weread_book_id").alias("ext_id"), F.col("weread_title").alias("ext_title"))
+    found = L.resolve(wanted, links, pending)
+    return wanted.join(found, "query_id").select("ext_id", "title", "book_id", "mapping")
+
+
+def link_open(spark: SparkSession, d: str) -> DataFrame:
+    """External records left to score once those linked before are taken out, by key."""
+    m = table(spark, d, "book_map").select("entry_id", L.link_key(F.col("weread_book_id"), F.col("weread_title"), F.col("weread_author")).alias("key")).distinct()
+    done = _linked(spark, d).select(L.link_key(F.col("ext_id"), F.col("ext_title"), F.col("weread_author")).alias("key")).distinct()
+    return L.remove(m, done, "key").select("entry_id", "key")
+
+
 def link_keys(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "book_map").select("entry_id", "weread_book_id", "weread_title", "weread_author").distinct()
     return m.select("entry_id", L.link_key(F.col("weread_book_id"), F.col("weread_title"), F.col("weread_author")).alias("link_key"))
 
 
 _QUERIES = (
-    clean_text, inline_preview, count_words, content_hash, misdecode_score, chapter_titles, truncated_text, file_stems, html_headings, html_to_text, skippable_names, document_metadata, header_metadata, decoded_texts, front_matter_stripped, safe_book_ids,
+    clean_text, inline_preview, count_words, content_hash, misdecode_score, chapter_titles, truncated_text, file_stems, html_headings, html_to_text, skippable_names, document_metadata, header_metadata, decoded_texts, epub_sections, html_like, safe_file_names, front_matter_stripped, safe_book_ids,
     split_sections, sentence_split, hard_split, segment_documents, chunk_links, chunk_stats, short_chunks,
     term_counts, postings_pruned, postings_top50, chunk_keywords, keyword_back_fill, chunk_index, index_summary, postings_valid,
     query_tokens, keyword_search_all, keyword_search_mixed, keyword_search_book, keyword_fallback, exact_search_all, exact_search_book, occurrence_count, highlight_context,
-    progress_latest, recent_books, resume_books, list_books, index_status, book_manifest, note_sections, note_append, note_markdown_normal, note_skeletons, progress_deciding, chunk_entries,
-    link_scores, link_decisions, link_dedupe, link_remaining, link_keys,
+    progress_latest, recent_books, resume_books, list_books, index_status, book_manifest, note_sections, note_append, note_markdown_normal, note_upserts, note_documents, note_skeletons, progress_deciding, chunk_entries,
+    link_scores, link_decisions, link_dedupe, link_remaining, link_resolved, link_open, link_keys,
 )
 
 
