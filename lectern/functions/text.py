@@ -107,10 +107,14 @@ def search_preview(text: Column, query: Column, matched: Column, most: int) -> C
     return let(inline(text), around)
 
 
+#: Names of documents that aren't part of the reading text.
+SKIPPED_WORDS, SKIPPED_TITLES = "cover|nav|toc|titlepage|copyright|contents", "目录|封面|版权"
+
+
 def skippable_name(c: Column) -> Column:
     """Names of covers, tables of contents and the like."""
     c = F.lower(F.coalesce(c, F.lit("")))
-    return c.rlike("目录|封面|版权") | c.rlike(r"^(cover|nav|toc|titlepage|copyright|contents)[-_]?\d*\z") | c.rlike(r"(^|[-_])(cover|nav|toc|titlepage|copyright|contents)([-_]|\z)")
+    return c.rlike(SKIPPED_TITLES) | c.rlike(rf"^(?:{SKIPPED_WORDS})[-_]?\d*\z") | c.rlike(rf"(?:^|[-_])(?:{SKIPPED_WORDS})(?:[-_]|\z)")
 
 
 def html_like(media_type: Column) -> Column:
@@ -130,8 +134,15 @@ def metadata_value(c: Column) -> Column:
     return F.when((v != "") & (F.length(v) <= 120), v)
 
 
+#: What no author begins with; lines that name a title or an author; keys of front matter.
+NO_AUTHOR = r"^(?:第[一二三四五六七八九十百千万零〇0-9]+[章节回篇卷部]|(?i:Chapter)\s+)"
+TITLE_LINES = (r"^(?:书名|标题)\s*[:：]\s*(.+)\z", r"(?i)^Title\s*:\s*(.+)\z")
+AUTHOR_LINES = (r"^(?:作者|著者)\s*[:：]\s*(.+)\z", r"(?i)^Author\s*:\s*(.+)\z", r"(?i)^By\s+(.+)\z")
+FRONT_TITLE, FRONT_AUTHOR = r"(?i)^title\s*:\s*(.+)\z", r"(?i)^author\s*:\s*(.+)\z"
+
+
 def valid_author(c: Column) -> Column:
-    return c.isNotNull() & (F.length(c) <= 80) & ~is_chapter_title(c) & ~c.rlike(r"^(?:第[一二三四五六七八九十百千万零〇0-9]+[章节回篇卷部]|(?i:Chapter)\s+)")
+    return c.isNotNull() & (F.length(c) <= 80) & ~is_chapter_title(c) & ~c.rlike(NO_AUTHOR)
 
 
 def _first(lines: Column, pick) -> Column:
@@ -144,14 +155,14 @@ def _group(line: Column, pattern: str) -> Column:
 
 def infer_metadata(text: Column, path: Column) -> Column:
     """``struct(title, author)`` from front matter or the first 30 lines; the title defaults to the file stem."""
-    title_of = lambda x: metadata_value(F.coalesce(_group(x, r"^(?:书名|标题)\s*[:：]\s*(.+)\z"), _group(x, r"(?i)^Title\s*:\s*(.+)\z")))
-    author_of = lambda x: metadata_value(F.coalesce(_group(x, r"^(?:作者|著者)\s*[:：]\s*(.+)\z"), _group(x, r"(?i)^Author\s*:\s*(.+)\z"), _group(x, r"(?i)^By\s+(.+)\z")))
+    title_of = lambda x: metadata_value(F.coalesce(*(_group(x, p) for p in TITLE_LINES)))
+    author_of = lambda x: metadata_value(F.coalesce(*(_group(x, p) for p in AUTHOR_LINES)))
 
     def of_lines(lines: Column) -> Column:
         end = F.array_position(F.slice(lines, 2, 29), "---")
         front = F.when((F.try_element_at(lines, F.lit(1)) == "---") & (end > 1), F.slice(lines, F.lit(2), (end - 1).cast("int"))).otherwise(F.array().cast("array<string>"))
-        title_fm = _first(front, lambda x: metadata_value(_group(x, r"(?i)^title\s*:\s*(.+)\z")))
-        author_fm = _first(front, lambda x: metadata_value(_group(x, r"(?i)^author\s*:\s*(.+)\z")))
+        title_fm = _first(front, lambda x: metadata_value(_group(x, FRONT_TITLE)))
+        author_fm = _first(front, lambda x: metadata_value(_group(x, FRONT_AUTHOR)))
         title = F.coalesce(title_fm, _first(lines, title_of), file_stem(path))
         author = F.coalesce(author_fm, _first(lines, lambda x: F.when(valid_author(author_of(x)), author_of(x))))
         return F.struct(title.alias("title"), author.alias("author"))

@@ -1,7 +1,9 @@
 """The library: one folder of Parquet tables and the calls a reader makes on it.
 
-Tables are written as new versions and switched by a pointer file, so a plan
-never reads the files it replaces, and a reader sees either version whole.
+Tables are written by bucket of their key.  A change writes new versions of the
+buckets it touches and switches them by a pointer file, so a plan never reads
+the files it replaces, a reader sees either state whole, and the call for one
+book reads and writes one bucket.
 Every method returns a DataFrame (or a small result object) and checks its
 arguments first.
 """
@@ -12,10 +14,12 @@ import json
 import os
 import re
 import uuid
+import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +35,8 @@ from lectern.sources import files
 
 #: Caps of replies.
 MAX_MANIFEST_CHUNKS, MANIFEST_CHUNKS, RAW_CHARS, NOTE_CHARS, HIGHLIGHTS, INDEX_WARNING = 1000, 300, 200_000, 12_000, 5, 10 << 20
+#: Buckets of a table by its key, and tasks that write one bucket of a large table.
+BUCKETS, SPREAD = 64, 8
 STATE_VARIABLE = "READING_STATE_DIR"
 
 BOOKS = "book_id string, title string, author string, source_type string, source_path string, source_hash string, imported_at timestamp_ntz, max_chars int, min_chars int, section_count int, total_chars bigint, initial_chunk_count int, chunk_count int, average_chunk_chars int, min_chunk_chars int, max_chunk_chars int, index_status string, index_updated_at timestamp_ntz, index_options string"
@@ -60,6 +66,11 @@ def check_book_id(book_id: str | None) -> str:
     return book_id
 
 
+def bucket_of(key: Column) -> Column:
+    """Bucket of a row by its key; :meth:`Library._in` computes the same on the driver."""
+    return F.pmod(F.crc32(F.coalesce(key, F.lit("")).cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
 def safe_join(base: str, *parts: str) -> str:
     """A path under ``base``; one that leads out of it is refused."""
     root = os.path.normpath(base)
@@ -90,58 +101,82 @@ class Library:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/CURRENT")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def table(self, name: str) -> DataFrame:
-        """The current version of a table; empty, with its schema, before anything was written."""
-        version = self._version(name)
-        if version is None:
+    def table(self, name: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The current version of a table, or of some of its buckets; empty, with its schema, before anything was written."""
+        parts = self._parts(name)
+        paths = [f"{self.root}/{name}/{v}/_b={b}" for b, v in sorted(parts.items()) if buckets is None or b in buckets]
+        if not paths:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(T._parse_datatype_string(TABLES[name])).parquet(f"{self.root}/{name}/{version}")
+        return self.spark.read.schema(T._parse_datatype_string(TABLES[name])).parquet(*paths)
 
     def write(self, name: str, df: DataFrame) -> None:
-        """A new version of a table, then the pointer: readers of the old version aren't disturbed."""
+        """A new version of a whole table."""
+        self._switch(name, self._stored(name, df))
+
+    def _stored(self, name: str, df: DataFrame) -> dict[int, str]:
+        """Writes rows by bucket of their key; a large bucket is spread over several tasks. Returns ``{bucket: version}``."""
         version = uuid.uuid4().hex
         schema = T._parse_datatype_string(TABLES[name])
-        out = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
-        keyed = "book_id" in schema.names and name in ("chunks", "postings", "chunk_index")
-        (out.repartition("book_id").sortWithinPartitions("book_id") if keyed else out).write.parquet(f"{self.root}/{name}/{version}")
-        self._switch(name, version)
+        out = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema), bucket_of(F.col(schema.names[0])).alias("_b"))
+        if name in ("chunks", "postings", "chunk_index"):
+            out = out.repartition("_b", F.pmod(F.xxhash64("book_id", "chunk_id"), F.lit(SPREAD))).sortWithinPartitions("_b", "book_id")
+        out.write.partitionBy("_b").parquet(f"{self.root}/{name}/{version}")
+        fs, path = self._pointer(name)
+        made = [f.getPath().getName() for f in fs.listStatus(path.getParent().suffix(f"/{version}")) if f.isDirectory()]
+        return {int(m.removeprefix("_b=")): version for m in made if m.startswith("_b=")}
 
-    def _switch(self, name: str, version: str) -> None:
-        """The pointer is renamed into place, so that it names the old version or the new one, never half a name.
+    def _switch(self, name: str, parts: dict[int, str]) -> None:
+        """The pointer is renamed into place, so that it names the old parts or the new ones, never half of them.
 
-        The version before stays for readers that still use it; older ones are removed.
+        The parts before stay for readers that still use them; older ones are removed.
         """
         fs, path = self._pointer(name)
-        jvm = self.spark.sparkContext._jvm
-        hadoop = jvm.org.apache.hadoop.fs
-        fresh = hadoop.Path(f"{self.root}/{name}/NEXT-{version}")
-        old = self._version(name)
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        fresh = hadoop.Path(f"{self.root}/{name}/NEXT-{uuid.uuid4().hex}")
+        used = {*self._parts(name).items(), *parts.items()}
         stream = fs.create(fresh, True)
         try:
-            stream.writeUTF(version)
+            stream.writeUTF(json.dumps(parts))
         finally:
             stream.close()
         how = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
         how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
         full = fs.makeQualified(path)
         hadoop.FileContext.getFileContext(full.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), full, how)
+        versions = {v for _, v in used}
         for f in fs.listStatus(path.getParent()):
-            if f.isDirectory() and f.getPath().getName() not in (version, old):
+            version = f.getPath().getName()
+            if f.isDirectory() and version not in versions:
                 fs.delete(f.getPath(), True)
-
-    def _version(self, name: str) -> str | None:
+            elif f.isDirectory():
+                for g in fs.listStatus(f.getPath()):
+                    part = g.getPath().getName()
+                    if part.startswith("_b=") and (int(part.removeprefix("_b=")), version) not in used:
+                        fs.delete(g.getPath(), True)
+
+    def _parts(self, name: str) -> dict[int, str]:
+        """``{bucket: version}`` of a table, as its pointer says."""
         fs, path = self._pointer(name)
         if not fs.exists(path):
-            return None
+            return {}
         stream = fs.open(path)
         try:
-            return stream.readUTF()
+            return {int(b): v for b, v in json.loads(stream.readUTF()).items()}
         finally:
             stream.close()
 
-    def _replace(self, name: str, new: DataFrame, keys: list[str] = ["book_id"]) -> None:  # noqa: B006
-        """Rows of the same keys replaced, the rest kept."""
-        self.write(name, self.table(name).join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*self.table(name).columns)))
+    def _replace(self, name: str, new: DataFrame, keys: list[str] = ["book_id"], gone: DataFrame | None = None) -> None:  # noqa: B006
+        """Rows of the same keys replaced (and those of the keys ``gone`` removed); only the buckets of these keys are written."""
+        new = self._checkpointed(new.select(*T._parse_datatype_string(TABLES[name]).names))
+        named = (new if gone is None else new.select(*keys).unionByName(gone.select(*keys))).select(*keys).distinct()
+        touched = {r["b"] for r in named.select(bucket_of(F.col(keys[0])).alias("b")).distinct().collect()}
+        if touched:
+            old = self._parts(name)
+            kept = self.table(name, touched).join(named, keys, "left_anti")
+            self._switch(name, {b: v for b, v in old.items() if b not in touched} | self._stored(name, kept.unionByName(new)))
+
+    def _remove(self, name: str, gone: DataFrame, keys: list[str] = ["book_id"]) -> None:  # noqa: B006
+        self._replace(name, self.spark.createDataFrame([], TABLES[name]), keys, gone)
 
     # ---- import
     def import_books(self, path: str, *, title: str | None = None, author: str | None = None, book_id: str | None = None, max_chars: int | None = None, min_chars: int | None = None, build_index: bool = False, now: datetime | None = None) -> DataFrame:
@@ -177,7 +212,7 @@ class Library:
         self._replace("chunks", chunks.drop("initial_chunks"))
         self._replace("books", books)
         for name_ in ("postings", "chunk_index"):
-            self.write(name_, self.table(name_).join(ids, "book_id", "left_anti"))
+            self._remove(name_, ids)
         if build_index:
             self._build(self.table("chunks").join(ids, "book_id", "left_semi"), now)
         return self.table("books").join(ids, "book_id", "left_semi")
@@ -225,9 +260,8 @@ class Library:
         done = chunks.select("book_id").distinct()
         filled = I.back_fill(chunks, built["keywords"])
         self._replace("chunks", filled)
-        books = self.table("books")
-        marked = books.join(done.withColumn("_d", F.lit(True)), "book_id", "left").withColumn("index_status", F.when(F.col("_d"), "built").otherwise(F.col("index_status"))).withColumn("index_options", F.when(F.col("_d"), F.lit(json.dumps(I.DEFAULTS | options))).otherwise(F.col("index_options"))).withColumn("index_updated_at", F.when(F.col("_d"), F.lit(now or datetime.now(UTC).replace(tzinfo=None))).otherwise(F.col("index_updated_at")))
-        self.write("books", marked.select(*books.columns))
+        marked = self.table("books").join(done, "book_id", "left_semi").withColumn("index_status", F.lit("built")).withColumn("index_options", F.lit(json.dumps(I.DEFAULTS | options))).withColumn("index_updated_at", F.lit(now or datetime.now(UTC).replace(tzinfo=None)))
+        self._replace("books", marked)
         entry = F.length("chunk_id") + F.length(F.col("count").cast("string")) + 6
         per = self.table("postings").groupBy("book_id", "term").agg(F.count(F.lit(1)).alias("n"), F.sum(entry).alias("b")).groupBy("book_id").agg(F.count(F.lit(1)).alias("t"), F.sum("n").alias("p"), F.sum(F.col("b") + F.length("term") + 5).alias("b"))
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
@@ -253,8 +287,7 @@ class Library:
 
     # ---- search
     def _in(self, name: str, book_id: str | None) -> DataFrame:
-        t = self.table(name)
-        return t if book_id is None else t.where(F.col("book_id") == book_id)
+        return self.table(name) if book_id is None else self.table(name, {zlib.crc32(book_id.encode()) % BUCKETS}).where(F.col("book_id") == book_id)
 
     def search(self, query: str, book_id: str | None = None, *, every: bool = False, limit: int = S.LIMIT, max_preview: int = S.MAX_PREVIEW, include_text: bool = False) -> DataFrame:
         """Keyword search. Over all books those without an index are left out (see ``unindexed``); one book is scanned if it has none. ``include_text`` adds a longer ``text_preview``."""
@@ -342,10 +375,11 @@ class Library:
                 safe_join(self.root, path)
         old = self.table("progress")
         seq = (old.agg(F.max("recency_seq")).first()[0] or 0) + 1
-        had = old.where(F.col("book_id") == book_id).first()
+        mine = self._in("progress", book_id)
+        had = mine.first()
         themes = None if current_themes is None else [t.strip() for t in current_themes if isinstance(t, str) and t.strip()]
         row = (book_id, last_chunk_id, next_chunk_id, status, note_path or (None if had and had["note_path"] else f"notes/{book_id}.md"), last_path, next_path, last_section_title, title, author, themes, last_read_at or datetime.now(UTC).replace(tzinfo=None), seq)
-        self.write("progress", P.merge_progress(old, self.spark.createDataFrame([row], PROGRESS)))
+        self._replace("progress", P.merge_progress(mine, self.spark.createDataFrame([row], PROGRESS)))
         return self.progress(book_id)
 
     def resume(self, book_id: str | None = None, *, chunk_id: str | None = None, read_chunk: bool = True) -> dict[str, DataFrame | str]:
@@ -427,7 +461,7 @@ class Library:
         def store(target: str, score: float, how: list[str]) -> Result:
             row = self.spark.createDataFrame([(key, ext_id, title, author, target, score, "linked", how, when)], LINKS)
             self._replace("links", row, ["key"])
-            self.write("pending", L.remove(self.table("pending"), row, "key"))
+            self._remove("pending", row, ["key"])
             return Result(action="linked", values={"book_id": target, "score": score, "matched_by": how})
 
         if confirm:
@@ -466,7 +500,7 @@ class Library:
         fresh = made.where("action = 'linked'").select("key", "ext_id", "ext_title", "ext_author", "book_id", "score", F.lit("linked").alias("status"), "matched_by", when.alias("updated_at"))
         self._replace("links", fresh, ["key"])
         waiting = made.where("action = 'pending'").select("key", "ext_id", "ext_title", "ext_author", "candidates", when.alias("updated_at"))
-        self.write("pending", self.table("pending").join(made.select("key"), "key", "left_anti").unionByName(waiting))
+        self._replace("pending", waiting, ["key"], made)
         reused = keyed.join(had, "key").select("key", "ext_id", F.col("title").alias("ext_title"), F.lit("reused").alias("action"), "book_id", "score")
         return made.select("key", "ext_id", "ext_title", "action", "book_id", F.coalesce("score", F.lit(0.0)).alias("score")).unionByName(reused)
 

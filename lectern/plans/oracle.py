@@ -244,7 +244,7 @@ def oracle_sql() -> dict[str, str]:
         "chapter_titles": f"WITH {_CHUNKS}, l AS (SELECT book_id, chunk_id, string_split({_clean('text')}, chr(10)) AS a FROM chunks_live), x AS (SELECT book_id, chunk_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS line_no FROM l) SELECT book_id, chunk_id, CAST(line_no AS BIGINT) AS line_no, line, {_title('line')} AS title FROM x WHERE {_chapter('line')}",
         "truncated_text": "SELECT doc_id, substring(coalesce(text, ''), 1, 400) AS text, length(coalesce(text, '')) > 400 AS truncated FROM documents",
         "file_stems": f"WITH {_BOOKS} SELECT book_id, regexp_replace(regexp_extract(replace(coalesce(source_path, ''), chr(92), '/'), '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') AS stem FROM books_live",
-        "html_headings": f"WITH {_CHUNKS} SELECT book_id, chunk_id, {_clean("regexp_replace(regexp_extract(text, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), '<[^>]*>', '', 'g')")} AS heading FROM chunks_live WHERE regexp_matches(text, '(?i)<h[1-3]')",
+        "html_headings": f"WITH {_CHUNKS} SELECT book_id, chunk_id, {_clean("regexp_replace(regexp_extract(text, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), '<[^>]*>', '', 'g')")} AS heading FROM chunks_live",
         "skippable_names": f"WITH {_CHUNKS}, s AS (SELECT book_id, chunk_id, lower(replace(coalesce(title, ''), ' ', '-')) AS t FROM chunks_live) SELECT book_id, chunk_id, regexp_matches(t, '目录|封面|版权') OR regexp_matches(t, '^(cover|nav|toc|titlepage|copyright|contents)[-_]?[0-9]*$') OR regexp_matches(t, '(^|[-_])(cover|nav|toc|titlepage|copyright|contents)([-_]|$)') AS skipped FROM s",
         "split_sections": f"""WITH {_CHUNKS}, l AS (SELECT book_id, chunk_id, string_split({_clean('text')}, chr(10)) AS a FROM chunks_live),
 x AS (SELECT book_id, chunk_id, {_trim('line')} AS trimmed, line, pos FROM (SELECT book_id, chunk_id, unnest(a) AS line, generate_subscripts(a, 1) AS pos FROM l)),

@@ -92,11 +92,11 @@ def file_stems(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_headings(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d, "text").where("text RLIKE '(?i)<h[1-3]'").select(*KEY, T.html_heading(F.col("text")).alias("heading"))
+    return _chunks(spark, d, "text").select(*KEY, T.html_heading(F.col("text")).alias("heading"))
 
 
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d, "text").where("text LIKE '%<%'").select(*KEY, html_text(F.col("text")).alias("plain"))
+    return _chunks(spark, d, "text").select(*KEY, html_text(F.col("text")).alias("plain"))
 
 
 def skippable_names(spark: SparkSession, d: str) -> DataFrame:

@@ -12,11 +12,11 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lectern.functions.text import SKIPPED_TITLES, SKIPPED_WORDS
 from lectern.operators.segment import clean
 from lectern.sources.html import to_text
 
-#: Names of documents that aren't part of the reading text.
-_SKIPPED = re.compile(r"目录|封面|版权|^(?:cover|nav|toc|titlepage|copyright|contents)[-_]?\d*$|(?:^|[-_])(?:cover|nav|toc|titlepage|copyright|contents)(?:[-_]|$)")
+_SKIPPED = re.compile(rf"{SKIPPED_TITLES}|^(?:{SKIPPED_WORDS})[-_]?\d*$|(?:^|[-_])(?:{SKIPPED_WORDS})(?:[-_]|$)")
 _HEADING = re.compile(r"<h[1-3][^>]*>(.*?)</h[1-3]>", re.I | re.S)
 
 

@@ -244,3 +244,16 @@ def test_a_file_that_cannot_be_read_is_an_error(spark, tmp_path):
     (tmp_path / "books" / "e" / "manifest.json").write_text('{"bookId": "e", "title": "E"}')
     found = read_folder(spark, str(tmp_path))
     assert found["books"].first()["book_id"] == "e" and found["chunks"].count() == 0 and found["progress"].count() == 0
+
+
+def test_a_change_writes_only_its_bucket(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"))
+    for k in range(4):
+        lib.update_progress(f"book{k}", status="reading")
+    before = lib._parts("progress")
+    lib.update_progress("book0", status="done")
+    after = lib._parts("progress")
+    assert len(before) == len(after) == 4 and sum(before[b] != after[b] for b in before) == 1
+    assert {r["book_id"]: r["status"] for r in lib.table("progress").collect()} == {"book0": "done", "book1": "reading", "book2": "reading", "book3": "reading"}
+    lib._remove("progress", spark.createDataFrame([("book1",)], "book_id string"))
+    assert lib.table("progress").count() == 3 and lib.progress("book1").isEmpty() and lib.progress("none").isEmpty()
