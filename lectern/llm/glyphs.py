@@ -225,10 +225,3 @@ def alike_pairs(left: DataFrame, left_id: str, left_text: str, right: DataFrame,
     (a_ids, a), (b_ids, b) = side(left, left_id, left_text, "a"), side(right, right_id, right_text, "b")
     texts = a.join(b.hint("merge"), "form").where("a_text <> b_text").select("a_text", "b_text")
     return texts.join(a_ids.hint("merge"), "a_text").join(b_ids.hint("merge"), "b_text").select(F.col("a_id").alias(left_id), F.col("b_id").alias(right_id)).distinct()
-
-
-def form_column(c: Column) -> Column:
-    """The same fold as a Column expression (an Arrow-batched UDF)."""
-    from pyspark.sql.functions import arrow_udf
-
-    return arrow_udf(one_form, "string")(c)
