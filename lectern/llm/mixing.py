@@ -192,8 +192,7 @@ def mixture(documents: DataFrame, targets: DataFrame, *, total_tokens: float | N
     partly = used.where("p IS NOT NULL").select(tokens.alias("t"), member).groupBy(F.col("m.d").alias("source")).agg(F.sum(F.col("t") * F.col("m.p")).alias("t"))
     got = known.unionByName(partly).groupBy("source").agg(F.sum("t").alias("tokens"))
     asked = spark.createDataFrame([(d, float(s), int(m), float(x)) for (d, s, m), x in zip(goal, expected)], "source string, target_share double, max_repeats int, expected_tokens double")
-    whole = got.agg(F.sum("tokens").alias("whole"))  # one row
-    shares = asked.join(got, "source", "left").join(F.broadcast(whole), how="cross").select("source", "target_share", "max_repeats", "expected_tokens", F.coalesce("tokens", F.lit(0.0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"))
+    shares = asked.join(got, "source", "left").withColumn("whole", F.sum("tokens").over(Window.partitionBy(F.lit(1)))).select("source", "target_share", "max_repeats", "expected_tokens", F.coalesce("tokens", F.lit(0.0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"))
     return used.select("doc_id", F.col("domain").alias("source"), "copies", "n_tokens"), shares
 
 
