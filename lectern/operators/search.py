@@ -16,6 +16,7 @@ from itertools import islice
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.grams import EXACT, bit_set, fitting, holding, keyed
 from lectern.functions.text import clean_text, inline, occurrences, search_preview
 from lectern.functions.tokens import query_tokens, token_weight
 from lectern.runtime import cut
@@ -107,22 +108,17 @@ def _blocks(queries: DataFrame) -> Iterator[list[Row]]:
         yield block
 
 
-def exact_hits(queries: DataFrame, chunks: DataFrame, *, by_book: bool = False) -> DataFrame:
+def exact_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks whose text holds the query, white space aside: score 100 plus 5 for each occurrence.
 
-    With ``by_book`` the queries carry a ``book_id`` and are asked of that
-    book only (an equi-join); else every chunk is asked the queries of one
-    block after the other.
+    Every chunk is asked the queries of one block after the other.
     """
     c = chunks.where("text IS NOT NULL").select("book_id", "chunk_id", "ord", inline(F.col("text")).alias("body"))
     q = queries.withColumn("_q", inline(F.col("query"))).where("_q <> ''")
-    if by_book:
-        pairs = c.join(q, "book_id").where(F.contains("body", "_q"))
-    else:
-        kind = queries.schema["query_id"].dataType
-        blocks = [F.array(*(F.struct(F.lit(r["query_id"]).cast(kind).alias("query_id"), F.lit(r["query"]).alias("query"), F.lit(r["_q"]).alias("_q")) for r in block)) for block in _blocks(q)]
-        asked = [c.select("*", F.explode(F.filter(b, lambda x: F.contains(F.col("body"), x["_q"]))).alias("q")).select("book_id", "chunk_id", "ord", "body", "q.*") for b in blocks]
-        pairs = reduce(DataFrame.unionByName, asked) if asked else c.join(q, F.lit(False)).select("book_id", "chunk_id", "ord", "body", "query_id", "query", "_q")
+    kind = queries.schema["query_id"].dataType
+    blocks = [F.array(*(F.struct(F.lit(r["query_id"]).cast(kind).alias("query_id"), F.lit(r["query"]).alias("query"), F.lit(r["_q"]).alias("_q")) for r in block)) for block in _blocks(q)]
+    asked = [c.select("*", F.explode(F.filter(b, lambda x: F.contains(F.col("body"), x["_q"]))).alias("q")).select("book_id", "chunk_id", "ord", "body", "q.*") for b in blocks]
+    pairs = reduce(DataFrame.unionByName, asked) if asked else c.join(q, F.lit(False)).select("book_id", "chunk_id", "ord", "body", "query_id", "query", "_q")
     return pairs.select("query_id", "query", "book_id", "chunk_id", "ord", (EXACT_BASE + EXACT_STEP * occurrences(F.col("body"), F.col("_q"))).cast("long").alias("score"), F.array("query").alias("matched"), "body")
 
 
@@ -136,11 +132,32 @@ def exact_search(queries: DataFrame, chunks: DataFrame, *, limit: int = LIMIT, m
 
 
 def highlight_context(highlights: DataFrame, chunks: DataFrame, *, max_preview: int = 260) -> DataFrame:
-    """The first chunk, in order, of its book that holds each highlight ``(query_id, query, book_id)``."""
-    hits = exact_hits(highlights, chunks, by_book=True)
-    w = Window.partitionBy(*QUERY).orderBy("ord", "chunk_id")
-    first = hits.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return first.select("query_id", "book_id", "chunk_id", "ord", "score", search_preview(F.col("body"), F.col("query"), F.col("matched"), max_preview).alias("preview"))
+    """The first chunk, in order, of its book that holds each highlight ``(query_id, query, book_id)``.
+
+    Highlights aren't compared with all chunks of their book: the parts of each
+    text are looked up in a bit set of the passages, and the chunks left meet
+    theirs by an equi-join on the part (see ``functions.grams``).  A short
+    passage is its part; longer ones are verified in the text.
+    """
+    asked = highlights.select("query_id", "book_id", inline(F.col("query")).alias("_q")).where("_q <> '' AND book_id IS NOT NULL")
+    passages = cut(asked.select("book_id", "_q").distinct(), "passages")
+    bits = fitting(passages.count())
+    spots = cut(keyed(passages, "book_id", "_q", bits), "spots")
+    sizes = sorted(r["_size"] for r in spots.select("_size").distinct().collect())
+    bodies = chunks.where("text IS NOT NULL AND book_id IS NOT NULL").select("book_id", "chunk_id", "ord", inline(F.col("text")).alias("body"))
+    near = cut(holding(bodies, "book_id", "body", sizes, bit_set(spots, bits), bits), "near")
+    place = F.min(F.struct("ord", "chunk_id")).alias("p")
+    short = near.select("book_id", "ord", "chunk_id", F.explode("_parts").alias("_q")).groupBy("book_id", "_q").agg(place).join(spots.where(F.col("_size") <= EXACT).select("book_id", "_q"), ["book_id", "_q"])
+    held = near.select("book_id", "ord", "chunk_id", "body", F.explode("_keys").alias("_key")).join(spots.where(F.col("_size") > EXACT).select("book_id", "_key", "_q"), ["book_id", "_key"]).where(F.contains("body", "_q"))
+    long = held.groupBy("book_id", "_q").agg(place)
+    first = short.select("book_id", "_q", "p").unionByName(long).select("book_id", "_q", F.col("p.ord").alias("ord"), F.col("p.chunk_id").alias("_c"))
+    # several texts under one id: the one that stands first
+    w = Window.partitionBy(*QUERY).orderBy("ord", "_c", "_q")
+    best = asked.join(first, ["book_id", "_q"]).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("query_id", "book_id", "_q", "ord", "_c")
+    text = near.select(F.col("book_id").alias("_b"), "chunk_id", F.col("ord").alias("_o"), "body")
+    read = best.join(text, (F.col("book_id") == F.col("_b")) & F.col("_c").eqNullSafe(F.col("chunk_id")) & F.col("ord").eqNullSafe(F.col("_o")) & F.contains("body", "_q")).dropDuplicates(QUERY)
+    score = (EXACT_BASE + EXACT_STEP * occurrences(F.col("body"), F.col("_q"))).cast("long")
+    return read.select("query_id", "book_id", "chunk_id", "ord", score.alias("score"), search_preview(F.col("body"), F.col("_q"), F.array("_q"), max_preview).alias("preview"))
 
 
 #: Fixed value: the place of a chunk the manifest doesn't know.

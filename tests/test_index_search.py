@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +62,25 @@ def test_highlight(spark):
     assert sorted((r["query_id"], r["chunk_id"]) for r in S.highlight_context(h, c).collect()) == [(1, "ch000"), (2, "ch000")]
 
 
+def test_highlights_meet_chunks_by_their_parts(spark):
+    r = random.Random(5)
+    words = ["a", "bb", "灯笼", "c\U00020000d", "winter", "é", "archive"]
+    texts = {(b, f"ch{n}"): "  ".join(r.choices(words, k=r.randint(1, 60))) for b in "xyz" for n in range(30)}
+    cut_ = lambda t: t[(at := r.randrange(len(t))) : at + r.choice((1, 2, 5, 9, 11, 12, 13, 20, 31, 48, 70))]
+    asked = [(n, cut_(texts[r.choice(list(texts))]), r.choice("xyz")) for n in range(400)] + [(400, "灯笼", "x"), (400, "nowhere", "x"), (401, "nowhere to be found, at any size", "y")]
+    chunks = spark.createDataFrame([(b, c, int(c[2:]) // 2, t) for (b, c), t in texts.items()], "book_id string, chunk_id string, ord int, text string")
+    got = S.highlight_context(spark.createDataFrame(asked, "query_id int, query string, book_id string"), chunks)
+    flat = {k: " ".join(t.split()) for k, t in texts.items()}
+    want = {}
+    for n, q, book in asked:
+        at = [(int(c[2:]) // 2, c, 100 + 5 * t.count(p)) for (b, c), t in flat.items() if b == book and (p := " ".join(q.split())) and p in t]
+        want |= {n: min(at)} if at else {}
+    assert {x["query_id"]: (x["ord"], x["chunk_id"], x["score"]) for x in got.collect()} == want and len(want) > 200
+    # no join pairs all highlights with all chunks of a book
+    keys = re.findall(r"Join \[([^\]]*)\], \[", got._jdf.queryExecution().executedPlan().toString())
+    assert keys and all("," in k for k in keys)
+
+
 def test_live_keeps_the_last_delivery(spark):
     df = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("k", 2, "c"), ("l", None, "d"), (None, 1, "e")], "k string, at int, v string")
     assert {(r["k"], r["v"]) for r in I.live(df, ["k"], "at").collect()} == {("k", "c"), ("l", "d"), (None, "e")}
