@@ -30,6 +30,17 @@ def test_included_equals_brute_force(spark):
     assert got == {(s, x) for s in short for x in long if s in x}
 
 
+def test_scores_have_a_small_plan(spark):
+    ext = spark.createDataFrame([(1, "Fog Tales", "A"), (2, "fog", None), (3, "x", None), (4, None, None), (5, "rain", None), (5, "rain", None)], EXT)
+    b = spark.createDataFrame([("fogtales", "Fog", "A"), ("r", "Rain x", None), ("x", "??", None), ("r", "rain", None), ("rain", "Rain", None)], BOOK)
+    got = L.scores(ext, b)
+    want = {(1, "fogtales", 0.88), (2, "fogtales", 0.9), (3, "r", 0.75), (3, "x", 0.05), (5, "r", 0.9), (5, "rain", 0.95)}
+    rows = [(r["ext_id"], r["book_id"], r["score"]) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    # every exchange of one plan is a stage the driver plans anew: once 58 in this plan
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") < 30
+
+
 def test_keyed_rows(spark):
     df = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("l", 1, "c")], "k string, at int, v string")
     last = L.last_by_key(df, "k", "at")
