@@ -472,7 +472,7 @@ class Library:
         if had is not None:
             return Result(action="reused", values={"book_id": had["book_id"], "score": had["score"]})
         ask = self.spark.createDataFrame([(0, title, author)], "ext_id int, title string, author string")
-        got = L.decisions(L.scores(ask, books), books).first()
+        got = L.decisions(L.scores(ask, books), books, collation="zh").first()
         if got is None or got["action"] == "no-match":
             return Result(action="no-match", values={"score": got["score"] if got else 0.0})
         if got["action"] == "linked":
@@ -493,7 +493,7 @@ class Library:
         had = self.table("links").select("key", "book_id", "score")
         asked = self._checkpointed(keyed.join(had, "key", "left_anti"))
         scored = self._checkpointed(L.scores(asked.select(F.col("key").alias("ext_id"), "title", "author"), books))
-        d = L.decisions(scored, books).withColumnRenamed("ext_id", "key")
+        d = L.decisions(scored, books, collation="zh").withColumnRenamed("ext_id", "key")
         how = scored.select(F.col("ext_id").alias("key"), "book_id", "matched_by")
         named = asked.select("key", "ext_id", F.col("title").alias("ext_title"), F.col("author").alias("ext_author"))
         made = self._checkpointed(named.join(d, "key", "left").join(how, ["key", "book_id"], "left").withColumn("action", F.coalesce("action", F.lit("no-match"))))

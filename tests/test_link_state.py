@@ -34,11 +34,19 @@ def test_scores_have_a_small_plan(spark):
     ext = spark.createDataFrame([(1, "Fog Tales", "A"), (2, "fog", None), (3, "x", None), (4, None, None), (5, "rain", None), (5, "rain", None)], EXT)
     b = spark.createDataFrame([("fogtales", "Fog", "A"), ("r", "Rain x", None), ("x", "??", None), ("r", "rain", None), ("rain", "Rain", None)], BOOK)
     got = L.scores(ext, b)
+    # every exchange of a plan is a stage the driver plans anew: once 58 before it runs
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") < 30
     want = {(1, "fogtales", 0.88), (2, "fogtales", 0.9), (3, "r", 0.75), (3, "x", 0.05), (5, "r", 0.9), (5, "rain", 0.95)}
     rows = [(r["ext_id"], r["book_id"], r["score"]) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
-    # every exchange of one plan is a stage the driver plans anew: once 58 in this plan
-    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") < 30
+
+
+def test_equal_scores_by_title(spark):
+    ext = spark.createDataFrame([(1, "fog", "A")], EXT)
+    b = spark.createDataFrame([("a", "fog", "A"), ("b", "Fog", "A")], BOOK)
+    scored = L.scores(ext, b)
+    assert L.decisions(scored, b).first()["book_id"] == "b"
+    assert L.decisions(scored, b, collation="zh").first()["book_id"] == "a"
 
 
 def test_keyed_rows(spark):
